@@ -41,16 +41,16 @@ def global_index(df: DataFrame, order_cols: Sequence[str], idx_col: str = "idx",
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col(c).asc() for c in order_cols]
     placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).checkpoint(eager=True)
-    placed = placed.withColumn("_mid", F.monotonically_increasing_id())
-    placed = (placed.withColumn("_pid", F.shiftright("_mid", _POS_BITS))
-                    .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << _POS_BITS) - 1))))
+    placed = placed.withColumn("__gi_mid", F.monotonically_increasing_id())
+    placed = (placed.withColumn("__gi_pid", F.shiftright("__gi_mid", _POS_BITS))
+                    .withColumn("__gi_pos", F.col("__gi_mid").bitwiseAND(F.lit((1 << _POS_BITS) - 1))))
     # One row per partition: bounded by n, so the broadcast is safe.
-    counts = placed.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    return (placed.join(F.broadcast(offsets), "_pid")
-                  .withColumn(idx_col, F.col("_off") + F.col("_pos"))
-                  .drop("_mid", "_pid", "_pos", "_off"))
+    counts = placed.groupBy("__gi_pid").agg(F.count(F.lit(1)).alias("__gi_n"))
+    before = Window.orderBy("__gi_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__gi_pid", F.coalesce(F.sum("__gi_n").over(before), F.lit(0)).alias("__gi_off"))
+    return (placed.join(F.broadcast(offsets), "__gi_pid")
+                  .withColumn(idx_col, F.col("__gi_off") + F.col("__gi_pos"))
+                  .drop("__gi_mid", "__gi_pid", "__gi_pos", "__gi_off"))
 
 
 def rank_within(df: DataFrame, group_cols: Sequence[str], key_col: str,
@@ -60,15 +60,15 @@ def rank_within(df: DataFrame, group_cols: Sequence[str], key_col: str,
     (then ``tie_cols``), and the group's row count.
     """
     groups = list(group_cols)
-    salted = df.withColumn("_salt", key_salt(key_col, hex_digits))
-    w = Window.partitionBy(*groups, "_salt").orderBy(F.col(key_col), *[F.col(c) for c in tie_cols])
-    ranked = salted.withColumn("_r", F.row_number().over(w))
-    counts = ranked.groupBy(*groups, "_salt").agg(F.count(F.lit(1)).alias("_c"))
-    prev = Window.partitionBy(*groups).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    salted = df.withColumn("__rw_salt", key_salt(key_col, hex_digits))
+    w = Window.partitionBy(*groups, "__rw_salt").orderBy(F.col(key_col), *[F.col(c) for c in tie_cols])
+    ranked = salted.withColumn("__rw_r", F.row_number().over(w))
+    counts = ranked.groupBy(*groups, "__rw_salt").agg(F.count(F.lit(1)).alias("__rw_c"))
+    prev = Window.partitionBy(*groups).orderBy("__rw_salt").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*groups)
-    offsets = counts.select(*groups, "_salt",
-                            F.coalesce(F.sum("_c").over(prev), F.lit(0)).alias("_off"),
-                            F.sum("_c").over(whole).alias(size_col))
-    return (ranked.join(offsets, [*groups, "_salt"])
-                  .withColumn(rank_col, (F.col("_off") + F.col("_r")).cast("bigint"))
-                  .drop("_salt", "_r", "_off"))
+    offsets = counts.select(*groups, "__rw_salt",
+                            F.coalesce(F.sum("__rw_c").over(prev), F.lit(0)).alias("__gi_off"),
+                            F.sum("__rw_c").over(whole).alias(size_col))
+    return (ranked.join(offsets, [*groups, "__rw_salt"])
+                  .withColumn(rank_col, (F.col("__gi_off") + F.col("__rw_r")).cast("bigint"))
+                  .drop("__rw_salt", "__rw_r", "__gi_off"))

@@ -143,7 +143,7 @@ m_ent AS (
          CASE WHEN n_labels > 0 THEN CAST(hits AS DOUBLE) / n_labels END AS recall,
          CASE WHEN n_labels > 0 THEN ap_s / n_labels ELSE 0.0 END AS ap,
          CASE WHEN n_labels > 0 THEN dcg / list_sum(list_transform(range(1, least(n_labels, {k}) + 1),
-                                                                    i -> 1.0 / ln(i + 1.0)))
+                                                                    lambda i: 1.0 / ln(i + 1.0)))
               ELSE 0.0 END AS ndcg,
          CASE WHEN n_labels > 0 THEN (pos_s / n_recs * 100.0 + (n_labels - hits) * 100.0) / n_labels
               ELSE 0.0 END AS pr
@@ -427,7 +427,7 @@ FROM part p LEFT JOIN (SELECT item_id, sum(play_count) AS s FROM plays GROUP BY
 SELECT p.user_u, p.user_v, round(coalesce(d.dot, 0.0) / (nu.nrm * nv.nrm), 6) AS similarity
 FROM pairs p JOIN norms nu ON nu.user_id = p.user_u JOIN norms nv ON nv.user_id = p.user_v
 LEFT JOIN dots d ON d.user_u = p.user_u AND d.user_v = p.user_v"""
-    q["user_similarity_crosssum"] = pbase + """SELECT p.user_u, p.user_v, round(nu.s * nv.s / (nu.nrm * nv.nrm), 6) AS similarity
+    q["user_similarity_crosssum"] = pbase + """SELECT p.user_u, p.user_v, round(nu.s * nv.s / (nu.nrm * nv.nrm), 6) + 0.0 AS similarity
 FROM pairs p JOIN norms nu ON nu.user_id = p.user_u JOIN norms nv ON nv.user_id = p.user_v"""
 
     # indexing
@@ -437,7 +437,7 @@ FROM pairs p JOIN norms nu ON nu.user_id = p.user_u JOIN norms nv ON nv.user_id
 FROM plays p JOIN uidx u ON u.id = p.user_id JOIN iidx i ON i.id = p.item_id"""
     q["user_item_matrix"] = _w(INDEX_USERS, INDEX_ITEMS) + """, lines AS (
   SELECT o_custkey AS user_id, l_partkey AS item_id, CAST(l_quantity AS INTEGER) AS play_count,
-         l_orderkey * 8 + l_linenumber AS line_no
+         (l_orderkey * 8 + l_linenumber) * 1000 + CAST(l_quantity AS INTEGER) AS line_no
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 last AS (SELECT user_id, item_id, arg_max(play_count, line_no) AS play_count FROM lines GROUP BY user_id, item_id)
 SELECT u.idx AS row_idx, i.idx AS col_idx, l.play_count AS value

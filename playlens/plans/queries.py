@@ -422,12 +422,17 @@ def q_replace_ids(spark, sf):
 
 @query("user_item_matrix")
 def q_user_item_matrix(spark, sf):
-    """Raw order lines as repeated (user, song) lines; the last line wins."""
+    """Raw order lines as repeated (user, song) lines; the last line wins.
+
+    Lines are ordered by (order key, line number, quantity): the test tables
+    repeat some (order key, line number) pairs, and the quantity breaks those ties.
+    """
     lines = fx.table(spark, sf, "lineitem").join(fx.table(spark, sf, "orders"),
                                                 F.col("l_orderkey") == F.col("o_orderkey"))
     lines = lines.select(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("item_id"),
                          F.col("l_quantity").cast("int").alias("play_count"),
-                         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line_no"))
+                         ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1000
+                          + F.col("l_quantity").cast("int")).alias("line_no"))
     return indexing.user_item_matrix(lines, indexing.index_ids(fx.id_list_users(spark, sf)),
                                      indexing.index_ids(fx.id_list_items(spark, sf)))
 
