@@ -31,6 +31,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from playlens.session import ensure_checkpoint_dir
+
 OUT_SCHEMA = "r long, q long, v double"
 TIE_DIGITS = 9          # values are ranked on this rounding so ties fall alike
 _BATCH_PRODUCTS = 4_000_000
@@ -116,20 +118,26 @@ def sparse_product(x: DataFrame, y: DataFrame, k: int | None = None, exclude: st
     drops cells (r, q) where X has an entry (r, t = q). The sizes used for
     tiling are three scalar counts.
     """
-    xs = x.select(F.col("r").cast("long").alias("a"), F.col("t").cast("long").alias("t"),
-                  F.col("x").cast("double").alias("v")).filter(F.col("v") != 0)
-    ys = y.select(F.col("q").cast("long").alias("a"), F.col("t").cast("long").alias("t"),
-                  F.col("y").cast("double").alias("v")).filter(F.col("v") != 0)
-    counts = (xs.select(F.lit(0).alias("s"), F.col("a").alias("r"), F.lit(None).cast("long").alias("q"))
-                .unionByName(ys.select(F.lit(1).alias("s"), F.lit(None).cast("long").alias("r"),
-                                       F.col("a").alias("q")))
-                .agg(F.count_if(F.col("s") == 0).alias("nx"), F.count_if(F.col("s") == 1).alias("ny"),
-                     F.approx_count_distinct("r").alias("nr"), F.approx_count_distinct("q").alias("nq"))
-                .first())
+    xin = x.select(F.lit(0).alias("side"), F.col("r").cast("long").alias("a"), F.col("t").cast("long").alias("t"),
+                   F.col("x").cast("double").alias("v"))
+    yin = y.select(F.lit(1).alias("side"), F.col("q").cast("long").alias("a"), F.col("t").cast("long").alias("t"),
+                   F.col("y").cast("double").alias("v"))
+    # Both inputs materialised once (reliable checkpoint in the shared folder):
+    # the sizing below and the tiling read them instead of recomputing the
+    # upstream plan, and a lost executor does not replay that plan.
+    ensure_checkpoint_dir(x.sparkSession)
+    both = xin.unionByName(yin).filter(F.col("v") != 0).checkpoint(eager=True)
+    xs = both.filter(F.col("side") == 0).drop("side")
+    ys = both.filter(F.col("side") == 1).drop("side")
+    counts = both.agg(F.count_if(F.col("side") == 0).alias("nx"), F.count_if(F.col("side") == 1).alias("ny"),
+                      F.approx_count_distinct(F.when(F.col("side") == 0, F.col("a"))).alias("nr"),
+                      F.approx_count_distinct(F.when(F.col("side") == 1, F.col("a"))).alias("nq")).first()
     nx, ny = int(counts["nx"]), int(counts["ny"])
     nr, nq = max(1, int(counts["nr"])), max(1, int(counts["nq"]))
     block_rows = max(1, max_cells // nq)
-    n_blocks = max(1, math.ceil(nr / block_rows))
+    # At least one row block per core so the tiles spread over the cluster.
+    n_blocks = max(x.sparkSession.sparkContext.defaultParallelism, math.ceil(nr / block_rows))
+    n_blocks = min(n_blocks, nr)
     n_chunks = max(1, math.ceil((nx + ny) / chunk_entries))
     fast = n_chunks == 1
 
@@ -171,7 +179,7 @@ def sparse_product(x: DataFrame, y: DataFrame, k: int | None = None, exclude: st
         if exclude == "self":
             cells = cells.filter(F.col("r") != F.col("q"))
         elif exclude == "x_support":
-            support = x.select(F.col("r").cast("long").alias("r"), F.col("t").cast("long").alias("q"))
+            support = xs.select(F.col("a").alias("r"), F.col("t").alias("q"))
             cells = cells.join(support, ["r", "q"], "left_anti")
         cells = cells.filter(F.col("v") > 0)
     return top_k_per_row(cells, k)
