@@ -63,7 +63,8 @@ def rank_within(df: DataFrame, group_cols: Sequence[str], key_col: str,
     salted = df.withColumn("__rw_salt", key_salt(key_col, hex_digits))
     w = Window.partitionBy(*groups, "__rw_salt").orderBy(F.col(key_col), *[F.col(c) for c in tie_cols])
     ranked = salted.withColumn("__rw_r", F.row_number().over(w))
-    counts = ranked.groupBy(*groups, "__rw_salt").agg(F.count(F.lit(1)).alias("__rw_c"))
+    # Sub-group sizes straight from the input (partial aggregate, no sort).
+    counts = salted.groupBy(*groups, "__rw_salt").agg(F.count(F.lit(1)).alias("__rw_c"))
     prev = Window.partitionBy(*groups).orderBy("__rw_salt").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*groups)
     offsets = counts.select(*groups, "__rw_salt",

@@ -98,17 +98,18 @@ def user_similarity(centred: DataFrame, pairs: DataFrame, form: str = "aligned")
 
     pairs: (user_u, user_v). ``aligned`` sums u_i * v_i over shared songs and
     divides by the full norms; ``crosssum`` is the reference's literal formula,
-    (sum u)(sum v) / (|u| |v|). Only the requested pairs are formed (keyed
+    (sum u)(sum v) / (|u| |v|). A user whose centred vector is all zero gives null. Only the requested pairs are formed (keyed
     joins), never all user pairs.
     """
     norms = centred.groupBy("user_id").agg(F.sum("score").alias("_s"),
                                            F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("_n"))
     nu = norms.select(F.col("user_id").alias("user_u"), F.col("_s").alias("_su"), F.col("_n").alias("_nu"))
     nv = norms.select(F.col("user_id").alias("user_v"), F.col("_s").alias("_sv"), F.col("_n").alias("_nv"))
-    base = pairs.select("user_u", "user_v").join(nu, "user_u").join(nv, "user_v")
+    base = pairs.select("user_u", "user_v").join(nu, "user_u").join(nv, "user_v") \
+                .withColumn("_den", F.nullif(F.col("_nu") * F.col("_nv"), F.lit(0.0)))
     if form == "crosssum":
         return base.select("user_u", "user_v",
-                           (F.col("_su") * F.col("_sv") / (F.col("_nu") * F.col("_nv"))).alias("similarity"))
+                           (F.col("_su") * F.col("_sv") / F.col("_den")).alias("similarity"))
     if form != "aligned":
         raise ValueError("form must be 'aligned' or 'crosssum'")
     cu = centred.select(F.col("user_id").alias("user_u"), "item_id", F.col("score").alias("_x"))
@@ -117,4 +118,4 @@ def user_similarity(centred: DataFrame, pairs: DataFrame, form: str = "aligned")
                  .groupBy("user_u", "user_v").agg(F.sum(F.col("_x") * F.col("_y")).alias("_dot")))
     return base.join(dots, ["user_u", "user_v"], "left").select(
         "user_u", "user_v",
-        (F.coalesce("_dot", F.lit(0.0)) / (F.col("_nu") * F.col("_nv"))).alias("similarity"))
+        (F.coalesce("_dot", F.lit(0.0)) / F.col("_den")).alias("similarity"))

@@ -424,10 +424,10 @@ FROM part p LEFT JOIN (SELECT item_id, sum(play_count) AS s FROM plays GROUP BY
   SELECT p.user_u, p.user_v, sum(a.score * b.score) AS dot
   FROM pairs p JOIN centred_u a ON a.user_id = p.user_u JOIN centred_u b ON b.user_id = p.user_v AND b.item_id = a.item_id
   GROUP BY p.user_u, p.user_v)
-SELECT p.user_u, p.user_v, round(coalesce(d.dot, 0.0) / (nu.nrm * nv.nrm), 6) AS similarity
+SELECT p.user_u, p.user_v, round(coalesce(d.dot, 0.0) / nullif(nu.nrm * nv.nrm, 0), 6) AS similarity
 FROM pairs p JOIN norms nu ON nu.user_id = p.user_u JOIN norms nv ON nv.user_id = p.user_v
 LEFT JOIN dots d ON d.user_u = p.user_u AND d.user_v = p.user_v"""
-    q["user_similarity_crosssum"] = pbase + """SELECT p.user_u, p.user_v, round(nu.s * nv.s / (nu.nrm * nv.nrm), 6) + 0.0 AS similarity
+    q["user_similarity_crosssum"] = pbase + """SELECT p.user_u, p.user_v, round(nu.s * nv.s / nullif(nu.nrm * nv.nrm, 0), 6) + 0.0 AS similarity
 FROM pairs p JOIN norms nu ON nu.user_id = p.user_u JOIN norms nv ON nv.user_id = p.user_v"""
 
     # indexing
