@@ -37,8 +37,10 @@ def _same_list_for_all(entities: DataFrame, ranked: DataFrame, entity_col: str)
     parameter) and attached as a literal array, so no join without a key is
     planned.
     """
+    item_type = ranked.schema["item_id"].dataType
     items = [r["item_id"] for r in ranked.orderBy("rank").collect()]
-    arr = F.array(*[F.lit(i) for i in items]) if items else F.array().cast("array<long>")
+    arr = F.array(*[F.lit(i).cast(item_type) for i in items]) if items else F.array().cast(
+        f"array<{item_type.simpleString()}>")
     return entities.select(F.col(entity_col), F.posexplode(arr).alias("_p", "item_id")).select(
         entity_col, (F.col("_p") + 1).cast("int").alias("rank"), "item_id")
 

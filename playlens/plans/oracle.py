@@ -138,7 +138,7 @@ m_nl AS (SELECT entity, count(*) AS n_labels FROM m_lab GROUP BY entity),
 m_pe AS (
   SELECT p.*, coalesce(m_nl.n_labels, 0) AS n_labels FROM m_per p LEFT JOIN m_nl USING (entity)),
 m_ent AS (
-  SELECT {keys}, n_recs, n_labels, hits,
+  SELECT {keys}, n_recs, n_labels, CAST(hits AS BIGINT) AS hits,
          CAST(hits AS DOUBLE) / n_recs AS precision,
          CASE WHEN n_labels > 0 THEN CAST(hits AS DOUBLE) / n_labels END AS recall,
          CASE WHEN n_labels > 0 THEN ap_s / n_labels ELSE 0.0 END AS ap,
