@@ -35,18 +35,34 @@ def popularity_curve_subsets(plays: DataFrame, points: Sequence[int] = CURVE_POI
     users_per_rank = best.groupBy("subset", "rank").agg(F.count(F.lit(1)).alias("_users"))
     totals = plays.groupBy("subset").agg(F.count(F.lit(1)).alias("_all_rows"),
                                          F.count_distinct("user_id").alias("_all_users"))
-    running = Window.partitionBy("subset").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    curve = (top.select("subset", "rank")
-                .join(rows_per_rank, ["subset", "rank"], "left")
-                .join(users_per_rank, ["subset", "rank"], "left")
-                .select("subset", "rank",
-                        F.sum(F.coalesce("_rows", F.lit(0))).over(running).alias("_cr"),
-                        F.sum(F.coalesce("_users", F.lit(0))).over(running).alias("_cu"))
-                .filter(F.col("rank").isin(list(points)))
-                .join(totals, "subset"))
-    return curve.select("subset", F.col("rank").cast("int").alias("n"),
-                        (F.col("_cr") / F.col("_all_rows") * 100.0).alias("triplet_pct"),
-                        (F.col("_cu") / F.col("_all_users") * 100.0).alias("user_pct"))
+    # Ranks, per-rank counts and the subset totals stacked in one small table
+    # (at most max_n + 1 rows per subset) and combined by windows on the
+    # subset: no join, so nothing degenerates into a keyless join when there is
+    # a single subset.
+    zero, none = F.lit(0).cast("bigint"), F.lit(None).cast("bigint")
+    stacked = (top.select("subset", "rank", zero.alias("_rows"), zero.alias("_users"),
+                          none.alias("_all_rows"), none.alias("_all_users"))
+               .unionByName(rows_per_rank.select("subset", "rank", "_rows", zero.alias("_users"),
+                                                 none.alias("_all_rows"), none.alias("_all_users")))
+               .unionByName(users_per_rank.select("subset", "rank", zero.alias("_rows"), "_users",
+                                                  none.alias("_all_rows"), none.alias("_all_users")))
+               .unionByName(totals.select("subset", F.lit(None).cast("int").alias("rank"), zero.alias("_rows"),
+                                          zero.alias("_users"), "_all_rows", "_all_users")))
+    per_rank = stacked.groupBy("subset", "rank").agg(
+        F.sum("_rows").alias("_rows"), F.sum("_users").alias("_users"),
+        F.max("_all_rows").alias("_all_rows"), F.max("_all_users").alias("_all_users"))
+    running = Window.partitionBy("subset").orderBy(F.col("rank").asc_nulls_first()) \
+                    .rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("subset")
+    curve = per_rank.select("subset", "rank",
+                            F.sum("_rows").over(running).alias("_cr"),
+                            F.sum("_users").over(running).alias("_cu"),
+                            F.max("_all_rows").over(whole).alias("_all_rows"),
+                            F.max("_all_users").over(whole).alias("_all_users"))
+    return curve.filter(F.col("rank").isin(list(points))).select(
+        "subset", F.col("rank").cast("int").alias("n"),
+        (F.col("_cr") / F.col("_all_rows") * 100.0).alias("triplet_pct"),
+        (F.col("_cu") / F.col("_all_users") * 100.0).alias("user_pct"))
 
 
 def popularity_curve(plays: DataFrame, points: Sequence[int] = CURVE_POINTS) -> DataFrame:
