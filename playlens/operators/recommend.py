@@ -5,11 +5,15 @@ Lists come out long, one row per (entity, rank, item_id), rank 1-based.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playlens.functions.columns import seeded_key
-from playlens.operators.sparse_product import sparse_product
+from playlens.operators.sparse_product import sparse_product, top_k_per_row
 
 POPULARITY_COLUMNS = {"tot": "total_play", "occ": "occurrence", "mean": "mean"}
 
@@ -111,9 +115,63 @@ def train_als(ratings: DataFrame, rank: int = 10, reg: float = 0.1, alpha: float
                                   F.col("rating").cast("float").alias("rating")))
 
 
+def _tile_top_n(pdf: pd.DataFrame, n: int) -> pd.DataFrame:
+    """Scores of one (user block, item block) tile and each user's n best items in it."""
+    users = pdf[pdf["side"] == 0]
+    items = pdf[pdf["side"] == 1]
+    if users.empty or items.empty:
+        return pd.DataFrame({"r": pd.Series([], dtype="int64"), "q": pd.Series([], dtype="int64"),
+                             "v": pd.Series([], dtype="float64")})
+    u = np.stack(users["features"].to_numpy()).astype(np.float64)
+    v = np.stack(items["features"].to_numpy()).astype(np.float64)
+    uid = users["a"].to_numpy(np.int64)
+    iid = items["a"].to_numpy(np.int64)
+    scores = u @ v.T
+    k = min(n, scores.shape[1])
+    # Everything at or above each row's k-th best score (ties kept, cut later).
+    kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+    rows, cols = np.nonzero(scores >= kth[:, None])
+    vals = scores[rows, cols]
+    order = np.lexsort((iid[cols], -vals, rows))
+    rows, cols, vals = rows[order], cols[order], vals[order]
+    first = np.r_[0, np.flatnonzero(np.diff(rows)) + 1]
+    pos = np.arange(rows.size) - np.repeat(first, np.diff(np.r_[first, rows.size]))
+    keep = pos < k
+    return pd.DataFrame({"r": uid[rows[keep]], "q": iid[cols[keep]], "v": vals[keep]})
+
+
+def top_n_from_factors(user_factors: DataFrame, item_factors: DataFrame, n: int = 20,
+                       max_cells: int = 1 << 24) -> DataFrame:
+    """(r, q, v, rank): the n best items per user by factor dot product.
+
+    Users and items are hashed into blocks sized so one tile's score block has
+    at most ``max_cells`` entries; each user row is copied to every item block
+    and each item row to every user block (no keyless join), one task per tile
+    multiplies the two factor blocks and keeps its top n per user, and a ranked
+    window (WindowGroupLimit) takes the final n across item blocks.
+    """
+    spark = user_factors.sparkSession
+    n_users, n_items = user_factors.count(), item_factors.count()
+    per_tile = max(1, max_cells)
+    tiles = max(spark.sparkContext.defaultParallelism, math.ceil(n_users * n_items / per_tile))
+    nb_u = max(1, min(n_users, math.ceil(math.sqrt(tiles * max(n_users, 1) / max(n_items, 1)))))
+    nb_i = max(1, min(n_items, math.ceil(tiles / nb_u)))
+    u = user_factors.select(F.lit(0).alias("side"), F.col("id").cast("long").alias("a"), "features",
+                            F.pmod(F.xxhash64("id"), F.lit(nb_u)).alias("ub"),
+                            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nb_i - 1).cast("long"))).alias("ib"))
+    v = item_factors.select(F.lit(1).alias("side"), F.col("id").cast("long").alias("a"), "features",
+                            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nb_u - 1).cast("long"))).alias("ub"),
+                            F.pmod(F.xxhash64("id"), F.lit(nb_i)).alias("ib"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _tile_top_n(pdf, n)
+
+    cells = u.unionByName(v).groupBy("ub", "ib").applyInPandas(run, "r long, q long, v double")
+    return top_k_per_row(cells, n)
+
+
 def recommend_als(model, n: int = 20) -> DataFrame:
     """(row, rank, item_id, score): top-n items per row; training items are not removed."""
-    recs = model.recommendForAllUsers(n)
-    return recs.select("row", F.posexplode("recommendations").alias("_p", "_r")).select(
-        "row", (F.col("_p") + 1).cast("int").alias("rank"),
-        F.col("_r.item").cast("long").alias("item_id"), F.col("_r.rating").cast("double").alias("score"))
+    top = top_n_from_factors(model.userFactors, model.itemFactors, n)
+    return top.select(F.col("r").alias("row"), F.col("rank").cast("int").alias("rank"),
+                      F.col("q").alias("item_id"), F.col("v").alias("score"))

@@ -107,3 +107,19 @@ def test_popular_and_random_lists(spark, T):
         recommend.top_items(stats.song_play_mean(T), "nope", 2)
     rnd = recommend.recommend_random(ents, stats.song_play_mean(T), 5, 1).collect()
     assert len(rnd) == 2          # 20% of 4 items rounds to 1 item, for each entity
+
+
+def test_top_n_from_factors_matches_brute_force(spark):
+    rng = np.random.default_rng(5)
+    u = rng.normal(size=(37, 4))
+    v = rng.normal(size=(53, 4))
+    uf = spark.createDataFrame([(i, [float(x) for x in u[i]]) for i in range(37)], "id int, features array<float>")
+    vf = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(53)], "id int, features array<float>")
+    got = recommend.top_n_from_factors(uf, vf, 5, max_cells=200).collect()
+    u32 = u.astype(np.float32).astype(np.float64)
+    v32 = v.astype(np.float32).astype(np.float64)
+    s = u32 @ v32.T
+    for r in range(37):
+        want = sorted(range(53), key=lambda q: (-s[r, q], q))[:5]
+        mine = [t["q"] for t in sorted((t for t in got if t["r"] == r), key=lambda t: t["rank"])]
+        assert mine == want
