@@ -12,8 +12,9 @@ user with a third of all rows would emit (N/3)^2 rows from one join key. Here th
 output rows r are cut into blocks I of at most ``max_cells / n_q`` rows, the
 keys t into chunks c, and a very frequent key's Y entries into slabs s. One
 ``applyInPandas`` task per tile (I, c, s) multiplies its entries with numpy into
-a dense, bounded block accumulator, so all products inside a tile are summed
-before anything leaves the task. Each Y entry is copied only to the row blocks
+a dense accumulator, one row sub-block at a time so it never holds more than
+``max_cells`` values, and all products inside a tile are summed before anything
+leaves the task. Each Y entry is copied only to the row blocks
 that use its key (at most the number of blocks), not to every partner.
 
 If every tile holds complete sums (one chunk, no slabs: the whole input fits
@@ -38,31 +39,25 @@ TIE_DIGITS = 9          # values are ranked on this rounding so ties fall alike
 _BATCH_PRODUCTS = 4_000_000
 
 
-def _tile_products(pdf: pd.DataFrame, k: int | None, exclude: str | None) -> pd.DataFrame:
-    xs = pdf[pdf["side"] == 0]
-    ys = pdf[pdf["side"] == 1]
-    if xs.empty or ys.empty:
-        return pd.DataFrame({"r": pd.Series([], dtype="int64"), "q": pd.Series([], dtype="int64"),
-                             "v": pd.Series([], dtype="float64")})
-    xs = xs.sort_values("t", kind="stable")
-    ys = ys.sort_values("t", kind="stable")
-    xt = xs["t"].to_numpy(np.int64)
-    yt = ys["t"].to_numpy(np.int64)
-    xv = xs["v"].to_numpy(np.float64)
-    yv = ys["v"].to_numpy(np.float64)
-    r_codes, r_uni = pd.factorize(xs["a"].to_numpy(np.int64), sort=True)
-    q_codes, q_uni = pd.factorize(ys["a"].to_numpy(np.int64), sort=True)
+def _empty(ranked: bool = False) -> pd.DataFrame:
+    cols = {"r": pd.Series([], dtype="int64"), "q": pd.Series([], dtype="int64"),
+            "v": pd.Series([], dtype="float64")}
+    if ranked:
+        cols["rank"] = pd.Series([], dtype="int32")
+    return pd.DataFrame(cols)
+
+
+def _block(xt, xv, r_codes, r_uni, yt, yv, q_codes, q_uni, k, exclude) -> pd.DataFrame:
+    """Products of one row sub-block (X entries sorted by key) into a dense accumulator."""
     n_r, n_q = len(r_uni), len(q_uni)
     acc = np.zeros(n_r * n_q, dtype=np.float64)
-
     y_start = np.searchsorted(yt, xt, side="left")
     y_count = np.searchsorted(yt, xt, side="right") - y_start
     cum = np.cumsum(y_count)
     lo = 0
     while lo < len(xt):
         base = cum[lo - 1] if lo > 0 else 0
-        hi = int(np.searchsorted(cum, base + _BATCH_PRODUCTS, side="right"))
-        hi = max(hi, lo + 1)
+        hi = max(int(np.searchsorted(cum, base + _BATCH_PRODUCTS, side="right")), lo + 1)
         cnt = y_count[lo:hi]
         total = int(cnt.sum())
         if total:
@@ -104,9 +99,36 @@ def _tile_products(pdf: pd.DataFrame, k: int | None, exclude: str | None) -> pd.
         out_q.append(q_uni[pick])
         out_v.append(vals[pick])
     if not out_r:
-        return pd.DataFrame({"r": pd.Series([], dtype="int64"), "q": pd.Series([], dtype="int64"),
-                             "v": pd.Series([], dtype="float64")})
-    return pd.DataFrame({"r": np.concatenate(out_r), "q": np.concatenate(out_q), "v": np.concatenate(out_v)})
+        return _empty(ranked=True)
+    ranks = np.concatenate([np.arange(1, len(q) + 1, dtype=np.int32) for q in out_q])
+    return pd.DataFrame({"r": np.concatenate(out_r), "q": np.concatenate(out_q), "v": np.concatenate(out_v),
+                         "rank": ranks})
+
+
+def _tile_products(pdf: pd.DataFrame, k: int | None, exclude: str | None,
+                   max_cells: int = 1 << 24) -> pd.DataFrame:
+    """All products of one tile, row sub-block by row sub-block so the dense
+    accumulator never exceeds ``max_cells`` entries."""
+    xs = pdf[pdf["side"] == 0]
+    ys = pdf[pdf["side"] == 1]
+    if xs.empty or ys.empty:
+        return _empty(ranked=k is not None)
+    xs = xs.sort_values("t", kind="stable")
+    ys = ys.sort_values("t", kind="stable")
+    xt = xs["t"].to_numpy(np.int64)
+    yt = ys["t"].to_numpy(np.int64)
+    xv = xs["v"].to_numpy(np.float64)
+    yv = ys["v"].to_numpy(np.float64)
+    r_codes, r_uni = pd.factorize(xs["a"].to_numpy(np.int64), sort=True)
+    q_codes, q_uni = pd.factorize(ys["a"].to_numpy(np.int64), sort=True)
+    rows_per = max(1, max_cells // max(1, len(q_uni)))
+    parts = []
+    for lo in range(0, len(r_uni), rows_per):
+        hi = min(len(r_uni), lo + rows_per)
+        m = (r_codes >= lo) & (r_codes < hi)
+        parts.append(_block(xt[m], xv[m], r_codes[m] - lo, r_uni[lo:hi], yt, yv, q_codes, q_uni, k, exclude))
+    parts = [p for p in parts if len(p)]
+    return pd.concat(parts, ignore_index=True) if parts else _empty(ranked=k is not None)
 
 
 def sparse_product(x: DataFrame, y: DataFrame, k: int | None = None, exclude: str | None = None,
@@ -134,12 +156,18 @@ def sparse_product(x: DataFrame, y: DataFrame, k: int | None = None, exclude: st
                       F.approx_count_distinct(F.when(F.col("side") == 1, F.col("a"))).alias("nq")).first()
     nx, ny = int(counts["nx"]), int(counts["ny"])
     nr, nq = max(1, int(counts["nr"])), max(1, int(counts["nq"]))
-    block_rows = max(1, max_cells // nq)
-    # At least one row block per core so the tiles spread over the cluster.
-    n_blocks = max(x.sparkSession.sparkContext.defaultParallelism, math.ceil(nr / block_rows))
-    n_blocks = min(n_blocks, nr)
+    # Row blocks: at least one per core; more only when a block would need more
+    # than ``subblocks`` passes of the bounded accumulator. Each block receives
+    # the Y entries of every key it uses, so fewer blocks means less copying.
+    subblocks = 8
+    block_rows = max(1, (max_cells // nq) * subblocks)
     n_chunks = max(1, math.ceil((nx + ny) / chunk_entries))
     fast = n_chunks == 1
+    n_blocks = math.ceil(nr / block_rows)
+    if fast:
+        # A single key chunk: the row blocks are the only source of parallelism.
+        n_blocks = max(n_blocks, x.sparkSession.sparkContext.defaultParallelism)
+    n_blocks = max(1, min(n_blocks, nr))
 
     # Row block of each X entry (hashed, about block_rows rows each); the
     # distinct (block, key) pairs say to which blocks a Y entry is copied.
@@ -169,20 +197,22 @@ def sparse_product(x: DataFrame, y: DataFrame, k: int | None = None, exclude: st
     excl = exclude if fast else None
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _tile_products(pdf, keep_k, excl)
+        return _tile_products(pdf, keep_k, excl, max_cells)
 
+    if fast and k is not None:
+        # Each row lives in one tile and the tile holds its complete sums, so the
+        # tile's top-k (ranked in the task) is final: no further shuffle.
+        return tiles.groupBy("I", "c", "s").applyInPandas(run, OUT_SCHEMA + ", rank int")
     cells = tiles.groupBy("I", "c", "s").applyInPandas(run, OUT_SCHEMA)
     if k is None:
         return cells if fast else cells.groupBy("r", "q").agg(F.sum("v").alias("v"))
-    if not fast:
-        cells = cells.groupBy("r", "q").agg(F.sum("v").alias("v"))
-        if exclude == "self":
-            cells = cells.filter(F.col("r") != F.col("q"))
-        elif exclude == "x_support":
-            support = xs.select(F.col("a").alias("r"), F.col("t").alias("q"))
-            cells = cells.join(support, ["r", "q"], "left_anti")
-        cells = cells.filter(F.col("v") > 0)
-    return top_k_per_row(cells, k)
+    cells = cells.groupBy("r", "q").agg(F.sum("v").alias("v"))
+    if exclude == "self":
+        cells = cells.filter(F.col("r") != F.col("q"))
+    elif exclude == "x_support":
+        support = xs.select(F.col("a").alias("r"), F.col("t").alias("q"))
+        cells = cells.join(support, ["r", "q"], "left_anti")
+    return top_k_per_row(cells.filter(F.col("v") > 0), k)
 
 
 def top_k_per_row(cells: DataFrame, k: int) -> DataFrame:
