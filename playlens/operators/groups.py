@@ -71,16 +71,18 @@ def virtual_users(group_plays: DataFrame, agg: str = "avg", weights: DataFrame |
     return group_aggregate_scores(rows, agg, weights)
 
 
-def virtual_users_wide(virtual: DataFrame, item_index: DataFrame, items: Sequence[int]) -> DataFrame:
-    """group x item-index table, zeros filled, for an explicit list of item indexes.
+def virtual_users_wide(virtual: DataFrame, items: Sequence, names: Sequence[str] | None = None) -> DataFrame:
+    """group x item table for an explicit, bounded list of items, zeros filled.
 
-    The column list must be given: a pivot over an unbounded set of items would
-    have to collect the item set to the driver.
+    Every group of ``virtual`` gets a row. The column list must be given (and
+    optionally renamed): a pivot over every item would first gather the whole
+    item set on the driver and build one column per item.
     """
-    idx = item_index.select(F.col("id").alias("item_id"), F.col("idx").alias("item_idx"))
-    return (virtual.join(idx, "item_id")
-                   .groupBy("group_id").pivot("item_idx", list(items)).agg(F.first("score"))
-                   .na.fill(0.0))
+    wide = (virtual.groupBy("group_id").pivot("item_id", list(items))
+                   .agg(F.first("score")).na.fill(0.0))
+    if names is not None:
+        wide = wide.select("group_id", *[F.col(f"`{i}`").alias(n) for i, n in zip(items, names)])
+    return wide
 
 
 def virtual_train_test(group_plays: DataFrame, user_stats: DataFrame, membership: DataFrame,

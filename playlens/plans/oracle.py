@@ -400,6 +400,7 @@ FROM plays p JOIN customer c ON c.c_custkey = p.user_id"""
     q["distinct_users"] = _w(PLAYS) + "SELECT DISTINCT user_id AS id FROM plays"
     q["distinct_songs"] = _w(PLAYS) + "SELECT DISTINCT item_id AS id FROM plays"
     q["play_histogram"] = _hist_sql()
+    q["play_histogram_pct"] = f"SELECT bin, pct FROM ({_hist_sql()})"
     q["listen_counts_for_ids"] = _w(PLAYS) + """SELECT p.p_partkey AS id, CAST(coalesce(t.s, 0) AS BIGINT) AS listen_count
 FROM part p LEFT JOIN (SELECT item_id, sum(play_count) AS s FROM plays GROUP BY item_id) t ON t.item_id = p.p_partkey"""
 
@@ -460,6 +461,11 @@ FROM membership m JOIN user_stats s ON s.id = m.user_id"""
     q["virtual_train_test"] = "WITH " + GROUPS_BASE + """
 SELECT group_id, item_id, round(score, 6) AS score, 'train' AS split FROM vtrain
 UNION ALL SELECT group_id, item_id, round(score, 6) AS score, 'test' AS split FROM vtest"""
+    wide_cols = ", ".join(f"round(coalesce(max(CASE WHEN t.rank = {i} THEN v.score END), 0.0), 6) AS top{i}"
+                          for i in range(1, 21))
+    q["virtual_users_wide"] = "WITH " + GROUPS_BASE + f""", top AS ({_top_items('occurrence', 20)})
+SELECT v.group_id, {wide_cols}
+FROM vtrain v LEFT JOIN top t ON v.item_id = t.item_id GROUP BY v.group_id"""
     q["rating_tuples"] = "WITH " + GROUPS_BASE + \
         "\nSELECT group_id AS row, item_id, round(score, 6) AS rating FROM vtrain WHERE score <> 0"
 

@@ -350,6 +350,11 @@ def q_play_histogram(spark, sf):
     return stats.play_histogram(_plays(spark, sf))
 
 
+@query("play_histogram_pct")
+def q_play_histogram_pct(spark, sf):
+    return stats.play_histogram(_plays(spark, sf)).select("bin", "pct")
+
+
 @query("listen_counts_for_ids")
 def q_listen_counts_for_ids(spark, sf):
     return stats.listen_counts_for_ids(fx.id_list_items(spark, sf), _plays(spark, sf))
@@ -519,6 +524,19 @@ def q_virtual_users(spark, sf):
     return _virtual(spark, sf, "train")
 
 
+WIDE_TOP = 20   # columns of the wide virtual-user table: the most played songs
+
+
+@query("virtual_users_wide")
+def q_virtual_users_wide(spark, sf):
+    """Virtual users as a group x song table over the 20 songs with most rows
+    (columns top1..top20 by that rank)."""
+    top = recommend.top_items(_item_stats(spark, sf), "occ", WIDE_TOP).orderBy("rank").collect()
+    items = [r["item_id"] for r in top]
+    return groups.virtual_users_wide(_virtual(spark, sf, "train"), items,
+                                     [f"top{r['rank']}" for r in top])
+
+
 @query("virtual_train_test")
 def q_virtual_train_test(spark, sf):
     train, test = groups.virtual_train_test(_group_plays(spark, sf), _user_stats(spark, sf),
