@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playlens.operators.stats import num_distinct
+from playlens.session import ensure_checkpoint_dir
 
 
 def filter_min_plays(plays: DataFrame, min_play: int = 1) -> DataFrame:
@@ -47,10 +48,19 @@ def join_active_users(plays: DataFrame, active: DataFrame) -> DataFrame:
 
 
 def extract_subset(plays: DataFrame, item_stats: DataFrame, min_play: int = 1,
-                   min_occurrence: int = 500, min_mean: float = 4.0, min_rows: int = 20) -> DataFrame:
-    """plays > min_play, on popular songs, of users with > min_rows such rows."""
+                   min_occurrence: int = 500, min_mean: float = 4.0, min_rows: int = 20,
+                   materialize: bool = True) -> DataFrame:
+    """plays > min_play, on popular songs, of users with > min_rows such rows.
+
+    The song-filtered rows are read twice (user counts, then the semi-join);
+    with ``materialize`` they are written once as a reliable checkpoint in the
+    shared folder, so the input plan is not run twice and lineage is cut.
+    """
     kept = join_popular_items(filter_min_plays(plays, min_play),
                               popular_items(item_stats, min_occurrence, min_mean))
+    if materialize:
+        ensure_checkpoint_dir(plays.sparkSession)
+        kept = kept.checkpoint(eager=True)
     return join_active_users(kept, active_users(kept, min_rows))
 
 
