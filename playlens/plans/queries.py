@@ -9,6 +9,7 @@ can be compared with the DuckDB checks in ``plans.oracle``.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,25 +39,28 @@ TOP_N = 20
 ALS_PARAMS = (10, 0.1, 0.01)   # rank, lambda, alpha of the reference's ALS run
 
 
-_MEMO: dict = {}
+_LOCAL = threading.local()
 
 
 def _memo(key, build):
     """Inputs shared inside one query (e.g. the checkpointed group membership),
-    built once per query run; cleared before every query."""
-    if key not in _MEMO:
-        _MEMO[key] = build()
-    return _MEMO[key]
+    built once per query run; cleared before every query (per thread)."""
+    memo = getattr(_LOCAL, "memo", None)
+    if memo is None:
+        memo = _LOCAL.memo = {}
+    if key not in memo:
+        memo[key] = build()
+    return memo[key]
 
 
 def query(name: str):
     def deco(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            _MEMO.clear()
+            _LOCAL.memo = {}
             try:
                 return round_doubles(fn(spark, sf_dir), 6)
             finally:
-                _MEMO.clear()
+                _LOCAL.memo = {}
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
