@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed bin edges of the play-count histogram (must equal the reference's).
@@ -87,12 +87,6 @@ def distinct_values(plays: DataFrame, key: str) -> DataFrame:
     return plays.select(F.col(key).alias("id")).distinct()
 
 
-def bin_edges_table(spark, edges: Sequence[float] = PLAY_HISTOGRAM_EDGES) -> DataFrame:
-    """(bin, lo, hi): one row per bin; a fixed, small table."""
-    rows = [(i, float(edges[i]), float(edges[i + 1])) for i in range(len(edges) - 1)]
-    return spark.createDataFrame(rows, "bin INT, lo DOUBLE, hi DOUBLE")
-
-
 def _bin_of(value: Column, edges: Sequence[float]) -> Column:
     """0-based bin of ``value``: [a, b) bins, the last one closed; null outside."""
     last = len(edges) - 2
@@ -106,19 +100,19 @@ def play_histogram(plays: DataFrame, edges: Sequence[float] = PLAY_HISTOGRAM_EDG
                    value: str = "play_count") -> DataFrame:
     """(bin, lo, hi, count, pct): counts per bin, empty bins kept as 0.
 
-    ``pct`` divides by all rows, inside the edges or not.
+    ``pct`` divides by all rows, inside the edges or not. One pass: a count per
+    bin plus the row total in a single (partially aggregated) aggregate, then
+    unpivoted into one row per bin.
     """
     v = F.col(value).cast("double")
-    binned = plays.select(_bin_of(v, edges).alias("bin"))
-    per_bin = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
-    bins = bin_edges_table(plays.sparkSession, edges)
-    # per_bin has one row per bin plus one for "outside": the window over it is tiny.
-    totals = per_bin.select("bin", "count", F.sum("count").over(Window.partitionBy()).alias("_total"))
-    return (bins.join(totals.filter(F.col("bin").isNotNull()), "bin", "left")
-                .select("bin", "lo", "hi",
-                        F.coalesce("count", F.lit(0)).cast("bigint").alias("count"),
-                        (F.coalesce("count", F.lit(0)) / F.max("_total").over(Window.partitionBy())
-                         * 100.0).alias("pct")))
+    b = _bin_of(v, edges)
+    n_bins = len(edges) - 1
+    counts = plays.agg(*[F.count_if(b == i).alias(f"c{i}") for i in range(n_bins)],
+                       F.count(F.lit(1)).alias("total"))
+    stack = ", ".join(f"{i}, {float(edges[i])!r}D, {float(edges[i + 1])!r}D, c{i}" for i in range(n_bins))
+    rows = counts.selectExpr(f"stack({n_bins}, {stack}) AS (bin, lo, hi, count)", "total")
+    return rows.select(F.col("bin").cast("int").alias("bin"), "lo", "hi", F.col("count").cast("bigint").alias("count"),
+                       (F.col("count") / F.col("total") * 100.0).alias("pct"))
 
 
 def listen_counts_for_ids(ids: DataFrame, plays: DataFrame, key: str = "item_id") -> DataFrame:
