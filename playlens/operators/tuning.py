@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from playlens.operators.metrics import N_LIST, evaluate_at
 from playlens.operators.recommend import recommend_als, train_als
+from playlens.session import ensure_checkpoint_dir
 
 
 def param_grid(spark: SparkSession, ranks: Sequence[int], lambdas: Sequence[float],
@@ -49,6 +50,10 @@ def cross_validate(folded: DataFrame, grid: Sequence[tuple[int, float, float]],
     others train; labels are the test items.
     """
     spark = folded.sparkSession
+    # Every fit reads the fold table again: materialise it once (reliable
+    # checkpoint in the shared folder) instead of replaying its plan per fit.
+    ensure_checkpoint_dir(spark)
+    folded = folded.checkpoint(eager=True)
     folds = cv if cv is not None else folded.agg(F.max("fold")).first()[0] + 1
     out = []
     for k in range(folds):
@@ -78,6 +83,9 @@ def grid_scan(train: DataFrame, labels: DataFrame, grid: Sequence[tuple[int, flo
     """(param_id, rank, reg, alpha, map, ndcg, f1, precision, recall, mpr) on one split,
     sorted by mPR ascending."""
     spark = train.sparkSession
+    ensure_checkpoint_dir(spark)
+    train = train.checkpoint(eager=True)
+    labels = labels.checkpoint(eager=True)
     rows = []
     for pid, (rank, reg, alpha) in enumerate(grid):
         r = evaluate_als(train, labels, rank, reg, alpha, [n], seed).first()
