@@ -146,28 +146,41 @@ def top_n_from_factors(user_factors: DataFrame, item_factors: DataFrame, n: int
 
     Users and items are hashed into blocks sized so one tile's score block has
     at most ``max_cells`` entries; each user row is copied to every item block
-    and each item row to every user block (no keyless join), one task per tile
-    multiplies the two factor blocks and keeps its top n per user, and a ranked
-    window (WindowGroupLimit) takes the final n across item blocks.
+    and each item row to every user block (no keyless join), and one task per
+    tile multiplies the two factor blocks and keeps its top n per user. With a
+    single item block that list is final; otherwise a ranked window
+    (WindowGroupLimit) takes the final n across item blocks.
     """
     spark = user_factors.sparkSession
     n_users, n_items = user_factors.count(), item_factors.count()
-    per_tile = max(1, max_cells)
-    tiles = max(spark.sparkContext.defaultParallelism, math.ceil(n_users * n_items / per_tile))
-    nb_u = max(1, min(n_users, math.ceil(math.sqrt(tiles * max(n_users, 1) / max(n_items, 1)))))
-    nb_i = max(1, min(n_items, math.ceil(tiles / nb_u)))
+    # Items per block: all of them when a block of at least 256 users still
+    # fits ``max_cells`` scores (then each tile's top n is final); otherwise
+    # blocks of max_cells / 256 items and a ranked window across them.
+    per_block_items = min(max(n_items, 1), max(1, max_cells // 256))
+    nb_i = max(1, math.ceil(n_items / per_block_items))
+    users_per_block = max(1, max_cells // per_block_items)
+    nb_u = max(1, math.ceil(n_users / users_per_block))
+    if nb_i == 1:
+        nb_u = max(nb_u, spark.sparkContext.defaultParallelism)
+    nb_u = max(1, min(nb_u, n_users))
     u = user_factors.select(F.lit(0).alias("side"), F.col("id").cast("long").alias("a"), "features",
                             F.pmod(F.xxhash64("id"), F.lit(nb_u)).alias("ub"),
                             F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nb_i - 1).cast("long"))).alias("ib"))
     v = item_factors.select(F.lit(1).alias("side"), F.col("id").cast("long").alias("a"), "features",
                             F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nb_u - 1).cast("long"))).alias("ub"),
                             F.pmod(F.xxhash64("id"), F.lit(nb_i)).alias("ib"))
+    final = nb_i == 1
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _tile_top_n(pdf, n)
-
-    cells = u.unionByName(v).groupBy("ub", "ib").applyInPandas(run, "r long, q long, v double")
-    return top_k_per_row(cells, n)
+        out = _tile_top_n(pdf, n)
+        if final:
+            out["rank"] = (out.groupby("r").cumcount() + 1).astype("int32")
+        return out
+
+    tiles = u.unionByName(v).groupBy("ub", "ib")
+    if final:
+        return tiles.applyInPandas(run, "r long, q long, v double, rank int")
+    return top_k_per_row(tiles.applyInPandas(run, "r long, q long, v double"), n)
 
 
 def recommend_als(model, n: int = 20) -> DataFrame:
