@@ -11,7 +11,8 @@ only table that meets the driver-side broadcast is one row per partition.
 distributed hex key (an md5), plus the group size. A window on the group alone
 would put a hot group (say a user with a third of all rows) into one task, so
 the window runs on (group, salt) with the salt taken from the key's leading hex
-digits, and per-(group, salt) counts give the offsets. The offsets table has at
+digits, and per-(group, salt) counts give the offsets. ``salt_digits`` picks
+the number of digits from the largest group, so small groups are not split. The offsets table has at
 most 16**digits rows per group and is joined back on the window's own
 partitioning, so the big side is shuffled once.
 """
@@ -53,6 +54,18 @@ def global_index(df: DataFrame, order_cols: Sequence[str], idx_col: str = "idx",
                   .drop("__gi_mid", "__gi_pid", "__gi_pos", "__gi_off"))
 
 
+def salt_digits(df: DataFrame, group_cols: Sequence[str], max_group_rows: int = 100_000) -> int:
+    """Hex digits of salt so no (group, salt) window holds more than about
+    ``max_group_rows`` rows: 0 when the largest group is already that small.
+    One scalar from a partially aggregated count per group."""
+    biggest = (df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__n"))
+                 .agg(F.max("__n").alias("m")).first()["m"]) or 0
+    digits = 0
+    while biggest > max_group_rows * (16 ** digits) and digits < 8:
+        digits += 1
+    return digits
+
+
 def rank_within(df: DataFrame, group_cols: Sequence[str], key_col: str,
                 tie_cols: Sequence[str] = (), rank_col: str = "rank",
                 size_col: str = "group_size", hex_digits: int = 2) -> DataFrame:
@@ -60,7 +73,8 @@ def rank_within(df: DataFrame, group_cols: Sequence[str], key_col: str,
     (then ``tie_cols``), and the group's row count.
     """
     groups = list(group_cols)
-    salted = df.withColumn("__rw_salt", key_salt(key_col, hex_digits))
+    salt = key_salt(key_col, hex_digits) if hex_digits > 0 else F.lit(0)
+    salted = df.withColumn("__rw_salt", salt)
     w = Window.partitionBy(*groups, "__rw_salt").orderBy(F.col(key_col), *[F.col(c) for c in tie_cols])
     ranked = salted.withColumn("__rw_r", F.row_number().over(w))
     # Sub-group sizes straight from the input (partial aggregate, no sort).

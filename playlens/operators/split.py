@@ -1,8 +1,8 @@
 """Per-user hold-out split and k-fold assignment.
 
 Each user's rows are put in a fixed pseudo-random order by an md5 key of
-(seed, user, item), ranked with the skew-safe ``rank_within`` (a user with a
-third of all rows is spread over many window tasks), and cut by exact sizes:
+(seed, user, item), ranked with the skew-safe ``rank_within`` (a user with more
+than ``max_window_rows`` rows is spread over several window tasks), and cut by exact sizes:
 round-half-even(frac * n) rows go to train, like pandas ``sample(frac)``.
 """
 
@@ -12,17 +12,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from playlens.functions.columns import seeded_key
-from playlens.functions.numbering import rank_within
+from playlens.functions.numbering import rank_within, salt_digits
 
 
-def _ranked(plays: DataFrame, seed: int) -> DataFrame:
+MAX_WINDOW_ROWS = 100_000   # rows of one user per window task before salting
+
+
+def _ranked(plays: DataFrame, seed: int, max_window_rows: int = MAX_WINDOW_ROWS) -> DataFrame:
     keyed = plays.withColumn("_key", seeded_key(seed, "user_id", "item_id"))
-    return rank_within(keyed, ["user_id"], "_key", tie_cols=["item_id"], rank_col="_rank", size_col="_n")
+    digits = salt_digits(plays, ["user_id"], max_window_rows)
+    return rank_within(keyed, ["user_id"], "_key", tie_cols=["item_id"], rank_col="_rank", size_col="_n",
+                       hex_digits=digits)
 
 
-def split_train_test(plays: DataFrame, frac: float = 0.5, seed: int = 42) -> DataFrame:
+def split_train_test(plays: DataFrame, frac: float = 0.5, seed: int = 42,
+                     max_window_rows: int = MAX_WINDOW_ROWS) -> DataFrame:
     """plays + ``split`` ('train' / 'test'); exactly bround(frac * n) train rows per user."""
-    r = _ranked(plays, seed)
+    r = _ranked(plays, seed, max_window_rows)
     n_train = F.bround(F.lit(float(frac)) * F.col("_n"), 0)
     return r.withColumn("split", F.when(F.col("_rank") <= n_train, F.lit("train")).otherwise(F.lit("test"))) \
             .drop("_key", "_rank", "_n")
@@ -40,9 +46,10 @@ def fold_bounds(n: Column, cv: int) -> list[Column]:
     return ends
 
 
-def cv_folds(plays: DataFrame, cv: int = 5, seed: int = 42) -> DataFrame:
+def cv_folds(plays: DataFrame, cv: int = 5, seed: int = 42,
+             max_window_rows: int = MAX_WINDOW_ROWS) -> DataFrame:
     """plays + ``fold`` (0..cv-1); folds are disjoint and cover every row."""
-    r = _ranked(plays, seed)
+    r = _ranked(plays, seed, max_window_rows)
     ends = fold_bounds(F.col("_n"), cv)
     fold = F.when(F.col("_rank") <= ends[0], F.lit(0))
     for i in range(1, cv):

@@ -30,6 +30,16 @@ def test_split_is_deterministic_and_disjoint(spark):
     assert len({(u, i) for u, i, _ in a}) == len(a) == 23
 
 
+def test_split_same_with_forced_salting(spark):
+    df = _user_rows(spark, [7, 13, 3, 40])
+    plain = rows_of(split.split_train_test(df, 0.5, 3), "user_id", "item_id", "split")
+    salted = rows_of(split.split_train_test(df, 0.5, 3, max_window_rows=2), "user_id", "item_id", "split")
+    assert plain == salted
+    f1 = rows_of(split.cv_folds(df, 5, 3), "user_id", "item_id", "fold")
+    f2 = rows_of(split.cv_folds(df, 5, 3, max_window_rows=2), "user_id", "item_id", "fold")
+    assert f1 == f2
+
+
 def test_fold_sizes(spark):
     df = _user_rows(spark, [7, 13, 3])
     out = split.cv_folds(df, 5, 42)
