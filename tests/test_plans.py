@@ -55,3 +55,8 @@ def test_entry_smoke(spark):
     df = se.entry(spark)
     assert df.columns == ["user_id", "item_id", "play_count"]
     assert df.count() == 658
+
+
+def test_als_lists_without_keyless_join(spark, registry):
+    plan = _plan(registry["recommend_als"](spark, SF_SMALL))
+    assert not any(k in plan for k in KEYLESS), plan
