@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 _LOCAL_CHECKPOINT_ROOT: str | None = None
+_SHIPPED: set[str] = set()
 
 
 def get_session(master: str | None = None, app_name: str = "playlens",
@@ -47,6 +48,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """
     global _LOCAL_CHECKPOINT_ROOT
     sc = spark.sparkContext
+    ship_package(spark)
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -62,6 +64,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or _LOCAL_CHECKPOINT_ROOT
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make ``playlens`` importable in the Python workers (pandas UDF tasks).
+
+    The package is zipped once per SparkContext and added with ``addPyFile``,
+    which Spark copies to every executor; the caller's working directory or
+    PYTHONPATH does not matter.
+    """
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="playlens-pkg-"), "playlens.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path beside the checkpoints for written tables."""
     root = ensure_checkpoint_dir(spark)
