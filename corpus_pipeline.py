@@ -1,6 +1,73 @@
-STAGES = []
+"""The corpus pipeline: documents that are worth training on.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
+what a stage returns as Parquet in the shared folder and hands it, read again, to
+the next. All stages but the last return the columns of ``documents``.
+
+1. quality: documents whose perplexity is above their language's threshold go.
+2. language: documents whose language isn't recognised with confidence go.
+3. near_duplicates: of each group of near copies (five words, 0.8) the document
+   with the smallest id stays.
+4. decontaminate: documents that hold a benchmark item go.
+5. mix: documents are sampled to the target shares of source, language and topic.
+   Returns doc_id, source, lang, topic, n_tokens and probability of the sample.
+
+A row whose id is null has its own fate at each stage and is never a near copy.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from playlens.llm import decontaminate as leaks
+from playlens.llm import langid, mixing, ngram_join
+from playlens.llm import quality as kn
+from playlens.llm.common import prepare, stored
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return kn.classify(docs, labels).where("keep").select(*docs.columns)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return langid.predict(docs, langid.train(docs)).where("accepted").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return ngram_join.keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return leaks.drop(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    kept = mixing.mix(docs).where("sampled")
+    return kept.select("doc_id", "source", "lang", "topic", "n_tokens", "probability")
+
+
+STAGES = [
+    ("quality", quality),
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("decontaminate", decontaminate),
+    ("mix", mix),
+]
+
+#: Trained classifiers decide in the first two stages: SQL can't express them.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

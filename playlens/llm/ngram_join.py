@@ -286,3 +286,19 @@ def component_ids(docs: DataFrame, spec: JoinSpec | None = None, id_col: str = "
                    .select(F.col("id").alias(id_col), "n_shingles",
                            F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"),
                            F.coalesce("n_links", F.lit(0)).alias("n_links")))
+
+
+def keep_one(docs: DataFrame, spec: JoinSpec | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near copies: the one with the smallest
+    id (one of them, if that id is on several rows). Rows with an empty set or a
+    null id stay."""
+    prepare(docs.sparkSession)
+    ids = stored(component_ids(docs, spec, id_col, text_col).select(id_col, "component_id", "n_shingles"), "members")
+    gone = ids.where((F.col(id_col) != F.col("component_id")) & (F.col("n_shingles") > 0)).select(id_col).distinct()
+    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    several = stored(ids.where((F.col("n_shingles") > 0) & F.col(id_col).isNotNull()).groupBy(id_col).agg(
+        F.count(F.lit(1)).alias("__rows")).where("__rows > 1").select(id_col), "repeated-ids")
+    if not several.take(1):
+        return kept
+    once = kept.join(several, id_col, "left_semi").dropDuplicates([id_col])
+    return kept.join(several, id_col, "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))

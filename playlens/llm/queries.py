@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playlens.llm import chat, ngram_join
-from playlens.llm.common import prepare
+from playlens.llm import chat, decontaminate, langid, lm_trie, mixing, ngram_join, quality
+from playlens.llm.common import bucket_of, prepare
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,4 +31,45 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.component_ids(docs, ngram_join.JoinSpec(words=4, num=85))
 
 
-QUERIES = {"op1_chat_format": op1_chat_format, "op2_ngram_join": op2_ngram_join}
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return mixing.mix(docs).select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "sampled")
+
+
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = bucket_of("doc_id", 7) == 2
+    trie = lm_trie.train(docs.where(~held))
+    out = lm_trie.score(docs, trie)
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(trie.tokens).cast("long").alias("train_tokens"),
+                      "base_score", "score")
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find(docs, _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_item", "n_common", "containment")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = bucket_of("doc_id", 3) == 1
+    model = langid.train(docs.where(~held))
+    out = langid.predict(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return quality.classify(docs, _table(spark, sf_dir, "labels"), keep_columns=["doc_id", "lang"])
+
+
+QUERIES = {
+    "op1_chat_format": op1_chat_format,
+    "op2_ngram_join": op2_ngram_join,
+    "op3_mix_sources": op3_mix_sources,
+    "op4_lm_score": op4_lm_score,
+    "op5_decontaminate": op5_decontaminate,
+    "op9_language_id": op9_language_id,
+    "op10_quality": op10_quality,
+}
