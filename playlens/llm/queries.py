@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playlens.llm import chat, decontaminate, langid, lm_trie, mixing, ngram_join, quality
+from playlens.llm import ann, chat, decontaminate, html_text, langid, lm_trie, mixing, ngram_join, quality, toxicity
 from playlens.llm.common import bucket_of, prepare
 
 
@@ -51,6 +51,23 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_item", "n_common", "containment")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = bucket_of("doc_id", 5) == 0
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels").where(~held))
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "html")
+    return html_text.extract(pages).select("page_id", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(vectors, F.col("vec_id") % 50 == 0)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = bucket_of("doc_id", 3) == 1
@@ -70,6 +87,9 @@ QUERIES = {
     "op3_mix_sources": op3_mix_sources,
     "op4_lm_score": op4_lm_score,
     "op5_decontaminate": op5_decontaminate,
+    "op6_toxicity": op6_toxicity,
+    "op7_html_text": op7_html_text,
+    "op8_nearest": op8_nearest,
     "op9_language_id": op9_language_id,
     "op10_quality": op10_quality,
 }
