@@ -35,7 +35,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +42,7 @@ from playlens.llm import blocks as B
 from playlens.llm import shared_files as files
 from playlens.llm.common import prepare, stored
 from playlens.llm.elias_fano import EliasFano, encode
+from playlens.llm.packed import ROWS_SQL, Counter, gather
 
 _TYPES = (np.uint8, np.uint16, np.uint64, np.int64)
 
@@ -89,70 +89,6 @@ def _sub(parts: dict[str, np.ndarray], prefix: str) -> dict[str, np.ndarray]:
     return {k[len(prefix):]: v for k, v in parts.items() if k.startswith(prefix)}
 
 
-def _deflate(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes())
-
-
-def _inflate(b: bytes, n: int, dtype) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b, max_output_size=max(1, n * size)), np.uint8)
-    return np.ascontiguousarray(raw.reshape(size, n).T).view(dtype).reshape(-1)
-
-
-_ROWS = pa.schema([("shard", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
-_ROWS_SQL = "shard int, n long, keys binary, counts binary"
-
-
-class _Counter:
-    """Counts of sorted keys within a task, sent by shard when many are held."""
-
-    def __init__(self, limits: np.ndarray, most: int = 1 << 21):
-        self.limits, self.most, self.held, self.size = limits, most, [], 0
-
-    def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(keys):
-            self.held.append(np.unique(keys, return_counts=True))
-            self.size += len(self.held[-1][0])
-        if self.size > self.most:
-            yield from self.send()
-
-    def send(self) -> Iterator[pa.RecordBatch]:
-        if self.size:
-            k, c = _merge(self.held)
-            cut = np.searchsorted(k, self.limits)
-            for s, (keys, counts) in enumerate(zip(np.split(k, cut), np.split(c, cut), strict=True)):
-                if len(keys):
-                    delta = np.diff(keys, prepend=np.uint64(0))
-                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([len(keys)], pa.int64()),
-                                                      pa.array([_deflate(delta)], pa.binary()), pa.array([_deflate(counts)], pa.binary())], schema=_ROWS)
-        self.held, self.size = [], 0
-
-
-def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    if not parts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    if len(parts) == 1:
-        return parts[0]
-    k = np.concatenate([p[0] for p in parts])
-    c = np.concatenate([p[1] for p in parts])
-    order = np.argsort(k, kind="stable")  # runs are sorted already
-    k = k[order]
-    c = c[order]
-    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    return k[first], np.add.reduceat(c, first)
-
-
-def _gather(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-    """All rows of a shard merged, a few at a time."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    for b in batches:
-        for n, k, c in zip(b.column("n").to_pylist(), b.column("keys").to_pylist(), b.column("counts").to_pylist(), strict=True):
-            held.append((np.cumsum(_inflate(k, n, np.uint64), dtype=np.uint64), _inflate(c, n, np.int64)))
-            if len(held) >= 8:
-                held = [_merge(held)]
-    return _merge(held)
-
-
 def _words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes and words per text of a batch."""
     h, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
@@ -353,14 +289,14 @@ def train(docs: DataFrame, spec: TrieSpec | None = None, text_col: str = "text")
     every = spark.range(shards).select(F.col("id").cast("int").alias("shard"))
 
     def count_words(batches):
-        held = _Counter(bounds)
+        held = Counter(bounds)
         for b in batches:
             yield from held.add(_words(b.column("text"))[0])
         yield from held.send()
 
     def first_level(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = key[0].as_py()
-        k, c = _gather(b.filter(b.column("n").is_valid()) for b in batches)
+        k, c = gather(b.filter(b.column("n").is_valid()) for b in batches)
         parts = {f"ef.{n}": a for n, a in encode(k, 1 << 64).items()}
         files.save(folder, f"level1-{s}", _pack({**parts, "counts": c}))
         yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([len(k)], pa.int64()), pa.array([int(c.sum())], pa.int64())],
@@ -371,7 +307,7 @@ def train(docs: DataFrame, spec: TrieSpec | None = None, text_col: str = "text")
         got = stored(every.join(sent, "shard", "left").groupBy("shard").applyInArrow(write, "shard int, nodes long, total long"), "shards")
         return sorted(map(tuple, got.collect()))
 
-    first = by_shard(texts.mapInArrow(count_words, _ROWS_SQL), first_level)
+    first = by_shard(texts.mapInArrow(count_words, ROWS_SQL), first_level)
     sizes = np.array([n for _, n, _ in first], np.int64)
     trie = Trie(folder, spec, bounds, np.concatenate([[0], np.cumsum(sizes)]), tokens=sum(t for *_, t in first) + rows,
                 types=int(sizes.sum()) + (1 if rows else 0), docs=rows, level_offsets={})
@@ -379,7 +315,7 @@ def train(docs: DataFrame, spec: TrieSpec | None = None, text_col: str = "text")
     for level in range(2, spec.order + 1):
         base = trie._node_offsets(level - 1)
         shared = spark.sparkContext.broadcast(trie)  # one entry per shard
-        done = by_shard(texts.mapInArrow(_count_level(level, base, shared), _ROWS_SQL), _write_level(level, base, shared))
+        done = by_shard(texts.mapInArrow(_count_level(level, base, shared), ROWS_SQL), _write_level(level, base, shared))
         trie.level_offsets[level] = np.concatenate([[0], np.cumsum([n for _, n, _ in done])]).astype(np.int64)
     return trie
 
@@ -388,7 +324,7 @@ def _count_level(level: int, base: np.ndarray, shared):
     """A task's counts of (context node, word id) keys."""
     def count(batches):
         t = shared.value
-        held = _Counter(base[1:-1].astype(np.uint64) * np.uint64(t.ids))
+        held = Counter(base[1:-1].astype(np.uint64) * np.uint64(t.ids))
         for b in batches:
             seq = t.sequence(b.column("text"))[0]
             node, keys, ask = seq, None, None
@@ -412,7 +348,7 @@ def _write_level(level: int, base: np.ndarray, shared):
     def write(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, s = shared.value, key[0].as_py()
         spec = t.spec
-        k, c = _gather(b.filter(b.column("n").is_valid()) for b in batches)
+        k, c = gather(b.filter(b.column("n").is_valid()) for b in batches)
         k = k - np.uint64(int(base[s]) * t.ids)
         ctx = (k // np.uint64(t.ids)).astype(np.int64)
         contexts = int(base[s + 1] - base[s])

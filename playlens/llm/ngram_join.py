@@ -9,9 +9,12 @@ among the first n - ceil(s n) + 1 of each (prefix). At the first shared n-gram,
 at places p and q, the similarity is at most
 min(n-p, m-q) / (p + q + max(n-p, m-q)); pairs below s are not made.
 
+N-grams that only one class has in its prefix are counted away first, packed.
+
 Partial overlaps. The order is cut into fragments (ranges of the order). Every
 candidate pair counts its overlap in each fragment on its own, from the two
-segments of that fragment, and the counts are summed per pair.
+segments of that fragment, and the counts are summed per pair. The segments are
+written once into the shared folder; pairs carry pointers to them and not sets.
 
 Large groups. Texts with equal sets are one class from the start, so copies cost
 nothing. For the rest, a list of all texts that share a prefix n-gram is not
@@ -34,6 +37,7 @@ Repeated rows are kept; rows of one id are linked through each of their texts.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,7 +48,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playlens.llm import blocks as B
+from playlens.llm import shared_files as files
 from playlens.llm.common import bitmap, components, in_bitmap, prepare, stored
+from playlens.llm.packed import ROWS_SQL, Counter, gather
 
 SKETCH_BITS = 24
 SKETCH_BLOCK = 1 << 18
@@ -57,8 +63,10 @@ class JoinSpec:
     num: int = 80
     den: int = 100
     #: The order is cut into 2**fragment_bits fragments.
-    fragment_bits: int = 3
+    fragment_bits: int = 2
     min_frequent: int = 16
+    #: Prefix n-grams that one task counts.
+    shard_grams: int = 4_000_000
 
 
 def _meta_rows(spec: JoinSpec):
@@ -159,27 +167,92 @@ def _prefix_rows(spec: JoinSpec, frequent):
     return run
 
 
-def _segment_rows(spec: JoinSpec, frequent, wanted):
-    """(cls, fragment, order keys of the fragment) of the classes in the bitmap."""
-    schema = pa.schema([("cls", pa.int64()), ("frag", pa.int32()), ("grams", pa.list_(pa.int64()))])
-    frags = np.arange(1, 1 << spec.fragment_bits, dtype=np.uint64) << np.uint64(64 - spec.fragment_bits)
+def _write_segments(spec: JoinSpec, frequent, wanted, folder: str):
+    """Write the order keys of the wanted classes, a file per batch; rows say where
+    (cls, file, first, n). A file of a lost task is only left unused."""
+    schema = pa.schema([("cls", pa.int64()), ("file", pa.string()), ("first", pa.int64())])
 
     def run(batches):
         for b in batches:
-            cls, frag, grams = [], [], []
+            cls, first, keys, at = [], [], [], 0
             for _, s in B.distinct_sets(b.column("text"), spec.words):
                 if len(s):
                     c = _class_of(s)
                     if in_bitmap(wanted.value, np.array([c]).view(np.uint64))[0]:
-                        keys = _order_keys(s, frequent.value)
-                        for f, part in enumerate(np.split(keys, np.searchsorted(keys, frags))):
-                            if len(part):
-                                cls.append(c)
-                                frag.append(f)
-                                grams.append(part.view(np.int64))
+                        cls.append(c)
+                        first.append(at)
+                        keys.append(_order_keys(s, frequent.value))
+                        at += len(s)
             if cls:
-                lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, grams)]).astype(np.int32), pa.array(np.concatenate(grams)))
-                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(frag, pa.int32()), lists], schema=schema)
+                name = uuid.uuid4().hex
+                files.save(folder, name, np.concatenate(keys))
+                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array([name] * len(cls)), pa.array(first, pa.int64())], schema=schema)
+
+    return run
+
+
+def _overlap_rows(spec: JoinSpec, folder: str):
+    """Partial overlap of each pair in each fragment, from the mapped segments."""
+    step = 64 - spec.fragment_bits
+
+    def run(batches):
+        opened: dict[str, np.ndarray] = {}
+
+        def keys(name: str, first: int, n: int) -> np.ndarray:
+            if name not in opened:
+                if len(opened) > 64:
+                    opened.clear()
+                opened[name] = files.load(folder, name)
+            return opened[name][first:first + n]
+
+        for b in batches:
+            common = np.zeros(b.num_rows, np.int64)
+            cols = [b.column(c).to_pylist() for c in ("af", "a0", "an", "bf", "b0", "bn", "frag")]
+            for i, (af, a0, an, bf, b0, bn, frag) in enumerate(zip(*cols, strict=True)):
+                part = []
+                for k in (keys(af, a0, an), keys(bf, b0, bn)):
+                    lo = np.searchsorted(k, np.uint64(frag << step)) if frag else 0
+                    hi = np.searchsorted(k, np.uint64((frag + 1) << step)) if (frag + 1) >> spec.fragment_bits == 0 else len(k)
+                    part.append(k[lo:hi])
+                x, y = part if len(part[0]) <= len(part[1]) else part[::-1]
+                if len(x):
+                    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                    common[i] = int((y[at] == x).sum())
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("a", "an", "b", "bn")] + [pa.array(common)], names=["a", "an", "b", "bn", "common"])
+
+    return run
+
+
+def _list_grams(spec: JoinSpec, limits: np.ndarray):
+    def run(batches):
+        held = Counter(limits)
+        for b in batches:
+            yield from held.add(b.column("grams").flatten().to_numpy().view(np.uint64))
+        yield from held.send()
+
+    return run
+
+
+def _repeated(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The n-grams of a shard that several classes have in their prefix."""
+    k, c = gather(batches)
+    yield pa.RecordBatch.from_arrays([pa.array(k[c > 1].view(np.int64))], names=["gram"])
+
+
+def _places(wanted):
+    """(gram, cls, n, pos) of the prefix n-grams in the bitmap."""
+    schema = pa.schema([("gram", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
+
+    def run(batches):
+        for b in batches:
+            lists = b.column("grams")
+            flat = lists.flatten().to_numpy()
+            size = np.diff(lists.offsets.to_numpy())
+            row = np.repeat(np.arange(b.num_rows), size)
+            pos = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+            hit = in_bitmap(wanted.value, flat.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(flat[hit]), b.column("cls").take(pa.array(row[hit])),
+                                              b.column("n").take(pa.array(row[hit])), pa.array(pos[hit].astype(np.int32))], schema=schema)
 
     return run
 
@@ -190,19 +263,14 @@ def _fits(spec: JoinSpec, a: str, b: str):
     return F.lit(spec.den).cast("long") * F.least(ra, rb) >= spec.num * (F.col(f"{a}pos") + F.col(f"{b}pos") + F.greatest(ra, rb))
 
 
-def _links(texts: DataFrame, pairs: DataFrame, spec: JoinSpec, frequent) -> DataFrame:
+def _links(pairs: DataFrame, segments: DataFrame, spec: JoinSpec, folder: str) -> DataFrame:
     """The pairs (a, an, b, bn) that are links, by fragment overlaps summed per pair."""
-    spark = texts.sparkSession
-    pairs = stored(pairs, "pairs")
-    ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    wanted = spark.sparkContext.broadcast(bitmap(ends, "cls"))
-    segs = texts.mapInArrow(_segment_rows(spec, frequent, wanted), "cls long, frag int, grams array<long>")
-    # texts with equal sets sent equal segments
-    segs = stored(segs.join(ends, "cls", "left_semi").groupBy("cls", "frag").agg(F.first("grams").alias("grams")), "segments")
-    left = segs.select(F.col("cls").alias("a"), "frag", F.col("grams").alias("ga"))
-    right = segs.select(F.col("cls").alias("b"), "frag", F.col("grams").alias("gb"))
-    partial = (pairs.join(right, "b").join(left, ["a", "frag"])
-                    .select("a", "an", "b", "bn", F.size(F.array_intersect("ga", "gb")).cast("long").alias("common")))
+    frags = F.explode(F.sequence(F.lit(0), F.lit((1 << spec.fragment_bits) - 1)))
+    at = {x: segments.select(F.col("cls").alias(x), F.col("file").alias(x + "f"), F.col("first").alias(x + "0")) for x in "ab"}
+    # rows with pointers, those of one file next to each other
+    asked = (pairs.join(at["a"], "a").join(at["b"], "b").withColumn("frag", frags)
+                  .repartition("af", "frag").sortWithinPartitions("af", "bf"))
+    partial = asked.mapInArrow(_overlap_rows(spec, folder), "a long, an long, b long, bn long, common long")
     whole = partial.groupBy("a", "an", "b", "bn").agg(F.sum("common").alias("common"))
     return whole.where(F.col("common") * spec.den >= spec.num * (F.col("an") + F.col("bn") - F.col("common")))
 
@@ -222,13 +290,24 @@ def join_classes(docs: DataFrame, spec: JoinSpec | None = None, id_col: str = "d
     frequent = spark.sparkContext.broadcast(_frequent(meta, spec))
 
     only = texts.select("text")
-    prefixes = (only.mapInArrow(_prefix_rows(spec, frequent), "cls long, n int, grams array<long>")
-                    .groupBy("cls").agg(F.first("n").alias("n"), F.first("grams").alias("grams")))
-    post = prefixes.select("cls", "n", F.posexplode("grams").alias("pos", "gram"))
-    post = stored(post, "prefixes")
-    hubs = (post.groupBy("gram").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("pos", "n", "cls")).alias("hub"))
-                .where("size > 1").select("gram", F.col("hub.pos").alias("hpos"), F.col("hub.n").alias("hn"), F.col("hub.cls").alias("h")))
-    shared = stored(post.join(hubs, "gram"), "shared")
+    prefixes = stored(only.mapInArrow(_prefix_rows(spec, frequent), "cls long, n int, grams array<long>")
+                          .groupBy("cls").agg(F.first("n").alias("n"), F.first("grams").alias("grams")), "prefixes")
+    grams = prefixes.agg(F.sum(F.size("grams"))).first()[0] or 0
+    shards = max(4, -(-grams // spec.shard_grams))
+    limits = np.array([(s << 64) // shards for s in range(1, shards)], np.uint64)
+    repeated = stored(prefixes.select("grams").mapInArrow(_list_grams(spec, limits), ROWS_SQL)
+                              .groupBy("shard").applyInArrow(_repeated, "gram long"), "repeated")
+    wanted = spark.sparkContext.broadcast(bitmap(repeated, "gram"))
+    shared = stored(prefixes.mapInArrow(_places(wanted), "gram long, cls long, n int, pos int").join(repeated, "gram"), "places")
+    hubs = (shared.groupBy("gram").agg(F.min(F.struct("pos", "n", "cls")).alias("hub"))
+                  .select("gram", F.col("hub.pos").alias("hpos"), F.col("hub.n").alias("hn"), F.col("hub.cls").alias("h")))
+    shared = stored(shared.join(hubs, "gram"), "shared")
+    folder = files.new_folder(spark, "segments")
+    active = shared.select("cls").distinct()
+    there = spark.sparkContext.broadcast(bitmap(active, "cls"))
+    # texts with equal sets wrote equal segments: any one of them will do
+    segments = stored(only.mapInArrow(_write_segments(spec, frequent, there, folder), "cls long, file string, first long")
+                          .groupBy("cls").agg(F.min(F.struct("file", "first")).alias("x")).select("cls", "x.file", "x.first"), "segment-index")
 
     def pair(a: str, an: str, b: str, bn: str):
         small = F.col(a) < F.col(b)
@@ -237,7 +316,7 @@ def join_classes(docs: DataFrame, spec: JoinSpec | None = None, id_col: str = "d
 
     star = (shared.where("h <> cls").withColumnsRenamed({"n": "cn", "pos": "cpos"}).where(_fits(spec, "h", "c"))
                   .select(*pair("h", "hn", "cls", "cn")).distinct())
-    links = stored(_links(only, star, spec, frequent), "star-links")
+    links = stored(_links(star, segments, spec, folder), "star-links")
     comp = stored(components(links.select("a", "b")), "star-components")
 
     placed = (shared.join(comp.withColumnRenamed("node", "cls"), "cls", "left")
@@ -253,7 +332,7 @@ def join_classes(docs: DataFrame, spec: JoinSpec | None = None, id_col: str = "d
                .where((F.col("xcomp") != F.col("ycomp")) & (F.col("xcls") != F.col("h")) & (F.col("ycls") != F.col("h"))
                       & ((F.col("ycomp") == F.col("main")) | (F.col("xcls") < F.col("ycls"))) & _fits(spec, "x", "y"))
                .select(*pair("xcls", "xn", "ycls", "yn")).distinct())
-    more = stored(_links(only, rest, spec, frequent), "more-links")
+    more = stored(_links(rest, segments, spec, folder), "more-links")
     links = links.unionByName(more)
     if more.take(1):
         comp = stored(components(links.select("a", "b")), "components")
