@@ -66,7 +66,7 @@ class JoinSpec:
     fragment_bits: int = 2
     min_frequent: int = 16
     #: Prefix n-grams that one task counts.
-    shard_grams: int = 4_000_000
+    shard_grams: int = 1_000_000
 
 
 def _meta_rows(spec: JoinSpec):
@@ -294,7 +294,8 @@ def join_classes(docs: DataFrame, spec: JoinSpec | None = None, id_col: str = "d
                           .groupBy("cls").agg(F.first("n").alias("n"), F.first("grams").alias("grams")), "prefixes")
     grams = prefixes.agg(F.sum(F.size("grams"))).first()[0] or 0
     shards = max(4, -(-grams // spec.shard_grams))
-    limits = np.array([(s << 64) // shards for s in range(1, shards)], np.uint64)
+    # the frequent n-grams, few by nature, all lie in the last shard
+    limits = np.array([(s << 63) // shards for s in range(1, shards)], np.uint64)
     repeated = stored(prefixes.select("grams").mapInArrow(_list_grams(spec, limits), ROWS_SQL)
                               .groupBy("shard").applyInArrow(_repeated, "gram long"), "repeated")
     wanted = spark.sparkContext.broadcast(bitmap(repeated, "gram"))
