@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from playlens.session import ensure_checkpoint_dir, scratch_path
 
 #: Arrow batches hand a Python worker at most this much text at a time.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "4m"
 
 
 def prepare(spark: SparkSession) -> None:

@@ -54,6 +54,8 @@ from playlens.llm.packed import ROWS_SQL, Counter, gather
 
 SKETCH_BITS = 24
 SKETCH_BLOCK = 1 << 18
+#: Up to so many dropped ids (16 MB) are sent to the tasks, so that texts stay in place.
+BROADCAST_IDS = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -375,6 +377,9 @@ def keep_one(docs: DataFrame, spec: JoinSpec | None = None, id_col: str = "doc_i
     prepare(docs.sparkSession)
     ids = stored(component_ids(docs, spec, id_col, text_col).select(id_col, "component_id", "n_shingles"), "members")
     gone = ids.where((F.col(id_col) != F.col("component_id")) & (F.col("n_shingles") > 0)).select(id_col).distinct()
+    gone = stored(gone, "dropped-ids")
+    if gone.count() <= BROADCAST_IDS:  # beyond that a shuffle join does the same
+        gone = F.broadcast(gone)
     kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
     several = stored(ids.where((F.col("n_shingles") > 0) & F.col(id_col).isNotNull()).groupBy(id_col).agg(
         F.count(F.lit(1)).alias("__rows")).where("__rows > 1").select(id_col), "repeated-ids")
