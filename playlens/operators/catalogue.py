@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from playlens.functions.numbering import global_index
+
 # Scalar fields of the catalogue groups, by group (fixed names).
 METADATA_FIELDS = ("artist_familiarity", "artist_hotttnesss", "artist_id", "artist_mbid",
                    "artist_playmeid", "artist_7digitalid", "artist_latitude", "artist_longitude",
@@ -57,14 +59,17 @@ def catalogue_fields(songs: DataFrame, fields: Sequence[str], song_idx: int | No
 
 
 def ragged_bounds(offsets: DataFrame, flat: DataFrame) -> DataFrame:
-    """(song_idx, start, end): a song's values run to the next song's start, or to
-    the end of the flat table for the last song. The next start comes from a
-    keyed self-join on song_idx + 1 (song positions are dense), not a window."""
-    nxt = offsets.select((F.col("song_idx") - 1).alias("song_idx"), F.col("idx").alias("_next"))
+    """(song_idx, start, end): a song's values run to the start of the next song in
+    order of position, or to the end of the flat table for the last song.
+
+    Positions may have gaps. The songs are numbered in order without a single-task
+    window, and the next start is that of the following number.
+    """
+    numbered = global_index(offsets.select("song_idx", F.col("idx").cast("long").alias("start")), ["song_idx"], "_n")
+    numbered = numbered.checkpoint(eager=True)
+    nxt = numbered.select((F.col("_n") - 1).alias("_n"), F.col("start").alias("_next"))
     total = flat.agg((F.max("pos") + 1).alias("_end")).first()["_end"] or 0
-    return offsets.join(nxt, "song_idx", "left").select(
-        "song_idx", F.col("idx").alias("start"),
-        F.coalesce("_next", F.lit(int(total))).alias("end"))
+    return numbered.join(nxt, "_n", "left").select("song_idx", "start", F.coalesce("_next", F.lit(int(total))).alias("end"))
 
 
 def ragged_slice_long(offsets: DataFrame, flat: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playlens.functions.columns import seeded_key
-from playlens.operators.sparse_product import sparse_product, top_k_per_row
+from playlens.operators.sparse_product import TIE_DIGITS, sparse_product, top_k_per_row
 
 POPULARITY_COLUMNS = {"tot": "total_play", "occ": "occurrence", "mean": "mean"}
 
@@ -128,11 +128,12 @@ def _tile_top_n(pdf: pd.DataFrame, n: int) -> pd.DataFrame:
     iid = items["a"].to_numpy(np.int64)
     scores = u @ v.T
     k = min(n, scores.shape[1])
-    # Everything at or above each row's k-th best score (ties kept, cut later).
-    kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-    rows, cols = np.nonzero(scores >= kth[:, None])
+    # Everything at or above each row's k-th best rank key (ties kept, cut later).
+    keys = np.floor(scores * 10.0 ** TIE_DIGITS + 0.5)
+    kth = np.partition(keys, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+    rows, cols = np.nonzero(keys >= kth[:, None])
     vals = scores[rows, cols]
-    order = np.lexsort((iid[cols], -vals, rows))
+    order = np.lexsort((iid[cols], -keys[rows, cols], rows))
     rows, cols, vals = rows[order], cols[order], vals[order]
     first = np.r_[0, np.flatnonzero(np.diff(rows)) + 1]
     pos = np.arange(rows.size) - np.repeat(first, np.diff(np.r_[first, rows.size]))

@@ -29,7 +29,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from playlens.session import ensure_checkpoint_dir
@@ -88,7 +88,7 @@ def _block(xt, xv, r_codes, r_uni, yt, yv, q_codes, q_uni, k, exclude) -> pd.Dat
         idx = np.flatnonzero(vals > 0)
         if idx.size == 0:
             continue
-        keyv = np.round(vals[idx], TIE_DIGITS)
+        keyv = np.floor(vals[idx] * 10.0 ** TIE_DIGITS + 0.5)
         if idx.size > k:
             thr = np.partition(keyv, idx.size - k)[idx.size - k]
             sel = keyv >= thr
@@ -205,7 +205,7 @@ def sparse_product(x: DataFrame, y: DataFrame, k: int | None = None, exclude: st
         return tiles.groupBy("I", "c", "s").applyInPandas(run, OUT_SCHEMA + ", rank int")
     cells = tiles.groupBy("I", "c", "s").applyInPandas(run, OUT_SCHEMA)
     if k is None:
-        return cells if fast else cells.groupBy("r", "q").agg(F.sum("v").alias("v"))
+        return cells if fast else cells.groupBy("r", "q").agg(F.sum("v").alias("v")).filter(F.col("v") != 0)
     cells = cells.groupBy("r", "q").agg(F.sum("v").alias("v"))
     if exclude == "self":
         cells = cells.filter(F.col("r") != F.col("q"))
@@ -215,7 +215,13 @@ def sparse_product(x: DataFrame, y: DataFrame, k: int | None = None, exclude: st
     return top_k_per_row(cells.filter(F.col("v") > 0), k)
 
 
+def rank_key(v: Column) -> Column:
+    """What ranks are made by at every size: the value in units of 10**-TIE_DIGITS,
+    rounded by the same arithmetic as in the tiles."""
+    return F.floor(v * F.lit(10.0 ** TIE_DIGITS) + F.lit(0.5))
+
+
 def top_k_per_row(cells: DataFrame, k: int) -> DataFrame:
     """(r, q, v, rank): the k largest v per r, ties by q ascending."""
-    w = Window.partitionBy("r").orderBy(F.round("v", TIE_DIGITS).desc(), F.col("q"))
+    w = Window.partitionBy("r").orderBy(rank_key(F.col("v")).desc(), F.col("q"))
     return cells.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -253,16 +253,18 @@ RAGGED = """flat AS (
   FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)),
 offs AS (SELECT vec_id AS song_idx, vec_id * 64 AS idx FROM embeddings),
 bounds AS (
-  SELECT o.song_idx, o.idx AS start, coalesce(n.idx, (SELECT max(pos) + 1 FROM flat)) AS "end"
-  FROM offs o LEFT JOIN offs n ON n.song_idx = o.song_idx + 1)"""
+  SELECT song_idx, idx AS start,
+    coalesce(lead(idx) OVER (ORDER BY song_idx), (SELECT max(pos) + 1 FROM flat)) AS "end"
+  FROM offs)"""
 
 RAGGED_2D = """rows2 AS (
   SELECT vec_id * 8 + r AS pos, embedding[r * 8 + 1 : r * 8 + 8] AS value
   FROM (SELECT vec_id, embedding, unnest(range(0, 8)) AS r FROM embeddings)),
 offs2 AS (SELECT vec_id AS song_idx, vec_id * 8 AS idx FROM embeddings),
 bounds2 AS (
-  SELECT o.song_idx, o.idx AS start, coalesce(n.idx, (SELECT max(pos) + 1 FROM rows2)) AS "end"
-  FROM offs2 o LEFT JOIN offs2 n ON n.song_idx = o.song_idx + 1)"""
+  SELECT song_idx, idx AS start,
+    coalesce(lead(idx) OVER (ORDER BY song_idx), (SELECT max(pos) + 1 FROM rows2)) AS "end"
+  FROM offs2)"""
 
 MBTAGS = """mb AS (
   SELECT l.doc_id AS track_id, CAST(0 AS BIGINT) AS pos, d.source AS tag, l.toxic AS count

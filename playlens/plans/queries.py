@@ -208,18 +208,6 @@ def q_scan_counts(spark, sf):
     return text.read_counts(spark, path)
 
 
-@query("list_files")
-def q_list_files(spark, sf):
-    """Paths of the table files under the data folder (content never read)."""
-    return text.list_files(spark, sf, "parquet")
-
-
-@query("track_id_from_path")
-def q_track_id_from_path(spark, sf):
-    files = text.list_files(spark, sf, "parquet")
-    return files.select(F.regexp_extract("path", r"([^/]+)\.parquet$", 1).alias("track_id"))
-
-
 @query("save_groups")
 def q_save_groups(spark, sf):
     """Groups of 4 and 12 stored by size and split; size 4 read back (pruned)."""

@@ -22,9 +22,12 @@ def get_session(master: str | None = None, app_name: str = "playlens",
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    parts = shuffle_partitions or int(os.environ.get("PLAYLENS_SHUFFLE_PARTITIONS", "8"))
+    # A number of shuffle partitions only where it is asked for, or on one machine;
+    # elsewhere the cluster's setting holds.
+    asked = shuffle_partitions or os.environ.get("PLAYLENS_SHUFFLE_PARTITIONS")
+    if asked or (master or "").startswith("local"):
+        builder = builder.config("spark.sql.shuffle.partitions", str(asked or 8))
     builder = (builder
-               .config("spark.sql.shuffle.partitions", str(parts))
                .config("spark.sql.adaptive.enabled", "true")
                .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
                .config("spark.sql.adaptive.skewJoin.enabled", "true")

@@ -116,10 +116,11 @@ def write_stats(df: DataFrame, path: str) -> None:
 
 
 def save_groups(group_plays: DataFrame, path: str, group_size: int) -> None:
-    """Store group plays, partitioned by group size and split (append per size)."""
+    """Store group plays, partitioned by group size and split (a rerun replaces the partitions it writes)."""
     (group_plays.withColumn("group_size", F.lit(int(group_size)))
                 .select("group_id", "user_id", "item_id", "play_count", "group_size", "split")
-                .write.mode("append").partitionBy("group_size", "split").parquet(path))
+                .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                .partitionBy("group_size", "split").parquet(path))
 
 
 def load_groups(spark: SparkSession, path: str, size: int = 4) -> DataFrame:

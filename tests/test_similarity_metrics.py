@@ -123,3 +123,15 @@ def test_top_n_from_factors_matches_brute_force(spark):
         want = sorted(range(53), key=lambda q: (-s[r, q], q))[:5]
         mine = [t["q"] for t in sorted((t for t in got if t["r"] == r), key=lambda t: t["rank"])]
         assert mine == want
+
+
+def test_ranks_do_not_depend_on_tiling(spark):
+    """Tied and nearly tied products rank alike at every tile and chunk size."""
+    from playlens.operators.sparse_product import sparse_product
+    x = spark.createDataFrame([(1, 1, 1.0), (2, 1, 0.5), (2, 2, 0.5)], "r long, t long, x double")
+    near = [0.1234567885, 0.123456788, 0.123456789, 0.1234567895, 0.5, 0.5]
+    y = spark.createDataFrame([(i + 1, t, v) for i, v in enumerate(near) for t in (1, 2)], "q long, t long, y double")
+    lists = []
+    for kw in ({}, {"chunk_entries": 2}, {"chunk_entries": 5}, {"chunk_entries": 4, "heavy_key": 2}):
+        lists.append(sorted((r["r"], r["rank"], r["q"]) for r in sparse_product(x, y, k=4, **kw).collect()))
+    assert all(found == lists[0] for found in lists[1:])

@@ -88,3 +88,11 @@ def test_stream_equals_batch(spark, T):
     from playlens.streaming.play_stats import run_song_play_mean_stream
     got = rows_of(run_song_play_mean_stream(spark, T, n_files=3), "id", "total_play", "occurrence", "mean")
     assert got == [("1", 14, 2, 7.0), ("2", 6, 2, 3.0), ("3", 14, 2, 7.0), ("4", 4, 1, 4.0)]
+
+
+def test_ragged_bounds_with_gaps(spark):
+    from playlens.operators.catalogue import ragged_bounds, ragged_slice
+    offsets = spark.createDataFrame([(0, 0), (2, 2), (5, 4)], "song_idx long, idx long")
+    flat = spark.createDataFrame([(i, float(i)) for i in range(6)], "pos long, value double")
+    assert sorted(map(tuple, ragged_bounds(offsets, flat).collect())) == [(0, 0, 2), (2, 2, 4), (5, 4, 6)]
+    assert sorted((r[0], list(r[1])) for r in ragged_slice(offsets, flat).collect()) == [(0, [0.0, 1.0]), (2, [2.0, 3.0]), (5, [4.0, 5.0])]
