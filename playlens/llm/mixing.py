@@ -68,20 +68,23 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], spec: MixSpec) -> Data
     """``cells`` (dims, tokens) with weight, raked to ``targets`` (dim, share)."""
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     cur = cells.withColumn("weight", F.col("tokens").cast("double"))
-    goals = {}
     for d, t in targets.items():
         have = cells.where("tokens > 0").select(d).distinct()
         t = t.join(have, d, "left_semi")
         whole = t.agg(F.sum("share")).first()[0] or 1.0
-        goals[d] = stored(t.select(d, (F.col("share") / F.lit(whole) * F.lit(float(total))).alias("goal")), f"goal{d}")
+        goal = t.select(d, (F.col("share") / F.lit(whole) * F.lit(float(total))).alias(f"goal{d}"))
+        cur = cur.join(goal, d, "left")
+    # each cell carries the three goals it counts towards, so a step is one sum and one join
+    carried = [f"__{x}" for x in DIMS] + ["tokens"] + [f"goal{d}" for d in targets]
+    cur = stored(cur.select(*carried, "weight"), "goals")
     for _ in range(spec.rounds):
-        for d, goal in goals.items():
-            sums = cur.groupBy(d).agg(F.sum("weight").alias("now")).join(goal, d, "left")
-            factor = F.when(F.col("now") > 0, F.coalesce("goal", F.lit(0.0)) / F.col("now")).otherwise(F.lit(0.0))
-            cur = cur.join(sums.select(d, factor.alias("f")), d).select(*[f"__{x}" for x in DIMS], "tokens", (F.col("weight") * F.col("f")).alias("weight"))
+        for d in targets:
+            sums = cur.groupBy(d).agg(F.sum("weight").alias("now"))
+            factor = F.when(F.col("now") > 0, F.coalesce(F.col(f"goal{d}"), F.lit(0.0)) / F.col("now")).otherwise(F.lit(0.0))
+            cur = cur.join(sums, d).select(*carried, (F.col("weight") * factor).alias("weight"))
         cur = cur.withColumn("weight", F.least("weight", F.col("tokens") / F.lit(spec.rate)))
         cur = stored(cur, "raked")
-    return cur
+    return cur.select(*[f"__{x}" for x in DIMS], "tokens", "weight")
 
 
 def probabilities(docs: DataFrame, spec: MixSpec | None = None, topic: Column | None = None,
