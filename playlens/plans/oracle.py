@@ -350,6 +350,7 @@ def build() -> dict[str, str]:
     q["scan_triplets_text"] = _w(PLAYS) + ("SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(item_id AS VARCHAR) "
                                            "AS item_id, play_count FROM plays")
     q["scan_triplets_csv"] = q["scan_triplets_text"]
+    q["scan_triplets_whitespace"] = q["scan_triplets_text"]
     q["scan_stats_text"] = stats_i + ("SELECT CAST(id AS VARCHAR) AS id, total_play, occurrence, round(mean, 6) "
                                       "AS mean FROM item_stats")
     q["write_stats"] = stats_u + ("SELECT CAST(id AS VARCHAR) AS id, total_play, occurrence, round(mean, 6) "
@@ -357,6 +358,10 @@ def build() -> dict[str, str]:
     q["load_dataset"] = _w(PLAYS, USER_STATS, ITEM_STATS) + """SELECT CAST(p.item_id AS VARCHAR) AS item_id,
        CAST(p.user_id AS VARCHAR) AS user_id, p.play_count, round(u.mean, 6) AS user_mean, round(s.mean, 6) AS song_mean
 FROM plays p JOIN user_stats u ON p.user_id = u.id JOIN item_stats s ON p.item_id = s.id"""
+    q["dataset_views"] = _w(PLAYS, USER_STATS, ITEM_STATS) + """SELECT CAST(p.user_id AS VARCHAR) AS user_id,
+       max(round(u.mean, 6)) AS user_mean, count(*) AS n_above, CAST(sum(p.play_count) AS BIGINT) AS plays_above
+FROM plays p JOIN user_stats u ON p.user_id = u.id JOIN item_stats s ON p.item_id = s.id
+WHERE p.play_count > round(s.mean, 6) GROUP BY p.user_id"""
     q["load_subset"] = _w(PLAYS) + """SELECT c.c_mktsegment AS subset, CAST(p.user_id AS VARCHAR) AS user_id,
        CAST(p.item_id AS VARCHAR) AS item_id, p.play_count
 FROM plays p JOIN customer c ON c.c_custkey = p.user_id"""

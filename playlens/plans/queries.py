@@ -145,6 +145,14 @@ def q_scan_triplets_text(spark, sf):
     return text.read_triplets_text(spark, path)
 
 
+@query("scan_triplets_whitespace")
+def q_scan_triplets_whitespace(spark, sf):
+    """Triplets written as space-separated text, read back split on white space."""
+    path = scratch_path(spark, "triplets")
+    text.write_triplets(_plays(spark, sf), path)
+    return text.read_triplets_whitespace(spark, path)
+
+
 @query("scan_stats_text")
 def q_scan_stats_text(spark, sf):
     path = scratch_path(spark, "stats")
@@ -176,6 +184,18 @@ def q_load_dataset(spark, sf):
     return trip.join(um, "user_id").join(sm, "item_id")
 
 
+@query("dataset_views")
+def q_dataset_views(spark, sf):
+    """The three text tables as temporary views, asked in SQL: for each user the
+    rows whose count is above the song's mean."""
+    folder = scratch_path(spark, "dataset")
+    _write_dataset(spark, sf, _plays(spark, sf), folder)
+    plays, users, songs = text.register_dataset(spark, folder, "playlens_")
+    return spark.sql(f"""SELECT p.user_id, max(u.mean) AS user_mean, count(*) AS n_above, sum(p.play_count) AS plays_above
+                         FROM {plays} p JOIN {users} u ON p.user_id = u.id JOIN {songs} s ON p.item_id = s.id
+                         WHERE p.play_count > s.mean GROUP BY p.user_id""")
+
+
 @query("load_subset")
 def q_load_subset(spark, sf):
     """Each market segment written as its own subset folder; all read back at once."""

@@ -58,6 +58,16 @@ def load_dataset(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
             read_stats_text(spark, f"{f}/song_play_mean.txt"))
 
 
+def register_dataset(spark: SparkSession, folder: str, prefix: str = "") -> tuple[str, str, str]:
+    """Register the three tables of ``load_dataset`` as the temporary views
+    ``triplets``, ``user_stats`` and ``song_stats`` (after ``prefix``); their names.
+    Views of these names are replaced."""
+    names = tuple(prefix + n for n in ("triplets", "user_stats", "song_stats"))
+    for name, df in zip(names, load_dataset(spark, folder), strict=True):
+        df.createOrReplaceTempView(name)
+    return names
+
+
 def write_subsets(tagged: DataFrame, root: str) -> None:
     """Triplets of every subset under ``root/subset=<name>/`` (one write, partitioned)."""
     tagged.select("subset", F.concat_ws(" ", *[F.col(c).cast("string") for c in

@@ -96,3 +96,14 @@ def test_ragged_bounds_with_gaps(spark):
     flat = spark.createDataFrame([(i, float(i)) for i in range(6)], "pos long, value double")
     assert sorted(map(tuple, ragged_bounds(offsets, flat).collect())) == [(0, 0, 2), (2, 2, 4), (5, 4, 6)]
     assert sorted((r[0], list(r[1])) for r in ragged_slice(offsets, flat).collect()) == [(0, [0.0, 1.0]), (2, [2.0, 3.0]), (5, [4.0, 5.0])]
+
+
+def test_white_space_split_and_views(spark, tmp_path):
+    (tmp_path / "train_triplets.txt").write_text("u-1 a.x 3\nu-2 a.x 1\n")
+    (tmp_path / "user_play_mean.txt").write_text("u-1 3 1 3.0\nu-2 1 1 1.0\n")
+    (tmp_path / "song_play_mean.txt").write_text("a.x 4 2 2.0\n")
+    (tmp_path / "wide.txt").write_text("u-1 \t a.x  3\n\n")
+    assert [tuple(r) for r in text.read_triplets_whitespace(spark, str(tmp_path / "wide.txt")).collect()] == [("u-1", "a.x", 3)]
+    plays, users, songs = text.register_dataset(spark, str(tmp_path), "t_")
+    assert (plays, users, songs) == ("t_triplets", "t_user_stats", "t_song_stats")
+    assert spark.sql(f"SELECT p.user_id FROM {plays} p JOIN {songs} s ON p.item_id = s.id WHERE p.play_count > s.mean").collect()[0][0] == "u-1"
