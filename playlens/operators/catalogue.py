@@ -98,9 +98,11 @@ def song_idx_lookup(songs: DataFrame, ids: DataFrame) -> DataFrame:
                  .groupBy("song_id").agg(F.max("song_idx").alias("song_idx")))
 
 
-def song_index_of(songs: DataFrame, song_id: str) -> DataFrame:
-    """One row: first position of ``song_id``, null when absent (not 0)."""
-    return songs.filter(F.col("song_id") == F.lit(song_id)).agg(F.min("song_idx").alias("song_idx"))
+def song_index_of(songs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(song_id, song_idx) per distinct ID of ``ids`` (song_id): its first position,
+    null when absent (not 0)."""
+    first = songs.groupBy("song_id").agg(F.min("song_idx").alias("song_idx"))
+    return ids.select("song_id").distinct().join(first, "song_id", "left")
 
 
 def song_details(songs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playlens.functions.columns import log1p_weight, log_weight
-from playlens.operators.sparse_product import sparse_product, top_k_per_row
+from playlens.operators.sparse_product import sparse_product
 
 
 def log_weights(plays: DataFrame, row: str = "user_id", item: str = "item_id",
@@ -55,14 +55,7 @@ def k_similar_items(weights: DataFrame, k: int = 50, **tiling) -> DataFrame:
                       F.col("v").alias("sim"), F.col("rank").cast("int").alias("rank"))
 
 
-def similar_items(neighbours: DataFrame, item, k: int = 30) -> DataFrame:
-    """The first k neighbours of one item from a neighbour table."""
-    return neighbours.filter((F.col("item_i") == F.lit(item)) & (F.col("rank") <= k))
-
-
-def rerank(cells: DataFrame, k: int) -> DataFrame:
-    """Top-k per item_i of an (item_i, item_j, sim) table."""
-    ranked = top_k_per_row(cells.select(F.col("item_i").alias("r"), F.col("item_j").alias("q"),
-                                        F.col("sim").alias("v")), k)
-    return ranked.select(F.col("r").alias("item_i"), F.col("q").alias("item_j"),
-                         F.col("v").alias("sim"), F.col("rank").cast("int").alias("rank"))
+def similar_items(neighbours: DataFrame, items: DataFrame, k: int = 30) -> DataFrame:
+    """The first k neighbours of each of ``items`` (item_id) from a neighbour table."""
+    asked = items.select(F.col("item_id").alias("item_i"))
+    return neighbours.filter(F.col("rank") <= k).join(asked, "item_i", "left_semi").select(*neighbours.columns)

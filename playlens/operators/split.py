@@ -57,11 +57,6 @@ def cv_folds(plays: DataFrame, cv: int = 5, seed: int = 42,
     return r.withColumn("fold", fold.cast("int")).drop("_key", "_rank", "_n")
 
 
-def cv_fold_split(folded: DataFrame, k: int) -> DataFrame:
-    """Fold k as test, the union of the others as train (one table, no union)."""
-    return folded.withColumn("split", F.when(F.col("fold") == k, F.lit("test")).otherwise(F.lit("train")))
-
-
 def cv_fold_train(folded: DataFrame, k: int) -> DataFrame:
     return folded.filter(F.col("fold") != k)
 

@@ -592,8 +592,10 @@ def q_k_similar_items(spark, sf):
 
 @query("similar_items")
 def q_similar_items(spark, sf):
-    """The 30 nearest songs of every song over plain users."""
-    return similarity.k_similar_items(similarity.log_weights(_plays(spark, sf)), 30)
+    """The 30 nearest songs of every song over plain users, looked up in the table
+    of the 50 nearest."""
+    plays = _plays(spark, sf)
+    return similarity.similar_items(similarity.k_similar_items(similarity.log_weights(plays), 50), plays, 30)
 
 
 @query("predict_knn")
@@ -827,10 +829,7 @@ def q_song_idx_lookup(spark, sf):
 @query("song_index_of")
 def q_song_index_of(spark, sf):
     """Position of every played song ID (the single-ID lookup applied to all)."""
-    songs = _songs(spark, sf)
-    ids = _played_song_ids(spark, sf)
-    return ids.join(songs.select("song_id", "song_idx"), "song_id", "left").groupBy("song_id").agg(
-        F.min("song_idx").alias("song_idx"))
+    return catalogue.song_index_of(_songs(spark, sf), _played_song_ids(spark, sf))
 
 
 @query("song_details")

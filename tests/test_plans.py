@@ -5,10 +5,6 @@ import pytest
 from tests.conftest import SF_SMALL
 
 KEYLESS = ("CartesianProduct", "BroadcastNestedLoopJoin")
-# MLlib's recommendForAllUsers scores every (user, item) block pair by design;
-# the tuning queries fit models in a driver loop.
-NOT_PLANNED = {"recommend_als", "train_als", "evaluate_als", "evaluate_als_sweep", "cross_validate",
-               "cv_summary", "cv_best_params", "grid_scan"}
 
 
 def _plan(df):
