@@ -269,9 +269,10 @@ def _links(pairs: DataFrame, segments: DataFrame, spec: JoinSpec, folder: str) -
     """The pairs (a, an, b, bn) that are links, by fragment overlaps summed per pair."""
     frags = F.explode(F.sequence(F.lit(0), F.lit((1 << spec.fragment_bits) - 1)))
     at = {x: segments.select(F.col("cls").alias(x), F.col("file").alias(x + "f"), F.col("first").alias(x + "0")) for x in "ab"}
-    # rows with pointers, those of one file next to each other
+    # rows with pointers, those of one file next to each other; dealt by both files, as
+    # a hub that a third of all texts meet would bring all its pairs to one file's task
     asked = (pairs.join(at["a"], "a").join(at["b"], "b").withColumn("frag", frags)
-                  .repartition("af", "frag").sortWithinPartitions("af", "bf"))
+                  .repartition("af", "bf", "frag").sortWithinPartitions("af", "bf"))
     partial = asked.mapInArrow(_overlap_rows(spec, folder), "a long, an long, b long, bn long, common long")
     whole = partial.groupBy("a", "an", "b", "bn").agg(F.sum("common").alias("common"))
     return whole.where(F.col("common") * spec.den >= spec.num * (F.col("an") + F.col("bn") - F.col("common")))
