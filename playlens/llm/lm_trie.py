@@ -45,6 +45,8 @@ from playlens.llm.elias_fano import EliasFano, encode
 from playlens.llm.packed import ROWS_SQL, Counter, gather
 
 _TYPES = (np.uint8, np.uint16, np.uint64, np.int64)
+#: N-grams smoothed at a time.
+_SLICE = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -228,17 +230,23 @@ class Trie:
         """log10 probability of ``word`` one order below, after contexts that are
         nodes of ``level`` - 1: without context for level 2, after the node's last
         word for level 3."""
-        u, back = np.unique(word, return_inverse=True)
-        uni = self.unigram_log10(self.counts(u))[back]
+        def unigram(w):
+            u, back = np.unique(w, return_inverse=True)
+            return self.unigram_log10(self.counts(u))[back]
+
         if level == 2:
-            return uni
+            return unigram(word)
         nodes, at = np.unique(ctx, return_inverse=True)
         last = self.node_word(nodes)[at]
         keys, at = np.unique(last.astype(np.uint64) * np.uint64(self.ids) + word.astype(np.uint64), return_inverse=True)
         node = self.find(2, keys)
         p = np.full(len(keys), np.nan)
         p[node >= 0] = self.stored(2, "prob", node[node >= 0])
-        return np.where(np.isnan(p[at]), uni + self.gathered(1, "back", last, 2), p[at])
+        p = p[at]
+        none = np.isnan(p)
+        if none.any():
+            p[none] = unigram(word[none]) + self.gathered(1, "back", last[none], 2)
+        return p
 
     def gathered(self, level: int, name: str, nodes: np.ndarray, file_level: int | None = None) -> np.ndarray:
         """``stored`` for nodes in any order, -1 giving 0."""
@@ -255,11 +263,13 @@ class Trie:
         begins = seq == self.end + 1
         known = seq >= 0
         node = np.where(known, seq, -1)  # node of the longest context ending before, by level
-        for level in range(2, (top or self.spec.order) + 1):
+        last = top or self.spec.order
+        after = self.gathered(1, "back", node, 2) if last > 1 else None  # its weight
+        for level in range(2, last + 1):
             # the context of place i is the (level-1)-gram that ends at i - 1
             ctx = np.concatenate([[-1], node[:-1]])
             ctx[begins] = -1
-            weight = self.gathered(level - 1, "back", ctx, level)
+            weight = np.where(ctx >= 0, np.concatenate([[0.0], after[:-1]]), 0.0)
             score = np.where(ctx >= 0, score + weight, score)
             # contexts without stored children have weight 0 (log10 of one)
             ask = np.flatnonzero((ctx >= 0) & known & (weight < 0))
@@ -271,8 +281,13 @@ class Trie:
             p[ok] = self.stored(level, "prob", at[ok])
             nodes, found = at[back], ok[back]
             score[ask[found]] = p[back][found]
-            node = np.full(len(seq), -1, np.int64)
-            node[ask] = nodes
+            if level < last:
+                node = np.full(len(seq), -1, np.int64)
+                node[ask] = nodes
+                weights = np.zeros(len(u))
+                weights[ok] = self.stored(level, "back", at[ok], level + 1)
+                after = np.zeros(len(seq))
+                after[ask] = weights[back]
         return score
 
 
@@ -283,7 +298,8 @@ def train(docs: DataFrame, spec: TrieSpec | None = None, text_col: str = "text")
     prepare(spark)
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     rows, chars = texts.agg(F.count(F.lit(1)), F.sum(F.length("text"))).first()
-    shards = max(4, -(-(chars or 0) // spec.shard_chars))
+    # a level above the second holds up to twice the n-grams of the one below
+    shards = max(4, -(-(chars or 0) * max(1, spec.order - 1) // spec.shard_chars))
     bounds = np.array([(s << 64) // shards for s in range(1, shards)], np.uint64)
     folder = files.new_folder(spark, "trie")
     every = spark.range(shards).select(F.col("id").cast("int").alias("shard"))
@@ -358,17 +374,22 @@ def _write_level(level: int, base: np.ndarray, shared):
         word = (k - ctx.astype(np.uint64) * np.uint64(t.ids)).astype(np.int64)
         own = (c - spec.discount) / total[ctx]
         back = 1 - np.bincount(ctx, weights=own, minlength=contexts)
-        p = own + back[ctx] * 10.0 ** t.lower(level, ctx + int(base[s]), word)
+        del c, keep, total
 
         def quantised(x):
             return np.minimum(np.rint(-np.log10(np.maximum(x, 1e-250)) / spec.step), 65535).astype(np.uint16)
 
+        prob = np.empty(len(k), np.uint16)
+        for lo in range(0, len(k), _SLICE):  # the look-ups below hold many arrays of their size
+            at = slice(lo, lo + _SLICE)
+            prob[at] = quantised(own[at] + back[ctx[at]] * 10.0 ** t.lower(level, ctx[at] + int(base[s]), word[at]))
+        del own, word
         # code 0: no stored child; else at least one step
         codes = np.where(np.bincount(ctx, minlength=contexts) > 0, np.maximum(quantised(back), 1), 0).astype(np.uint16)
         starts = np.searchsorted(ctx, np.arange(contexts + 1)).astype(np.uint64)
         parts = {f"ef.{n}": a for n, a in encode(k, max(1, contexts * t.ids)).items()}
         parts |= {f"ptr.{n}": a for n, a in encode(starts, len(k) + 1).items()}
-        files.save(t.folder, f"level{level}-{s}", _pack({**parts, "prob": quantised(p), "back": codes}))
+        files.save(t.folder, f"level{level}-{s}", _pack({**parts, "prob": prob, "back": codes}))
         yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([len(k)], pa.int64()), pa.array([0], pa.int64())],
                                          names=["shard", "nodes", "total"])
 

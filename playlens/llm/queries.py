@@ -36,10 +36,14 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "sampled")
 
 
+#: Every n-gram of the training text up to three words, those seen once too.
+LM = lm_trie.TrieSpec(order=3, min_count=1)
+
+
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     held = bucket_of("doc_id", 7) == 2
-    trie = lm_trie.train(docs.where(~held))
+    trie = lm_trie.train(docs.where(~held), LM)
     out = lm_trie.score(docs, trie)
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(trie.tokens).cast("long").alias("train_tokens"),
                       "base_score", "score")

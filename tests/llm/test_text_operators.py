@@ -185,6 +185,43 @@ def test_trie_scores_match_dictionaries(spark, order):
         assert abs(g[4] - x[4]) < 0.01 * math.sqrt(x[1]) + 1e-6  # a code may round the other way
 
 
+def test_registered_scores_use_all_trigrams_and_those_seen_once(spark):
+    from collections import Counter, defaultdict
+
+    from playlens.llm import queries
+
+    rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
+    got = {r["doc_id"]: r["score"] for r in queries.op4_lm_score(spark, SMALL).collect()}
+    assert len(got) == len(rows)
+    c = [None, Counter(), Counter(), Counter()]
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            w = ["<s>", *words(t), "</s>"]
+            for n in (1, 2, 3):
+                c[n].update(tuple(w[k:k + n]) for k in range(len(w) - n + 1))
+    tokens, types = sum(k for g, k in c[1].items() if g != ("<s>",)), len(c[1]) - 1
+    total, kept = defaultdict(int), defaultdict(float)
+    for n in (2, 3):
+        for g, k in c[n].items():
+            total[g[:-1]] += k
+        for g, k in c[n].items():
+            kept[g[:-1]] += (k - 0.75) / total[g[:-1]]
+
+    def p(g):
+        if len(g) == 1:
+            return math.log10((c[1].get(g, 0) + 1) / (tokens + types + 1))
+        h, low = g[:-1], p(g[1:])
+        if h not in kept:
+            return low
+        back = 1 - kept[h]
+        return math.log10((c[len(g)][g] - 0.75) / total[h] + back * 10**low) if g in c[len(g)] else math.log10(back) + low
+
+    for i, t in rows:
+        w = ["<s>", *words(t), "</s>"]
+        want = sum(p(tuple(w[max(0, k - 2):k + 1])) for k in range(1, len(w)))
+        assert abs(got[i] - want) < 0.01 * len(w)  # codes are quantised
+
+
 def test_trie_without_training_rows(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     trie = lm_trie.train(docs.limit(0))
