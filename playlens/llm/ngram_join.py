@@ -25,6 +25,11 @@ components are made, and these are exactly the candidates that could join two
 components. Every link between different texts is therefore either verified or
 lies inside a component already found; no list is capped.
 
+Numbers of links. All links of a text lie in its component, so ``component_ids``
+compares each component's classes in full, block by block: the overlaps of two
+blocks are products of their 0-1 matrices over the n-grams both have. The work
+grows with the square of a component's classes, the rows with that of its blocks.
+
 Frequency sketch: 2**24 counters per task, saturated at 255, summed per block;
 an n-gram is frequent if its counter exceeds 8 times the mean load (at least
 16). The result does not depend on it, only the work does.
@@ -56,6 +61,9 @@ SKETCH_BITS = 24
 SKETCH_BLOCK = 1 << 18
 #: Up to so many dropped ids (16 MB) are sent to the tasks, so that texts stay in place.
 BROADCAST_IDS = 1 << 21
+#: Classes of one block of a component (about), and n-grams compared at a time.
+TILE_CLASSES = 256
+TILE_GRAMS = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -284,7 +292,12 @@ def join_classes(docs: DataFrame, spec: JoinSpec | None = None, id_col: str = "d
     (the class of its set, null if empty) and comp (the component of that class);
     links are the verified links between different sets (a, b, common) that join
     the components."""
-    spec = spec or JoinSpec()
+    return _joined(docs, spec or JoinSpec(), id_col, text_col)[:2]
+
+
+def _joined(docs: DataFrame, spec: JoinSpec, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, str]:
+    """members and links of ``join_classes``, the components (cls, comp) of linked
+    classes, the index of the segments and their folder."""
     spark = docs.sparkSession
     prepare(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -343,17 +356,99 @@ def join_classes(docs: DataFrame, spec: JoinSpec | None = None, id_col: str = "d
     label = comp.withColumnRenamed("node", "cls")
     members = (members.join(label, "cls", "left")
                       .select("id", F.col("n").alias("n_shingles"), "cls", F.coalesce("comp", "cls").alias("comp")))
-    return members, links
+    return members, links, label, segments, folder
+
+
+def _tile_links(spec: JoinSpec, folder: str):
+    """Per tile (two blocks of classes of one component) and class the rows of the
+    classes it is linked with: overlaps of all pairs as products of 0-1 matrices."""
+    schema = pa.schema([("cls", pa.int64()), ("n_links", pa.int64())])
+
+    def side(rows: list[dict], opened: dict[str, np.ndarray]):
+        got = []
+        for r in rows:
+            if r["file"] not in opened:
+                if len(opened) > 64:
+                    opened.clear()
+                opened[r["file"]] = files.load(folder, r["file"])
+            got.append(np.asarray(opened[r["file"]][r["first"]:r["first"] + r["n"]]))
+        # keys with the place of their class, in the order of the keys
+        k, at = np.concatenate(got), np.repeat(np.arange(len(rows)), [len(g) for g in got])
+        order = np.argsort(k, kind="stable")
+        return k[order], at[order], np.array([r["n"] for r in rows], np.int64), np.array([r["docs"] for r in rows], np.int64)
+
+    def shared_only(k: np.ndarray, at: np.ndarray, both: np.ndarray):
+        place = np.minimum(np.searchsorted(both, k), len(both) - 1)
+        hit = both[place] == k
+        return place[hit], at[hit]
+
+    def run(batches):
+        opened: dict[str, np.ndarray] = {}
+        for b in batches:
+            cls, n_links = [], []
+            for lo, hi, x, y in zip(*(b.column(c).to_pylist() for c in ("lo", "hi", "x", "y")), strict=True):
+                kx, ax, nx, dx = side(x, opened)
+                ky, ay, ny, dy = (kx, ax, nx, dx) if lo == hi else side(y, opened)
+                common = np.zeros((len(x), len(nx) if lo == hi else len(y)), np.float64)
+                both = np.intersect1d(kx, ky)
+                if len(both):
+                    (px, ax), (py, ay) = shared_only(kx, ax, both), shared_only(ky, ay, both)
+                    for start in range(0, len(both), TILE_GRAMS):
+                        width = min(TILE_GRAMS, len(both) - start)
+                        m = []
+                        for p, a, size in ((px, ax, len(nx)), (py, ay, len(ny))):
+                            i, j = np.searchsorted(p, [start, start + width])
+                            one = np.zeros((size, width), np.float32)  # sums up to 2**14 are exact
+                            one[a[i:j], p[i:j] - start] = 1
+                            m.append(one)
+                        common += m[0] @ m[1].T
+                common = np.rint(common).astype(np.int64)
+                link = common * spec.den >= spec.num * (nx[:, None] + ny[None, :] - common)
+                if lo == hi:
+                    np.fill_diagonal(link, False)
+                cls += [r["cls"] for r in x]
+                n_links += (link @ dy).tolist()
+                if lo != hi:
+                    cls += [r["cls"] for r in y]
+                    n_links += (dx @ link).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(n_links, pa.int64())], schema=schema)
+
+    return run
+
+
+def _link_counts(members: DataFrame, comp: DataFrame, segments: DataFrame, spec: JoinSpec, folder: str) -> DataFrame:
+    """(cls, n_links): the other rows with an id that a row of the class is linked
+    with. Links never leave a component, so each component's classes are dealt to
+    blocks and every two blocks are compared in full in one bounded tile."""
+    sizes = members.where("cls is not null").groupBy("cls").agg(F.first("n_shingles").alias("n"), F.count("id").alias("docs"))
+    blocks = comp.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / TILE_CLASSES).cast("int").alias("blocks"))
+    entry = F.struct("cls", "n", "docs", "file", "first")
+    dealt = (comp.join(sizes, "cls").join(segments, "cls").join(blocks, "comp")
+                 .withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
+                 .groupBy("comp", "blocks", "block").agg(F.collect_list(entry).alias("rows")))
+    dealt = stored(dealt, "link-blocks")
+    left = dealt.select("comp", F.col("block").alias("lo"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("hi"), F.col("rows").alias("x"))
+    right = dealt.select("comp", F.explode(F.expr("sequence(0, block)")).alias("lo"), F.col("block").alias("hi"), F.col("rows").alias("y"))
+    tiles = left.join(right, ["comp", "lo", "hi"]).select("lo", "hi", "x", "y")
+    other = tiles.mapInArrow(_tile_links(spec, folder), "cls long, n_links long").groupBy("cls").agg(F.sum("n_links").alias("n_links"))
+    return sizes.join(other, "cls", "left").select("cls", (F.col("docs") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"))
 
 
 def component_ids(docs: DataFrame, spec: JoinSpec | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id, n_links) per row of ``docs``; component_id
     is the smallest id reachable by links, itself included. n_links counts the
-    verified links of the row's class to classes with other texts that the search
-    made (those inside a component already found are not all made)."""
-    members, links = join_classes(docs, spec, id_col, text_col)
-    degree = (links.select(F.col("a").alias("cls")).union(links.select(F.col("b").alias("cls")))
-                   .groupBy("cls").agg(F.count(F.lit(1)).alias("n_links")))
+    other rows with an id that the row's own text is linked with, exact copies
+    included; rows with an empty set or a null id have 0."""
+    spec = spec or JoinSpec()
+    members, _, comp, segments, folder = _joined(docs, spec, id_col, text_col)
+    degree = _link_counts(members, comp, segments, spec, folder)
+    return (_with_component(members).join(degree, "cls", "left")
+                .select(F.col("id").alias(id_col), "n_shingles", "component_id",
+                        F.when(F.col("id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links")))
+
+
+def _with_component(members: DataFrame) -> DataFrame:
+    """``members`` with component_id."""
     smallest = members.where("comp is not null").groupBy("comp").agg(F.min("id").alias("component_id"))
     # An id can stand on several rows (with several texts): its rows are linked through it.
     several = members.where("id is not null and comp is not null").groupBy("id").agg(
@@ -365,10 +460,8 @@ def component_ids(docs: DataFrame, spec: JoinSpec | None = None, id_col: str = "
         up = smallest.join(joined, "comp", "left").withColumn("root", F.coalesce("root", "comp"))
         low = up.groupBy("root").agg(F.min("component_id").alias("component_id"))
         smallest = up.select("comp", "root").join(low, "root").select("comp", "component_id")
-    return (members.join(smallest, "comp", "left").join(degree, "cls", "left")
-                   .select(F.col("id").alias(id_col), "n_shingles",
-                           F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"),
-                           F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    return (members.join(smallest, "comp", "left")
+                   .withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))))
 
 
 def keep_one(docs: DataFrame, spec: JoinSpec | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -376,7 +469,8 @@ def keep_one(docs: DataFrame, spec: JoinSpec | None = None, id_col: str = "doc_i
     id (one of them, if that id is on several rows). Rows with an empty set or a
     null id stay."""
     prepare(docs.sparkSession)
-    ids = stored(component_ids(docs, spec, id_col, text_col).select(id_col, "component_id", "n_shingles"), "members")
+    members = _with_component(join_classes(docs, spec, id_col, text_col)[0])
+    ids = stored(members.select(F.col("id").alias(id_col), "component_id", "n_shingles"), "members")
     gone = ids.where((F.col(id_col) != F.col("component_id")) & (F.col("n_shingles") > 0)).select(id_col).distinct()
     gone = stored(gone, "dropped-ids")
     if gone.count() <= BROADCAST_IDS:  # beyond that a shuffle join does the same

@@ -121,6 +121,31 @@ def test_raking_meets_the_marginals(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_link_numbers_match_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(ngram_join, "TILE_CLASSES", 4)
+    rows = []
+    for base in range(3):
+        text = [f"b{base}w{i}" for i in range(60)]
+        for _ in range(25):
+            w = list(text)
+            for at in rng.choice(60, int(rng.integers(0, 3)), replace=False):
+                w[at] = f"x{rng.integers(0, 50)}"
+            rows.append((len(rows), " ".join(w)))
+    rows += [(200 + i, rows[3][1]) for i in range(4)] + [(300, None), (301, ""), (302, "alone in the world of words"), (None, rows[3][1]), (7, rows[7][1])]
+    sets = []
+    for i, t in rows:
+        w = words(t)
+        sets.append((i, {tuple(w[j:j + 4]) for j in range(len(w) - 3)}))
+    want = [(i, sum(1 for k, (j, y) in enumerate(sets) if k != at and j is not None and x and y and 100 * len(x & y) >= 85 * len(x | y)) if i is not None else 0)
+            for at, (i, x) in enumerate(sets)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.component_ids(docs, ngram_join.JoinSpec(words=4, num=85)).select("doc_id", "n_links").collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    assert max(k for _, k in want) > 10
+
+
 # --- 4 trie ------------------------------------------------------------------------------
 
 def test_elias_fano_access_and_successor():
