@@ -85,6 +85,24 @@ def virtual_users_wide(virtual: DataFrame, items: Sequence, names: Sequence[str]
     return wide
 
 
+def virtual_user_blocks(virtual: DataFrame, item_index: DataFrame, size: int = 1024) -> DataFrame:
+    """(group_id, block, scores): the group x item table over all items, as blocks.
+
+    ``item_index`` (id, idx) gives each item its position; block b holds the
+    positions b * size to b * size + size - 1, zeros filled (also past the last
+    item). Blocks in which a group has no row are not made.
+    """
+    at = item_index.select(F.col("id").alias("item_id"), F.col("idx").alias("_idx"))
+    cells = (virtual.join(at, "item_id")
+                    .select("group_id", F.expr(f"cast(_idx div {size} as int)").alias("block"),
+                            F.struct((F.col("_idx") % size).cast("int").alias("p"), F.col("score").cast("double").alias("s")).alias("cell")))
+    rows = cells.groupBy("group_id", "block").agg(F.array_sort(F.collect_list("cell")).alias("c"))
+    # each score after the zeros that lie between it and the one before
+    filled = ("flatten(transform(c, (x, i) -> concat(array_repeat(0D, x.p - if(i = 0, -1, c[i - 1].p) - 1), array(x.s))))")
+    return rows.select("group_id", "block", F.expr(
+        f"concat({filled}, array_repeat(0D, {size} - 1 - element_at(c, -1).p))").alias("scores"))
+
+
 def virtual_train_test(group_plays: DataFrame, user_stats: DataFrame, membership: DataFrame,
                        agg: str = "normalized_avg") -> tuple[DataFrame, DataFrame]:
     """Group weights + virtual train and test users in one call."""

@@ -549,6 +549,14 @@ def q_virtual_users_wide(spark, sf):
                                      [f"top{r['rank']}" for r in top])
 
 
+@query("virtual_user_blocks")
+def q_virtual_user_blocks(spark, sf):
+    """Virtual users as a group x song table over all songs, in non-empty blocks."""
+    songs = indexing.index_ids(_plays(spark, sf), "item_id")
+    blocks = groups.virtual_user_blocks(_virtual(spark, sf, "train"), songs)
+    return blocks.withColumn("scores", F.transform("scores", lambda x: F.round(x, 6)))
+
+
 @query("virtual_train_test")
 def q_virtual_train_test(spark, sf):
     train, test = groups.virtual_train_test(_group_plays(spark, sf), _user_stats(spark, sf),
