@@ -9,6 +9,7 @@ can be compared with the DuckDB checks in ``plans.oracle``.
 
 from __future__ import annotations
 
+import itertools
 import threading
 from collections.abc import Callable
 
@@ -733,14 +734,26 @@ def q_evaluate_als_sweep(spark, sf):
     return tuning.evaluate_als(train, _labels(spark, sf), *ALS_PARAMS)
 
 
-CV_GRID = ((10, 0.1, 0.01), (5, 1.0, 0.1))   # two parameter sets on fixtures
+# The reference's search: every rank x lambda x alpha, in that nesting order.
+CV_RANKS = (5, 10, 50, 100, 200)
+CV_LAMBDAS = CV_ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0)
+CV_GRID = tuple(itertools.product(CV_RANKS, CV_LAMBDAS, CV_ALPHAS))
 
 
-def _cv_scores(spark, sf):
-    folded = split.cv_folds(_virtual(spark, sf, "train").select(
+def _cv_folded(spark, sf):
+    """(entity, item_id, score, fold) of the virtual users of all plays."""
+    folded = split.cv_folds(_virtual(spark, sf, None).select(
         F.col("group_id").alias("user_id"), "item_id", F.col("score").alias("play_count")), 2, SEED)
-    folded = folded.select(F.col("user_id").alias("entity"), "item_id", F.col("play_count").alias("score"), "fold")
-    return tuning.cross_validate(folded, CV_GRID, n=200, cv=2)
+    return folded.select(F.col("user_id").alias("entity"), "item_id", F.col("play_count").alias("score"), "fold")
+
+
+def _cv_scores(spark, sf, grid=CV_GRID):
+    return tuning.cross_validate(_cv_folded(spark, sf), grid, n=200, cv=2)
+
+
+def _grid_scan(spark, sf, grid=CV_GRID):
+    train = _virtual(spark, sf, "train").withColumnRenamed("group_id", "entity")
+    return tuning.grid_scan(train, _labels(spark, sf), grid, 200)
 
 
 @query("cross_validate")
@@ -760,8 +773,7 @@ def q_cv_best_params(spark, sf):
 
 @query("grid_scan")
 def q_grid_scan(spark, sf):
-    train = _virtual(spark, sf, "train").withColumnRenamed("group_id", "entity")
-    return tuning.grid_scan(train, _labels(spark, sf), CV_GRID, 200)
+    return _grid_scan(spark, sf)
 
 
 # ---------------------------------------------------------------- coverage
