@@ -399,3 +399,28 @@ def test_quality_rejects_junk_and_keeps_clean(spark):
     bad = [out[i]["keep"] for i, q in marked.items() if q == 0 and i in out]
     assert sum(good) >= 0.95 * len(good) and sum(bad) <= 0.5 * max(1, len(bad))
     assert quality.classify(docs.limit(3), labels.limit(0)).where("keep").count() == 3
+
+
+def test_long_trusted_texts_train_the_model(spark):
+    docs = spark.createDataFrame([(i, ("a long text of trust " * 1500) + str(i), "en") for i in range(20)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, quality int")
+    out = quality.classify(docs, labels, keep_columns=["doc_id"]).collect()
+    assert len(out) == 20 and all(r["perplexity"] is not None for r in out)
+
+
+def test_counts_of_long_texts_by_slices(monkeypatch):
+    from collections import Counter
+
+    texts = ["abcabcabcabcx", None, "", "ab", "cabcabcab" * 5]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+
+    def counts():
+        c = Counter()
+        for b in quality._count_rows(quality.QualitySpec())([batch]):
+            for k, n in zip(b.column("gram").to_pylist(), b.column("c").to_pylist(), strict=True):
+                c[k] += n
+        return c
+
+    whole = counts()
+    monkeypatch.setattr(quality, "BLOCK", 7)
+    assert counts() == whole and sum(whole.values()) == sum(len(t or "") for t in texts)
