@@ -49,7 +49,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from playlens.llm import blocks as B
@@ -464,21 +464,39 @@ def _with_component(members: DataFrame) -> DataFrame:
                    .withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))))
 
 
+def _row_classes(spec: JoinSpec):
+    """The rows with the class of their text in place of ``__cls`` (null for an empty set)."""
+    def run(batches):
+        for b in batches:
+            text, rest = b.column("__text"), b.drop_columns(["__text", "__cls"])
+            cls = [_class_of(s) if len(s) else None for _, s in B.distinct_sets(text, spec.words)]
+            yield rest.append_column("__cls", pa.array(cls, pa.int64()))
+
+    return run
+
+
 def keep_one(docs: DataFrame, spec: JoinSpec | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near copies: the one with the smallest
-    id (one of them, if that id is on several rows). Rows with an empty set or a
-    null id stay."""
+    id. Rows with an empty set or a null id stay. An id on several rows is decided row
+    by row, each by its own text; of its rows in one group the first by text stays."""
     prepare(docs.sparkSession)
-    members = _with_component(join_classes(docs, spec, id_col, text_col)[0])
-    ids = stored(members.select(F.col("id").alias(id_col), "component_id", "n_shingles"), "members")
-    gone = ids.where((F.col(id_col) != F.col("component_id")) & (F.col("n_shingles") > 0)).select(id_col).distinct()
-    gone = stored(gone, "dropped-ids")
+    spec = spec or JoinSpec()
+    members = stored(join_classes(docs, spec, id_col, text_col)[0].where("id is not null").select(F.col("id").alias(id_col), "cls", "comp"), "members")
+    first = members.where("comp is not null").groupBy("comp").agg(F.min(id_col).alias("__first"))
+    gone = stored(members.join(first, "comp").where(F.col(id_col) > F.col("__first")).select(id_col).distinct(), "dropped-ids")
     if gone.count() <= BROADCAST_IDS:  # beyond that a shuffle join does the same
         gone = F.broadcast(gone)
     kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
-    several = stored(ids.where((F.col("n_shingles") > 0) & F.col(id_col).isNotNull()).groupBy(id_col).agg(
-        F.count(F.lit(1)).alias("__rows")).where("__rows > 1").select(id_col), "repeated-ids")
+    several = stored(members.groupBy(id_col).agg(F.count(F.lit(1)).alias("__rows")).where("__rows > 1").select(id_col), "repeated-ids")
     if not several.take(1):
         return kept
-    once = kept.join(several, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.join(several, id_col, "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+    own = docs.join(several, id_col, "left_semi").withColumn("__cls", F.lit(None).cast("long"))
+    classed = own.withColumn("__text", F.col(text_col).cast("string")).mapInArrow(_row_classes(spec), own.schema)
+    groups = members.where("comp is not null").select(F.col("cls").alias("__cls"), "comp").distinct().join(first, "comp")
+    placed = classed.join(groups.withColumnRenamed("comp", "__comp"), "__cls", "left")
+    plain = [F.col(f.name) for f in docs.schema.fields if f.dataType.simpleString().find("map<") < 0 and f.dataType.typeName() != "variant"]
+    order = Window.partitionBy(id_col, "__comp").orderBy(text_col, F.xxhash64(*plain))
+    once = (placed.where("__cls is not null").where(F.col("__first") == F.col(id_col))
+                  .withColumn("__r", F.row_number().over(order)).where("__r = 1"))
+    return (kept.join(several, id_col, "left_anti").select(*docs.columns)
+                .unionByName(placed.where("__cls is null").select(*docs.columns)).unionByName(once.select(*docs.columns)))

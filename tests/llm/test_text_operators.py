@@ -424,3 +424,15 @@ def test_counts_of_long_texts_by_slices(monkeypatch):
     whole = counts()
     monkeypatch.setattr(quality, "BLOCK", 7)
     assert counts() == whole and sum(whole.values()) == sum(len(t or "") for t in texts)
+
+
+def test_keep_one_decides_each_row_of_a_repeated_id(spark):
+    a, b = ([f"{x}{i}" for i in range(50)] for x in "ab")
+    near = lambda w, k: " ".join([*w[:-1], f"x{k}"])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (5, ""), (3, near(a, 1)), (9, near(b, 2)), (9, None), (9, "a text of its own here"),
+            (7, "one and the same text"), (7, "one and the same text"), (None, " ".join(a))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.keep_one(docs, ngram_join.JoinSpec(words=4, num=85)).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    want = [rows[k] for k in (1, 2, 3, 5, 6, 7, 9)]
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
