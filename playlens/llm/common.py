@@ -37,15 +37,15 @@ def bucket_of(train: Column | str, modulus: int) -> Column:
 BITMAP_BITS = 1 << 24
 
 
-def bitmap(df: DataFrame, hash_col: str) -> np.ndarray:
-    """A bitmap of ``BITMAP_BITS`` bits (2 MB whatever the input) with the bit of
+def bitmap(df: DataFrame, hash_col: str, size: int = BITMAP_BITS) -> np.ndarray:
+    """A bitmap of ``size`` bits, a power of two (2 MB whatever the input) with the bit of
     every value of a long hash column set. Used only as a pre-filter: a set bit
     may be a chance hit, a clear bit never is."""
-    pos = F.pmod(F.col(hash_col), F.lit(BITMAP_BITS)) + 1  # bucket numbers count from position 1
+    pos = F.pmod(F.col(hash_col), F.lit(size)) + 1  # bucket numbers count from position 1
     rows = (df.select(pos.alias("p"))
               .groupBy(F.bitmap_bucket_number("p").alias("b"))
               .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect())
-    out = np.zeros((BITMAP_BITS // 32768, 4096), np.uint8)
+    out = np.zeros((size // 32768, 4096), np.uint8)
     for b, m in rows:
         out[b - 1] = np.frombuffer(bytes(m), np.uint8)
     return out.reshape(-1)
@@ -53,7 +53,7 @@ def bitmap(df: DataFrame, hash_col: str) -> np.ndarray:
 
 def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Whether the bit of each unsigned 64-bit hash is set."""
-    pos = (hashes & np.uint64(BITMAP_BITS - 1)).astype(np.int64)
+    pos = (hashes & np.uint64(8 * len(bits) - 1)).astype(np.int64)
     return (bits[pos >> 3] >> (pos & 7).astype(np.uint8)) & 1 == 1
 
 
@@ -91,5 +91,21 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     return nodes.union(e.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
 
 
+#: Keys on very many rows: at most so many, so their labels can be sent to the tasks.
+HOT_KEYS = 4096
+
+
+def join_hot(rows: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """``rows`` left-joined with one row of ``labels`` per ``key``; ``labels`` says in
+    ``n`` on how many rows a key stands. Keys on more than 1 / ``HOT_KEYS`` of all rows,
+    fewer than ``HOT_KEYS`` by count, are joined where the rows are; the others by
+    a shuffle. Both sides should be written tables."""
+    total = labels.agg(F.sum("n")).first()[0] or 0
+    many = F.col("n") > max(1000, total // HOT_KEYS)
+    hot = F.broadcast(labels.where(many).drop("n"))
+    cold = rows.join(F.broadcast(labels.where(many).select(key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(cold.join(labels.where(~many).drop("n"), key, "left"))
+
+
 def empty_like(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playlens.llm import ann, chat, decontaminate, html_text, langid, lm_trie, mixing, ngram_join, quality, toxicity
+from playlens.llm import (
+    ann, chat, decontaminate, html_text, langid, lm_trie, mixing, ngram_join, periodic, phrases, quality, simhash, toxicity,
+)
 from playlens.llm.common import bucket_of, prepare
 
 
@@ -85,6 +87,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, _table(spark, sf_dir, "labels"), keep_columns=["doc_id", "lang"])
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("text", "lang")
+    return phrases.collocations(docs)
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic.digests(periodic.detect(docs, rewrite=periodic.plant_period))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_ngram_join": op2_ngram_join,
@@ -96,4 +113,7 @@ QUERIES = {
     "op8_nearest": op8_nearest,
     "op9_language_id": op9_language_id,
     "op10_quality": op10_quality,
+    "op11_phrases": op11_phrases,
+    "op12_simhash": op12_simhash,
+    "op13_periodic_runs": op13_periodic_runs,
 }
