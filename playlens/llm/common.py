@@ -4,7 +4,7 @@ connected components."""
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from playlens.session import ensure_checkpoint_dir, scratch_path
@@ -91,6 +91,18 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     return nodes.union(e.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
 
 
+def first_rows(rows: DataFrame, group: str, order: list[Column], most: int, rank: str, spread: int = 8) -> DataFrame:
+    """The first ``most`` rows of each ``group`` in ``order``, numbered from 1 in
+    ``rank``. Rows are ranked in ``spread`` parts of a group first, so the task that
+    numbers a group sees ``spread * most`` rows, however large the group and however
+    many tasks it comes from."""
+    part = F.pmod(F.xxhash64(*rows.columns), F.lit(spread))
+    near = (rows.withColumn(rank, part)
+                .withColumn(rank, F.row_number().over(Window.partitionBy(group, rank).orderBy(*order))).where(F.col(rank) <= most))
+    return (near.withColumn(rank, F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+                .where(F.col(rank) <= most).withColumn(rank, F.col(rank).cast("long")))
+
+
 #: Keys on very many rows: at most so many, so their labels can be sent to the tasks.
 HOT_KEYS = 4096
 

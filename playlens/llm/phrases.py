@@ -37,11 +37,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playlens.llm import blocks as B
-from playlens.llm.common import bitmap, in_bitmap, prepare, stored
+from playlens.llm.common import bitmap, first_rows, in_bitmap, prepare, stored
 
 U64 = np.uint64
 
@@ -198,8 +198,7 @@ class Head:
 
 def _head(rows: DataFrame, parts: list[str], slots: dict[str, int], spec: PhraseSpec) -> Head:
     """Ranks by falling count within each language, of a bounded number of rows."""
-    order = Window.partitionBy("lang").orderBy(F.desc("f"), "code")
-    best = (rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= spec.head_words)
+    best = (first_rows(rows.select(*dict.fromkeys(["code", "lang", "f", *parts])), "lang", [F.desc("f"), F.col("code")], spec.head_words, "r")
                 .orderBy(F.desc("f"), "code").limit(spec.head_all).select("code", "lang", "r", *parts).collect())
     codes = np.array([x["code"] for x in best], np.int64).view(np.uint64)
     for x in best:
@@ -408,6 +407,5 @@ def collocations(docs: DataFrame, spec: PhraseSpec | None = None, text_col: str
             three.select("lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "a",
                          F.when(late, F.col("a12")).otherwise(F.col("f1")).alias("l"), F.when(late, F.col("f3")).otherwise(F.col("a23")).alias("r"),
                          F.least("s1", "s2").alias("score")))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= spec.top)
-    return best.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    best = first_rows(found, "lang", [F.desc("score"), F.desc("a"), F.col("phrase")], spec.top, "rank")
+    return best.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
