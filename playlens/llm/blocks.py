@@ -1,6 +1,6 @@
 """Words and shingles of Arrow text columns as 64-bit hashes, in numpy.
 
-A batch is worked on in blocks of about one megabyte of text (one text may be
+A batch is worked on in blocks of about 256 KB of text (one text may be
 larger: it is cut at white space), so memory does not follow the batch or the
 longest text. A word's hash comes from two polynomial hashes of its bytes,
 mixed into 64 bits.
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 U64 = np.uint64
 _RNG = np.random.default_rng(20240601)
 _T1 = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)

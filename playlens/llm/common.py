@@ -3,7 +3,11 @@ connected components."""
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +32,39 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(run: Callable) -> Callable:
+    """``run`` for ``mapInArrow``; once a task has read its last batch, the memory that
+    its worker has freed goes back to the system. Workers are used again by later
+    stages, so what one stage needed for a moment would otherwise be kept by all."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return work
+
+
+def release() -> None:
+    """Give freed memory of Arrow and of the C library back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def aside(docs: DataFrame, used: list[str]) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with the columns ``used`` as they are and all others within one struct,
+    ``rest``, where no name can clash; and the expressions that bring back the
+    columns of ``docs`` in their order."""
+    own = [c for c in docs.columns if c in used]
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in used]
+    rest = F.struct(*others) if others else F.lit(None).cast("string")
+    back = [F.col(f"`{c}`") if c in used else F.col("rest").getField(c).alias(c) for c in docs.columns]
+    return docs.select(*own, rest.alias("rest")), back
+
+
 def bucket_of(train: Column | str, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``; a null id counts as ''."""
     c = F.col(train) if isinstance(train, str) else train

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playlens.llm import blocks as B
-from playlens.llm.common import prepare, stored
+from playlens.llm.common import prepare, stored, tidy
 
 
 @dataclass(frozen=True)
@@ -133,7 +133,7 @@ def _indexes(items: DataFrame, spec: DecontamSpec, item_col: str, text_col: str)
     spark = items.sparkSession
     prepare(spark)
     rows = stored(items.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text"))
-                       .mapInArrow(_item_rows(spec), "item long, width int, grams array<long>"), "items")
+                       .mapInArrow(tidy(_item_rows(spec)), "item long, width int, grams array<long>"), "items")
     total = rows.agg(F.sum(F.size("grams"))).first()[0] or 0
     n = -(-total // spec.max_shingles)
     for block in range(n):
@@ -161,7 +161,7 @@ def find(docs: DataFrame, items: DataFrame, spec: DecontamSpec | None = None, id
                         [pa.array(v, pa.float64() if k == 4 else pa.int64()) for k, v in enumerate(zip(*rows, strict=True))],
                         names=[id_col, item_col, "n_item", "n_common", "containment", "first_word", "end_word"])
 
-        out = out.unionByName(texts.mapInArrow(run, schema))
+        out = out.unionByName(texts.mapInArrow(tidy(run), schema))
     return out
 
 
@@ -176,5 +176,5 @@ def drop(docs: DataFrame, items: DataFrame, spec: DecontamSpec | None = None, te
                 keep[[p for p, *_ in index.value.matches(b.column(text_col))]] = False
                 yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs

@@ -24,6 +24,7 @@ Repeated rows are predicted each. Extra columns pass through.
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from playlens.llm.blocks import BLOCK, PUNCT, text_buffers
-from playlens.llm.common import prepare, stored
+from playlens.llm.common import prepare, release, stored, tidy
 from playlens.llm.sampling import bounded_sample
 
 
@@ -78,27 +79,41 @@ def features(raw: np.ndarray, spec: LangSpec) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bag(text: bytes, spec: LangSpec) -> tuple[np.ndarray, np.ndarray]:
-    idx, _ = features(np.frombuffer(b" " + text + b" ", np.uint8), spec)
-    u, c = np.unique(idx, return_counts=True)
-    return u, (c / max(1, c.sum())).astype(np.float32)
-
-
-def fit(texts: list[str], langs: list[str], spec: LangSpec) -> dict | None:
-    """Train and calibrate; None without a text."""
+    raw, count = np.frombuffer(text, np.uint8), np.zeros(spec.buckets, np.int64)
+    edge = np.full(1, 32, np.uint8)
+    for lo, hi in _cuts(raw, 0, len(raw)):
+        idx, _ = features(np.concatenate([edge, raw[lo:hi], edge]), spec)
+        count += np.bincount(idx, minlength=spec.buckets)
+    u = np.flatnonzero(count).astype(np.uint32)
+    return u, (count[u] / max(1, count.sum())).astype(np.float32)
+
+
+def _cuts(raw: np.ndarray, at: int, end: int) -> Iterator[tuple[int, int]]:
+    """Slices of about a block that end at word edges."""
+    while at < end:
+        to = min(end, at + BLOCK)
+        while to < end and not _SPLIT[raw[to]]:
+            to += 1
+        yield at, to
+        at = to
+
+
+def fit(texts: Iterable[str], langs: list[str], spec: LangSpec) -> dict | None:
+    """Train and calibrate; None without a text. Of the texts, read one by one, only
+    the bags of subwords are kept."""
     rng = np.random.default_rng(spec.seed)
-    rows: list[tuple[bytes, str]] = []
+    names = sorted(set(langs))
+    if not names:
+        return None
+    bags = []
     for t, lang in zip(texts, langs, strict=True):
-        low = t.lower()
-        rows.append((low.encode("utf-8", "replace"), lang))
+        low, y = t.lower(), names.index(lang)
+        bags.append((*_bag(low.encode("utf-8", "replace"), spec), y))
         words = low.split()
         if len(words) > 4:
             n = int(rng.integers(2, min(60, len(words))))
             k = int(rng.integers(0, len(words) - n))
-            rows.append((" ".join(words[k:k + n]).encode("utf-8", "replace"), lang))
-    names = sorted(set(langs))
-    if not names:
-        return None
-    bags = [(*_bag(t, spec), names.index(lang)) for t, lang in rows]
+            bags.append((*_bag(" ".join(words[k:k + n]).encode("utf-8", "replace"), spec), y))
     bags = [b for b in bags if len(b[0])]
     if not bags:
         return None
@@ -156,7 +171,9 @@ def train(docs: DataFrame, spec: LangSpec | None = None, text_col: str = "text",
 
     def one(t: pa.Table) -> pa.Table:
         t = t.sort_by([("lang", "ascending"), ("id", "ascending"), ("text", "ascending")])
-        model = fit(t.column("text").to_pylist(), t.column("lang").to_pylist(), spec)
+        model = fit((x.as_py() for x in t.column("text")), t.column("lang").to_pylist(), spec)
+        del t
+        release()
         return pa.table({"m": pa.array([pickle.dumps(model)], pa.binary())})
 
     rows = sample.withColumn("g", F.lit(0)).groupBy("g").applyInArrow(one, "m binary").collect()
@@ -173,15 +190,10 @@ def _sums(col: pa.Array, model: dict, spec: LangSpec) -> tuple[np.ndarray, np.nd
     while i < n:
         j = min(n, max(i + 1, int(np.searchsorted(off, off[i] + BLOCK, "right")) - 1))
         if off[j] - off[i] > BLOCK:  # one long text, slice by slice (each from a word edge)
-            at, end = int(off[i]), int(off[j])
-            while at < end:
-                to = min(end, at + BLOCK)
-                while to < end and not _SPLIT[raw[to]]:
-                    to += 1
+            for at, to in _cuts(raw, int(off[i]), int(off[j])):
                 idx, _ = features(np.concatenate([[np.uint8(32)], raw[at:to], [np.uint8(32)]]).astype(np.uint8), spec)
                 total[i] += table[idx].sum(axis=0, dtype=np.float64)
                 count[i] += len(idx)
-                at = to
         elif off[j] > off[i]:
             # one edge between texts: each text is followed by a separator
             lens = np.diff(off[i:j + 1])
@@ -230,4 +242,4 @@ def predict(docs: DataFrame, model: dict | None, spec: LangSpec | None = None, t
 
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()),
                          StructField("accepted", BooleanType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

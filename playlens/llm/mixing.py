@@ -115,6 +115,9 @@ def mix(docs: DataFrame, spec: MixSpec | None = None, topic: Column | None = Non
     kept = [c for c in docs.columns if c not in ("topic", "n_tokens", "probability", "sampled")]
     topic = topic if topic is not None else genre(F.col(text_col))
     cells = probabilities(docs, spec, topic, targets, text_col).select(*[f"__{d}" for d in DIMS], "probability")
-    rows = docs.select(*kept, *_dims(docs, topic), token_count(F.col(text_col)).alias("n_tokens"), unit(id_col, spec.seed).alias("__u"))
+    # the caller's columns stand in one struct, where no name of theirs can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("rest"), *_dims(docs, topic), token_count(F.col(text_col)).alias("n_tokens"),
+                       unit(id_col, spec.seed).alias("__u"))
     joined = rows.join(cells, [f"__{d}" for d in DIMS])
-    return joined.select(*kept, F.col("__topic").alias("topic"), "n_tokens", "probability", (F.col("__u") < F.col("probability")).alias("sampled"))
+    return joined.select(*[F.col("rest").getField(c).alias(c) for c in kept], F.col("__topic").alias("topic"), "n_tokens", "probability",
+                         (F.col("__u") < F.col("probability")).alias("sampled"))

@@ -54,7 +54,7 @@ from pyspark.sql import functions as F
 
 from playlens.llm import blocks as B
 from playlens.llm import shared_files as files
-from playlens.llm.common import bitmap, components, in_bitmap, prepare, stored
+from playlens.llm.common import aside, bitmap, components, in_bitmap, prepare, stored, tidy
 from playlens.llm.packed import ROWS_SQL, Counter, gather
 
 SKETCH_BITS = 24
@@ -281,7 +281,7 @@ def _links(pairs: DataFrame, segments: DataFrame, spec: JoinSpec, folder: str) -
     # a hub that a third of all texts meet would bring all its pairs to one file's task
     asked = (pairs.join(at["a"], "a").join(at["b"], "b").withColumn("frag", frags)
                   .repartition("af", "bf", "frag").sortWithinPartitions("af", "bf"))
-    partial = asked.mapInArrow(_overlap_rows(spec, folder), "a long, an long, b long, bn long, common long")
+    partial = asked.mapInArrow(tidy(_overlap_rows(spec, folder)), "a long, an long, b long, bn long, common long")
     whole = partial.groupBy("a", "an", "b", "bn").agg(F.sum("common").alias("common"))
     return whole.where(F.col("common") * spec.den >= spec.num * (F.col("an") + F.col("bn") - F.col("common")))
 
@@ -301,21 +301,21 @@ def _joined(docs: DataFrame, spec: JoinSpec, id_col: str, text_col: str) -> tupl
     spark = docs.sparkSession
     prepare(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    meta = stored(texts.mapInArrow(_meta_rows(spec), "kind int, id long, n long, cls long, blob binary"), "sets")
+    meta = stored(texts.mapInArrow(tidy(_meta_rows(spec)), "kind int, id long, n long, cls long, blob binary"), "sets")
     members = meta.where("kind = 0").select("id", "n", "cls")
     frequent = spark.sparkContext.broadcast(_frequent(meta, spec))
 
     only = texts.select("text")
-    prefixes = stored(only.mapInArrow(_prefix_rows(spec, frequent), "cls long, n int, grams array<long>")
+    prefixes = stored(only.mapInArrow(tidy(_prefix_rows(spec, frequent)), "cls long, n int, grams array<long>")
                           .groupBy("cls").agg(F.first("n").alias("n"), F.first("grams").alias("grams")), "prefixes")
     grams = prefixes.agg(F.sum(F.size("grams"))).first()[0] or 0
     shards = max(4, -(-grams // spec.shard_grams))
     # the frequent n-grams, few by nature, all lie in the last shard
     limits = np.array([(s << 63) // shards for s in range(1, shards)], np.uint64)
-    repeated = stored(prefixes.select("grams").mapInArrow(_list_grams(spec, limits), ROWS_SQL)
+    repeated = stored(prefixes.select("grams").mapInArrow(tidy(_list_grams(spec, limits)), ROWS_SQL)
                               .groupBy("shard").applyInArrow(_repeated, "gram long"), "repeated")
     wanted = spark.sparkContext.broadcast(bitmap(repeated, "gram"))
-    shared = stored(prefixes.mapInArrow(_places(wanted), "gram long, cls long, n int, pos int").join(repeated, "gram"), "places")
+    shared = stored(prefixes.mapInArrow(tidy(_places(wanted)), "gram long, cls long, n int, pos int").join(repeated, "gram"), "places")
     hubs = (shared.groupBy("gram").agg(F.min(F.struct("pos", "n", "cls")).alias("hub"))
                   .select("gram", F.col("hub.pos").alias("hpos"), F.col("hub.n").alias("hn"), F.col("hub.cls").alias("h")))
     shared = stored(shared.join(hubs, "gram"), "shared")
@@ -323,7 +323,7 @@ def _joined(docs: DataFrame, spec: JoinSpec, id_col: str, text_col: str) -> tupl
     active = shared.select("cls").distinct()
     there = spark.sparkContext.broadcast(bitmap(active, "cls"))
     # texts with equal sets wrote equal segments: any one of them will do
-    segments = stored(only.mapInArrow(_write_segments(spec, frequent, there, folder), "cls long, file string, first long")
+    segments = stored(only.mapInArrow(tidy(_write_segments(spec, frequent, there, folder)), "cls long, file string, first long")
                           .groupBy("cls").agg(F.min(F.struct("file", "first")).alias("x")).select("cls", "x.file", "x.first"), "segment-index")
 
     def pair(a: str, an: str, b: str, bn: str):
@@ -430,7 +430,7 @@ def _link_counts(members: DataFrame, comp: DataFrame, segments: DataFrame, spec:
     left = dealt.select("comp", F.col("block").alias("lo"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("hi"), F.col("rows").alias("x"))
     right = dealt.select("comp", F.explode(F.expr("sequence(0, block)")).alias("lo"), F.col("block").alias("hi"), F.col("rows").alias("y"))
     tiles = left.join(right, ["comp", "lo", "hi"]).select("lo", "hi", "x", "y")
-    other = tiles.mapInArrow(_tile_links(spec, folder), "cls long, n_links long").groupBy("cls").agg(F.sum("n_links").alias("n_links"))
+    other = tiles.mapInArrow(tidy(_tile_links(spec, folder)), "cls long, n_links long").groupBy("cls").agg(F.sum("n_links").alias("n_links"))
     return sizes.join(other, "cls", "left").select("cls", (F.col("docs") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"))
 
 
@@ -481,22 +481,22 @@ def keep_one(docs: DataFrame, spec: JoinSpec | None = None, id_col: str = "doc_i
     by row, each by its own text; of its rows in one group the first by text stays."""
     prepare(docs.sparkSession)
     spec = spec or JoinSpec()
+    docs, back = aside(docs, [id_col, text_col])
     members = stored(join_classes(docs, spec, id_col, text_col)[0].where("id is not null").select(F.col("id").alias(id_col), "cls", "comp"), "members")
     first = members.where("comp is not null").groupBy("comp").agg(F.min(id_col).alias("__first"))
     gone = stored(members.join(first, "comp").where(F.col(id_col) > F.col("__first")).select(id_col).distinct(), "dropped-ids")
     if gone.count() <= BROADCAST_IDS:  # beyond that a shuffle join does the same
         gone = F.broadcast(gone)
-    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    kept = docs.join(gone, id_col, "left_anti")
     several = stored(members.groupBy(id_col).agg(F.count(F.lit(1)).alias("__rows")).where("__rows > 1").select(id_col), "repeated-ids")
     if not several.take(1):
-        return kept
+        return kept.select(*back)
     own = docs.join(several, id_col, "left_semi").withColumn("__cls", F.lit(None).cast("long"))
-    classed = own.withColumn("__text", F.col(text_col).cast("string")).mapInArrow(_row_classes(spec), own.schema)
+    classed = own.withColumn("__text", F.col(text_col).cast("string")).mapInArrow(tidy(_row_classes(spec)), own.schema)
     groups = members.where("comp is not null").select(F.col("cls").alias("__cls"), "comp").distinct().join(first, "comp")
     placed = classed.join(groups.withColumnRenamed("comp", "__comp"), "__cls", "left")
-    plain = [F.col(f.name) for f in docs.schema.fields if f.dataType.simpleString().find("map<") < 0 and f.dataType.typeName() != "variant"]
-    order = Window.partitionBy(id_col, "__comp").orderBy(text_col, F.xxhash64(*plain))
+    order = Window.partitionBy(id_col, "__comp").orderBy(text_col, F.to_json(F.struct("rest")))
     once = (placed.where("__cls is not null").where(F.col("__first") == F.col(id_col))
                   .withColumn("__r", F.row_number().over(order)).where("__r = 1"))
-    return (kept.join(several, id_col, "left_anti").select(*docs.columns)
-                .unionByName(placed.where("__cls is null").select(*docs.columns)).unionByName(once.select(*docs.columns)))
+    return (kept.join(several, id_col, "left_anti").select(*back)
+                .unionByName(placed.where("__cls is null").select(*back)).unionByName(once.select(*back)))

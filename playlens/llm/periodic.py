@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playlens.llm.common import prepare
+from playlens.llm.common import prepare, tidy
 
 
 @dataclass(frozen=True)
@@ -229,7 +229,7 @@ def detect(docs: DataFrame, spec: RunSpec | None = None, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(size, pa.int64()), pa.array(found, pa.list_(run_type)),
                                               pa.array(kept, pa.binary()).cast(pa.string())], schema=schema)
 
-    return rows.mapInArrow(work, "id long, n_words long, runs array<struct<start:long,length:long,period:long>>, collapsed string")
+    return rows.mapInArrow(tidy(work), "id long, n_words long, runs array<struct<start:long,length:long,period:long>>, collapsed string")
 
 
 def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

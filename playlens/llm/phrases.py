@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playlens.llm import blocks as B
-from playlens.llm.common import bitmap, first_rows, in_bitmap, prepare, stored
+from playlens.llm.common import bitmap, first_rows, in_bitmap, prepare, stored, tidy
 
 U64 = np.uint64
 
@@ -172,7 +172,7 @@ def _count_words(texts: DataFrame, spec: PhraseSpec) -> tuple[DataFrame, DataFra
     """(every language with its number of words, the frequent words: code, lang,
     word, f; the seed of the codes)."""
     for seed in range(8):
-        rows = texts.mapInArrow(_word_rows(seed), "code long, lang string, word string, c long")
+        rows = texts.mapInArrow(tidy(_word_rows(seed)), "code long, lang string, word string, c long")
         every = stored(rows.groupBy("code", "lang", "word").agg(F.sum("c").alias("f")), "words")
         words = stored(every.where(F.col("f") >= spec.min_count), "frequent-words")
         if not words.groupBy("code").count().where("count > 1").take(1):
@@ -357,7 +357,7 @@ def _coded(rows: DataFrame, n: int) -> DataFrame:
                 code = _chain(code, x)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(code.view(np.int64))], names=names)
 
-    return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields) + ", code long")
+    return rows.mapInArrow(tidy(run), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields) + ", code long")
 
 
 def _score(a, left, right):
@@ -385,7 +385,7 @@ def collocations(docs: DataFrame, spec: PhraseSpec | None = None, text_col: str
     def counted(n: int, frequent: DataFrame, left: Head) -> DataFrame:
         shared = spark.sparkContext.broadcast((_sized_bitmap(frequent, spec), left, right))
         cols = [f"g{k + 1}" for k in range(n)]
-        rows = texts.mapInArrow(_gram_rows(n, seed, shared, spec), ", ".join(f"{c} long" for c in cols) + ", c long")
+        rows = texts.mapInArrow(tidy(_gram_rows(n, seed, shared, spec)), ", ".join(f"{c} long" for c in cols) + ", c long")
         return rows.groupBy(*cols).agg(F.sum("c").alias("a")).where(F.col("a") >= spec.min_count)
 
     first = words.select(F.col("code").alias("g1"), "lang", F.col("word").alias("w1"), F.col("f").alias("f1"))

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playlens.llm.common import components, join_hot, prepare, stored
+from playlens.llm.common import components, join_hot, prepare, stored, tidy
 
 #: Hashes whose bits are counted at a time.
 VOTES = 1 << 14
@@ -119,7 +119,7 @@ def near_duplicates(docs: DataFrame, spec: SimSpec | None = None, id_col: str =
     spec = spec or SimSpec()
     prepare(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = stored(texts.mapInArrow(_prints(spec), "id long, fp long"), "fingerprints")
+    rows = stored(texts.mapInArrow(tidy(_prints(spec)), "id long, fp long"), "fingerprints")
     known = rows.where("id is not null")
     prints = stored(known.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
     found = links(prints.select("fp"), spec)

@@ -8,7 +8,8 @@ from playlens.llm import chat, decontaminate, html_text, langid, lm_trie, mixing
 
 SMALL = "/root/testdata/sf0.001"
 #: Names that the operators give to columns of their own.
-CLASHING = ("id", "n", "cls", "comp", "gram", "pos", "file", "tokens", "weight", "now", "topic", "label", "toxic", "keep", "h", "value")
+CLASHING = ("id", "n", "cls", "comp", "gram", "pos", "file", "tokens", "weight", "now", "topic", "label", "toxic", "keep", "h", "value",
+            "__ppl", "__said", "__lang", "__source", "__topic", "__first", "__cls", "__comp", "rest", "t")
 LONG = "the quick brown fox jumps over one lazy dog near a river bank " * 3000
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [(-1, None, "en", "s", 1), (-2, "", None, None, None), (-3, LONG, "en", "s", 1), (-3, LONG, "en", "s", 1),
@@ -108,3 +109,30 @@ def test_quality(spark, docs):
     assert out.count() == docs.count()
     assert out.where("doc_id in (-1, -2)").where("keep").count() == 0
     assert quality.classify(docs.limit(0), labels).count() == 0
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls, empty, long and repeated rows; columns named like the stages' own results,
+    of other types, come back as they were."""
+    import corpus_pipeline as p
+    from playlens.llm.common import stored
+
+    own = ["perplexity", "threshold", "keep", "lang_pred", "score", "accepted", "n_tokens", "probability", "sampled", "component_id", "n_shingles"]
+    base = spark.read.parquet(f"{SMALL}/documents.parquet").unionByName(spark.createDataFrame(ODD, SCHEMA))
+    docs = base.withColumns({c: F.lit(f"own {c}") for c in (*CLASHING, *own)}).withColumn("m", F.create_map(F.lit("a"), F.lit(1)))
+    for name, stage in p.STAGES[:-1]:
+        out = stored(stage(spark, docs, SMALL), f"odd-{name}")
+        assert out.dtypes == docs.dtypes, name
+        assert out.where(" or ".join(f"`{c}` is null or `{c}` <> 'own {c}'" for c in (*CLASHING, *own))).count() == 0
+        ids = [r["doc_id"] for r in out.select("doc_id").collect()]
+        assert set(ids) <= {r["doc_id"] for r in docs.select("doc_id").collect()}
+        if name == "quality":
+            assert not {-1, -2} & set(ids)
+        if name == "near_duplicates":
+            assert ids.count(-3) == 1 and {-1, -2, -4, None} <= set(ids)
+        if name == "decontaminate":
+            assert ids.count(-3) == 2 and {-1, -2, -4, None} <= set(ids)
+        assert stage(spark, docs.limit(0), SMALL).count() == 0
+    last = p.STAGES[-1][1]
+    assert last(spark, docs, SMALL).columns == ["doc_id", "source", "lang", "topic", "n_tokens", "probability"]
+    assert last(spark, docs.limit(0), SMALL).count() == 0
