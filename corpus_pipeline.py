@@ -12,7 +12,19 @@ the next. All stages but the last return the columns of ``documents``.
 5. mix: documents are sampled to the target shares of source, language and topic.
    Returns doc_id, source, lang, topic, n_tokens and probability of the sample.
 
-A row whose id is null has its own fate at each stage and is never a near copy.
+Defined results, at every stage:
+
+* null id: the row is judged by its own text and never counts as a near copy;
+* null or empty text: the quality stage drops the row; a text without a letter goes at
+  the language stage; near_duplicates, decontaminate and mix keep such rows, which
+  have no words, match no item and have no tokens;
+* null language or source: a value of its own ('' for the mix);
+* very long texts are read whole, in slices;
+* repeated rows share every verdict but one: of equal texts with an id the first stays;
+* ties: the smallest id stays; of rows of one id and one group the first by text;
+* an empty table: every stage returns no row, with its columns;
+* other columns pass through the first four stages as they are, whatever their names,
+  those of the stages' own results included; the last returns its own columns alone.
 """
 
 from __future__ import annotations
@@ -23,18 +35,20 @@ from pyspark.sql import functions as F
 from playlens.llm import decontaminate as leaks
 from playlens.llm import langid, mixing, ngram_join
 from playlens.llm import quality as kn
-from playlens.llm.common import prepare, stored
+from playlens.llm.common import aside, prepare, stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return kn.classify(docs, labels).where("keep").select(*docs.columns)
+    rows, back = aside(docs, ["doc_id", "text", "lang"])
+    return kn.classify(rows, labels).where("keep").select(*back)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return langid.predict(docs, langid.train(docs)).where("accepted").select(*docs.columns)
+    rows, back = aside(docs, ["doc_id", "text", "lang"])
+    return langid.predict(rows, langid.train(rows)).where("accepted").select(*back)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
