@@ -40,7 +40,8 @@ def per_entity(recs: DataFrame, labels: DataFrame, k: int = 10,
                keys: Sequence[str] = ("entity",)) -> DataFrame:
     """One row per (keys...) with the per-entity parts of every metric."""
     keys = list(keys)
-    ent = [c for c in keys if c != "n"]
+    # what labels are told apart by; the other keys (cut-off, parameter set) share them
+    ent = [c for c in keys if c in labels.columns]
     lab = labels.select(*ent, "item_id").distinct()
     flagged = (recs.join(lab.withColumn("_hit", F.lit(1)), [*ent, "item_id"], "left")
                    .withColumn("_hit", F.coalesce("_hit", F.lit(0))))
@@ -96,6 +97,53 @@ def evaluate_at(recs: DataFrame, labels: DataFrame, ns: Sequence[int] = N_LIST,
     return _summarise(per_entity(cut, labels, k, keys=("n", "entity")), ["n"])
 
 
+def evaluate_sets(recs: DataFrame, labels: DataFrame, group: Sequence[str], k: int = 10) -> DataFrame:
+    """(group..., map, ndcg, f1, precision, recall, mpr): the lists of many parameter
+    sets (and folds) scored in one pass. Labels may carry some of the ``group``
+    columns (the fold); they serve every set of the others."""
+    return _summarise(per_entity(recs, labels, k, keys=[*group, "entity"]), list(group))
+
+
+def evaluate_same_list(ranked: DataFrame, entities: DataFrame, labels: DataFrame, ns: Sequence[int] = N_LIST,
+                       k: int = 10) -> DataFrame:
+    """(n, map, ndcg, f1, precision, recall, mpr) where every one of ``entities``
+    (entity) has the same list ``ranked`` (rank, item_id; a bounded number of rows).
+
+    Seen from the labels' side: labels meet the one list, and an entity adds to the
+    sums what its hits give. Entities without a hit, or without labels, are counts,
+    so the table entity x list is never made.
+    """
+    known = entities.select("entity").distinct()
+    lab = labels.select("entity", "item_id").distinct().join(known, "entity", "left_semi")
+    n_lab = lab.groupBy("entity").agg(F.count(F.lit(1)).alias("n_labels"))
+    cuts = F.array(*[F.lit(int(n)) for n in sorted(ns)])
+    hits = (lab.join(F.broadcast(ranked.select("item_id", "rank")), "item_id")  # at most max(ns) rows
+               .select("entity", "rank", F.explode(F.filter(cuts, lambda n: n >= F.col("rank"))).alias("n")))
+    rank = F.col("rank").cast("double")
+    nth = F.row_number().over(Window.partitionBy("n", "entity").orderBy("rank"))
+    per = (hits.withColumn("_c", nth).groupBy("n", "entity").agg(
+        F.count(F.lit(1)).alias("hits"), F.sum(F.col("_c") / rank).alias("_ap"),
+        F.sum(F.when(F.col("rank") <= k, F.lit(1.0) / F.log(rank + 1.0)).otherwise(0.0)).alias("_dcg"),
+        F.sum(rank - 1.0).alias("_pos")).join(n_lab, "entity"))
+    length = ranked.count()
+    sizes = entities.sparkSession.createDataFrame([(int(n), min(int(n), length)) for n in sorted(ns)], "n INT, n_recs INT")
+    m, h = F.col("n_labels"), F.col("hits")
+    # a hit takes its place's percentile off the 100 that a label without one has
+    sums = per.join(F.broadcast(sizes), "n").groupBy("n").agg(
+        F.sum(F.col("_ap") / m).alias("ap"), F.sum(F.col("_dcg") / _ideal_dcg(F.least(m, F.lit(k)))).alias("ndcg"),
+        F.sum(h / F.col("n_recs")).alias("p"), F.sum(h / m).alias("r"),
+        F.sum((h * 100.0 - F.col("_pos") / F.col("n_recs") * 100.0) / m).alias("off"))
+    n_entities, n_known = known.count(), n_lab.count()  # entities, and those with labels
+    every, labelled = F.lit(float(max(1, n_entities))), F.lit(float(n_known))
+    mean = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("ap", "ndcg", "p", "r", "off")}
+    out = (sizes.join(sums, "n", "left").filter((F.col("n_recs") > 0) & F.lit(n_entities > 0))
+                .select("n", (mean["ap"] / every).alias("map"), (mean["ndcg"] / every).alias("ndcg"), (mean["p"] / every).alias("precision"),
+                        F.when(labelled > 0, mean["r"] / F.nullif(labelled, F.lit(0.0))).alias("recall"),
+                        ((labelled * 100.0 - mean["off"]) / every).alias("mpr")))
+    p, r = F.col("precision"), F.col("recall")
+    return out.select("n", "map", "ndcg", (F.lit(2.0) * p * r / F.nullif(p + r, F.lit(0.0))).alias("f1"), "precision", "recall", "mpr")
+
+
 def metric(recs: DataFrame, labels: DataFrame, name: str, k: int = 10) -> DataFrame:
     """One metric as a one-row table (column named after it)."""
     if name not in METRIC_COLUMNS:

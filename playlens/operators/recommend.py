@@ -9,10 +9,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from playlens.functions.columns import seeded_key
+from playlens.functions.numbering import global_index
 from playlens.operators.sparse_product import TIE_DIGITS, sparse_product, top_k_per_row
 
 POPULARITY_COLUMNS = {"tot": "total_play", "occ": "occurrence", "mean": "mean"}
@@ -30,7 +31,6 @@ def top_items(item_stats: DataFrame, by: str = "occ", n: int = 20) -> DataFrame:
 
 def _numbered(bounded: DataFrame, order) -> DataFrame:
     # ``bounded`` has at most n rows (a limit), so an unpartitioned window is fine.
-    from pyspark.sql import Window
     return bounded.select(F.row_number().over(Window.orderBy(*order)).alias("rank"), "item_id")
 
 
@@ -90,23 +90,78 @@ def predict_knn(weights: DataFrame, neighbours: DataFrame, **tiling) -> DataFram
         F.col("r").alias("row"), F.col("q").alias("item_id"), F.col("v").alias("score"))
 
 
-def recommend_knn(weights: DataFrame, neighbours: DataFrame, n: int = 20, **tiling) -> DataFrame:
+def recommend_knn(weights: DataFrame, neighbours: DataFrame, n: int = 20, pad: bool = False,
+                  items: DataFrame | None = None, **tiling) -> DataFrame:
     """(row, rank, item_id, score): the n best unplayed items per row by kNN score.
 
-    Only positive scores are listed (the reference fills short lists with
-    zero-score items in arbitrary order).
+    Only positive scores are listed, unless ``pad`` asks for full lists: they go on
+    with unplayed items of score 0 by ascending id, out of ``items`` (item_id; by
+    default the items of ``weights``). Every row of ``weights`` then has n items, or
+    all its unplayed ones.
     """
+    if pad:
+        every = items if items is not None else weights
+        found = recommend_knn(weights, neighbours, n, **tiling)
+        return pad_lists(found, weights.select("row", "item_id"), every.select("item_id").distinct(), n)
     x = weights.select(F.col("row").alias("r"), F.col("item_id").alias("t"), F.col("w").alias("x"))
     top = sparse_product(x, _scaled_neighbours(neighbours), k=n, exclude="x_support", **tiling)
     return top.select(F.col("r").alias("row"), F.col("rank").cast("int").alias("rank"),
                       F.col("q").alias("item_id"), F.col("v").alias("score"))
 
 
+#: Item positions of one block of ``pad_lists``: what a window task numbers at most.
+PAD_BLOCK = 1 << 16
+
+
+def pad_lists(lists: DataFrame, played: DataFrame, items: DataFrame, n: int) -> DataFrame:
+    """``lists`` (row, rank, item_id, score) filled up to ``n`` items for each row of
+    ``played`` (row, item_id), with items of score 0 that the row neither lists nor
+    played, by ascending id.
+
+    No row meets every item: a row's taken items (listed or played) are numbered by
+    their position among all items. The taken item at position s with i taken ones
+    before it has s - i free positions before it, so the free position number j is
+    j + (taken items with at most j free ones before them), and only counts of these
+    by j < n are kept for a row. A row's taken items are numbered in blocks of
+    positions, each after the number in the blocks before it, so that a row with very
+    many plays is not numbered in one task.
+    """
+    position = global_index(items, ["item_id"], "s")
+    taken = played.select("row", "item_id").unionByName(lists.select("row", "item_id")).distinct()
+    placed = (taken.join(position, "item_id").select("row", "s", F.expr(f"s div {PAD_BLOCK}").alias("b")))
+    before = Window.partitionBy("row").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (placed.groupBy("row", "b").agg(F.count(F.lit(1)).alias("c"))
+                    .select("row", "b", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("o")))
+    inside = Window.partitionBy("row", "b").orderBy("s")
+    free = F.col("s") - F.col("o") - (F.row_number().over(inside) - 1)
+    per = placed.join(blocks, ["row", "b"]).select("row", free.alias("d")).filter(F.col("d") < n)
+    counts = (per.groupBy("row", "d").agg(F.count(F.lit(1)).alias("c"))
+                 .groupBy("row").agg(F.collect_list(F.struct("d", "c")).alias("ds")))  # at most n entries
+    have = lists.groupBy("row").agg(F.count(F.lit(1)).alias("h"))
+    gaps = (played.select("row").distinct().join(have, "row", "left").join(counts, "row", "left")
+                  .withColumn("h", F.coalesce("h", F.lit(0))).filter(F.col("h") < n)
+                  .select("row", "h", "ds", F.explode(F.sequence(F.lit(0), (F.lit(n - 1) - F.col("h")).cast("int"))).alias("j")))
+    shift = F.expr("aggregate(filter(coalesce(ds, array()), x -> x.d <= j), 0L, (a, x) -> a + x.c)")
+    added = (gaps.select("row", (F.col("h") + F.col("j") + 1).cast("int").alias("rank"), (F.col("j") + shift).alias("s"))
+                 .join(position, "s").select("row", "rank", "item_id", F.lit(0.0).alias("score")))
+    return lists.select("row", "rank", "item_id", "score").unionByName(added)
+
+
+#: Ratings of one ALS block: what a task of an iteration holds.
+BLOCK_RATINGS = 200_000
+
+
+def als_blocks(ratings: DataFrame) -> int:
+    """User and item blocks for ALS, by the number of ratings (one scalar): a small fit
+    isn't cut into tasks that wait for each other, a large one has bounded blocks."""
+    return max(1, math.ceil(ratings.count() / BLOCK_RATINGS))
+
+
 def train_als(ratings: DataFrame, rank: int = 10, reg: float = 0.1, alpha: float = 0.01,
               max_iter: int = 10, seed: int = 10, blocks: int | None = None):
     """Implicit-feedback ALS on (row INT, item INT, rating) with MLlib."""
     from pyspark.ml.recommendation import ALS
-    parts = blocks or int(ratings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = blocks or als_blocks(ratings)
     als = ALS(rank=rank, maxIter=max_iter, regParam=reg, alpha=alpha, implicitPrefs=True, seed=seed,
               userCol="row", itemCol="item", ratingCol="rating", numUserBlocks=parts,
               numItemBlocks=parts, coldStartStrategy="drop", checkpointInterval=5)
@@ -129,7 +184,7 @@ def _tile_top_n(pdf: pd.DataFrame, n: int) -> pd.DataFrame:
     scores = u @ v.T
     k = min(n, scores.shape[1])
     # Everything at or above each row's k-th best rank key (ties kept, cut later).
-    keys = np.floor(scores * 10.0 ** TIE_DIGITS + 0.5)
+    keys = np.rint(scores * 10.0 ** TIE_DIGITS)
     kth = np.partition(keys, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
     rows, cols = np.nonzero(keys >= kth[:, None])
     vals = scores[rows, cols]

@@ -47,8 +47,14 @@ def _empty(ranked: bool = False) -> pd.DataFrame:
     return pd.DataFrame(cols)
 
 
-def _block(xt, xv, r_codes, r_uni, yt, yv, q_codes, q_uni, k, exclude) -> pd.DataFrame:
-    """Products of one row sub-block (X entries sorted by key) into a dense accumulator."""
+def _rank_key(v: np.ndarray) -> np.ndarray:
+    """``rank_key`` on arrays: the same double arithmetic."""
+    return np.rint(v * 10.0 ** TIE_DIGITS)
+
+
+def _block(xt, xv, r_codes, r_uni, yt, yv, q_codes, q_uni, k, exclude, whole) -> pd.DataFrame:
+    """Products of one row sub-block (X entries sorted by key) into a dense accumulator;
+    ``whole`` says that its sums are complete."""
     n_r, n_q = len(r_uni), len(q_uni)
     acc = np.zeros(n_r * n_q, dtype=np.float64)
     y_start = np.searchsorted(yt, xt, side="left")
@@ -70,7 +76,7 @@ def _block(xt, xv, r_codes, r_uni, yt, yv, q_codes, q_uni, k, exclude) -> pd.Dat
     acc = acc.reshape(n_r, n_q)
 
     if k is None:
-        rr, qq = np.nonzero(acc)
+        rr, qq = np.nonzero(_rank_key(acc) if whole else acc)
         return pd.DataFrame({"r": r_uni[rr], "q": q_uni[qq], "v": acc[rr, qq]})
 
     if exclude == "self":
@@ -85,10 +91,11 @@ def _block(xt, xv, r_codes, r_uni, yt, yv, q_codes, q_uni, k, exclude) -> pd.Dat
     out_r, out_q, out_v = [], [], []
     for row in range(n_r):
         vals = acc[row]
-        idx = np.flatnonzero(vals > 0)
+        keys = _rank_key(vals)
+        idx = np.flatnonzero(keys > 0)
         if idx.size == 0:
             continue
-        keyv = np.floor(vals[idx] * 10.0 ** TIE_DIGITS + 0.5)
+        keyv = keys[idx]
         if idx.size > k:
             thr = np.partition(keyv, idx.size - k)[idx.size - k]
             sel = keyv >= thr
@@ -106,7 +113,7 @@ def _block(xt, xv, r_codes, r_uni, yt, yv, q_codes, q_uni, k, exclude) -> pd.Dat
 
 
 def _tile_products(pdf: pd.DataFrame, k: int | None, exclude: str | None,
-                   max_cells: int = 1 << 24) -> pd.DataFrame:
+                   max_cells: int = 1 << 24, whole: bool = True) -> pd.DataFrame:
     """All products of one tile, row sub-block by row sub-block so the dense
     accumulator never exceeds ``max_cells`` entries."""
     xs = pdf[pdf["side"] == 0]
@@ -126,7 +133,7 @@ def _tile_products(pdf: pd.DataFrame, k: int | None, exclude: str | None,
     for lo in range(0, len(r_uni), rows_per):
         hi = min(len(r_uni), lo + rows_per)
         m = (r_codes >= lo) & (r_codes < hi)
-        parts.append(_block(xt[m], xv[m], r_codes[m] - lo, r_uni[lo:hi], yt, yv, q_codes, q_uni, k, exclude))
+        parts.append(_block(xt[m], xv[m], r_codes[m] - lo, r_uni[lo:hi], yt, yv, q_codes, q_uni, k, exclude, whole))
     parts = [p for p in parts if len(p)]
     return pd.concat(parts, ignore_index=True) if parts else _empty(ranked=k is not None)
 
@@ -136,6 +143,9 @@ def sparse_product(x: DataFrame, y: DataFrame, k: int | None = None, exclude: st
                    heavy_key: int = 1_000_000) -> DataFrame:
     """(r, q, v): the product, or its top-k per r (by v desc, q asc) with v > 0.
 
+    Values count as equal, zero or positive by ``rank_key``, whichever way the sums
+    were put together, so the result doesn't depend on the tiling.
+
     x: (r, t, x), y: (q, t, y). ``exclude``: 'self' drops q == r, 'x_support'
     drops cells (r, q) where X has an entry (r, t = q). The sizes used for
     tiling are three scalar counts.
@@ -197,7 +207,7 @@ def sparse_product(x: DataFrame, y: DataFrame, k: int | None = None, exclude: st
     excl = exclude if fast else None
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _tile_products(pdf, keep_k, excl, max_cells)
+        return _tile_products(pdf, keep_k, excl, max_cells, fast)
 
     if fast and k is not None:
         # Each row lives in one tile and the tile holds its complete sums, so the
@@ -205,20 +215,21 @@ def sparse_product(x: DataFrame, y: DataFrame, k: int | None = None, exclude: st
         return tiles.groupBy("I", "c", "s").applyInPandas(run, OUT_SCHEMA + ", rank int")
     cells = tiles.groupBy("I", "c", "s").applyInPandas(run, OUT_SCHEMA)
     if k is None:
-        return cells if fast else cells.groupBy("r", "q").agg(F.sum("v").alias("v")).filter(F.col("v") != 0)
+        return cells if fast else cells.groupBy("r", "q").agg(F.sum("v").alias("v")).filter(rank_key(F.col("v")) != 0)
     cells = cells.groupBy("r", "q").agg(F.sum("v").alias("v"))
     if exclude == "self":
         cells = cells.filter(F.col("r") != F.col("q"))
     elif exclude == "x_support":
         support = xs.select(F.col("a").alias("r"), F.col("t").alias("q"))
         cells = cells.join(support, ["r", "q"], "left_anti")
-    return top_k_per_row(cells.filter(F.col("v") > 0), k)
+    return top_k_per_row(cells.filter(rank_key(F.col("v")) > 0), k)
 
 
 def rank_key(v: Column) -> Column:
     """What ranks are made by at every size: the value in units of 10**-TIE_DIGITS,
-    rounded by the same arithmetic as in the tiles."""
-    return F.floor(v * F.lit(10.0 ** TIE_DIGITS) + F.lit(0.5))
+    rounded as a double (no integer that large values would overflow), by the same
+    arithmetic as in the tiles."""
+    return F.rint(v * F.lit(10.0 ** TIE_DIGITS))
 
 
 def top_k_per_row(cells: DataFrame, k: int) -> DataFrame:

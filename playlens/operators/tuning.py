@@ -1,31 +1,25 @@
-"""ALS evaluation, parameter grids and cross-validation.
+"""ALS evaluation, cross-validation and grid scans.
 
-Each fit is a distributed MLlib job; the driver only walks the (small) grid of
-parameter sets and folds, and keeps one score row per fit.
+Each fit is a distributed MLlib job. The fits of a grid run side by side, write
+their lists into one table keyed by fold and parameter set, and one pass over that
+table scores them all; the driver only walks the (small) grid.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playlens.operators.metrics import N_LIST, evaluate_at
-from playlens.operators.recommend import recommend_als, train_als
-from playlens.session import ensure_checkpoint_dir
+from playlens.operators.metrics import N_LIST, evaluate_at, evaluate_sets
+from playlens.operators.recommend import als_blocks, recommend_als, recommend_popular, train_als
+from playlens.operators.stats import song_play_mean
+from playlens.session import ensure_checkpoint_dir, scratch_path
 
-
-def param_grid(spark: SparkSession, ranks: Sequence[int], lambdas: Sequence[float],
-               alphas: Sequence[float]) -> DataFrame:
-    """(param_id, rank, reg, alpha) in rank -> lambda -> alpha nesting order."""
-    rows, pid = [], 0
-    for r in ranks:
-        for lam in lambdas:
-            for a in alphas:
-                rows.append((pid, int(r), float(lam), float(a)))
-                pid += 1
-    return spark.createDataFrame(rows, "param_id INT, rank INT, reg DOUBLE, alpha DOUBLE")
+#: Makes (entity, rank, item_id) lists from training cells and one parameter set.
+Fit = Callable[[DataFrame, object], DataFrame]
 
 
 def _ratings(train: DataFrame) -> DataFrame:
@@ -42,27 +36,66 @@ def evaluate_als(train: DataFrame, labels: DataFrame, rank: int = 10, reg: float
     return evaluate_at(recs, labels, ns)
 
 
-def cross_validate(folded: DataFrame, grid: Sequence[tuple[int, float, float]], n: int = 200,
-                   cv: int | None = None, seed: int = 10) -> DataFrame:
+def als_lists(n: int = 200, seed: int = 10, blocks: int | None = None) -> Fit:
+    """A fit for ``lists_of_sets``: implicit ALS with (rank, lambda, alpha)."""
+    def fit(train: DataFrame, params: Sequence) -> DataFrame:
+        rank, reg, alpha = params
+        model = train_als(_ratings(train), rank, reg, alpha, seed=seed, blocks=blocks)
+        return recommend_als(model, n).withColumnRenamed("row", "entity")
+    return fit
+
+
+def popular_lists(n: int = 200) -> Fit:
+    """A fit for ``lists_of_sets``: the popularity recommender by one of tot, occ, mean,
+    for every entity that has a training row."""
+    def fit(train: DataFrame, by: str) -> DataFrame:
+        plays = train.select(F.col("entity").alias("user_id"), "item_id", F.col("score").alias("play_count"))
+        return recommend_popular(train.select("entity").distinct(), song_play_mean(plays), by, n)
+    return fit
+
+
+def lists_of_sets(trains: Mapping[int, DataFrame], grid: Sequence, fit: Fit, parallel: int = 8) -> DataFrame:
+    """(fold, param_id, entity, rank, item_id): the lists of every parameter set on
+    every training table, in one written table.
+
+    A fit is many short Spark jobs that wait for each other, so ``parallel`` fits run
+    side by side and share the executors; a fit's lists go to a folder of their own.
+    The driver holds no list and no score, whatever the grid."""
+    spark = next(iter(trains.values())).sparkSession
+    path = scratch_path(spark, "lists")
+
+    def one(job: tuple[int, int]) -> None:
+        fold, pid = job
+        fit(trains[fold], grid[pid]).select("entity", "rank", "item_id").write.parquet(f"{path}/fold={fold}/param_id={pid}")
+
+    # the dearest sets (the last of a grid in rising order) begin first
+    jobs = [(fold, pid) for pid in reversed(range(len(grid))) for fold in trains]
+    with ThreadPoolExecutor(max_workers=max(1, min(parallel, len(jobs)))) as pool:
+        list(pool.map(one, jobs))
+    return spark.read.parquet(path)
+
+
+def cross_validate(folded: DataFrame, grid: Sequence, n: int = 200, cv: int | None = None, seed: int = 10,
+                   fit: Fit | None = None, parallel: int = 8) -> DataFrame:
     """(fold, param_id, map, mpr): one score row per fold and parameter set.
 
     ``folded``: (entity, item_id, score, fold). Fold k is the test set and the
-    others train; labels are the test items.
+    others train; labels are the test items. ``fit`` makes the lists of one set
+    (implicit ALS by default). All lists are scored in one pass, keyed by fold and
+    set, against the labels of their fold.
     """
     spark = folded.sparkSession
-    # Every fit reads the fold table again: materialise it once (reliable
-    # checkpoint in the shared folder) instead of replaying its plan per fit.
-    ensure_checkpoint_dir(spark)
-    folded = folded.checkpoint(eager=True)
-    folds = cv if cv is not None else folded.agg(F.max("fold")).first()[0] + 1
-    out = []
-    for k in range(folds):
-        train = folded.filter(F.col("fold") != k)
-        labels = folded.filter(F.col("fold") == k).select("entity", "item_id")
-        for pid, (rank, reg, alpha) in enumerate(grid):
-            row = evaluate_als(train, labels, rank, reg, alpha, [n], seed).first()
-            out.append((k, pid, float(row["map"]), float(row["mpr"])))
-    return spark.createDataFrame(out, "fold INT, param_id INT, map DOUBLE, mpr DOUBLE")
+    # Every fit reads the fold table again: written once, by fold, so a fit reads
+    # the folds it trains on and nothing else.
+    path = scratch_path(spark, "folds")
+    folded.select("entity", "item_id", "score", "fold").write.partitionBy("fold").parquet(path)
+    stored = spark.read.parquet(path)
+    folds = cv if cv is not None else stored.agg(F.max("fold")).first()[0] + 1
+    trains = {k: stored.filter(F.col("fold") != k) for k in range(folds)}
+    fit = fit or als_lists(n, seed, als_blocks(stored))
+    lists = lists_of_sets(trains, grid, fit, parallel)
+    scores = evaluate_sets(lists, stored.select("fold", "entity", "item_id"), ["fold", "param_id"])
+    return scores.select(F.col("fold").cast("int").alias("fold"), F.col("param_id").cast("int").alias("param_id"), "map", "mpr")
 
 
 def cv_summary(scores: DataFrame) -> DataFrame:
@@ -79,19 +112,15 @@ def cv_best_params(summary: DataFrame, by: str = "mpr") -> DataFrame:
 
 
 def grid_scan(train: DataFrame, labels: DataFrame, grid: Sequence[tuple[int, float, float]],
-              n: int = 200, seed: int = 10) -> DataFrame:
+              n: int = 200, seed: int = 10, parallel: int = 8) -> DataFrame:
     """(param_id, rank, reg, alpha, map, ndcg, f1, precision, recall, mpr) on one split,
     sorted by mPR ascending."""
     spark = train.sparkSession
     ensure_checkpoint_dir(spark)
-    train = train.checkpoint(eager=True)
-    labels = labels.checkpoint(eager=True)
-    rows = []
-    for pid, (rank, reg, alpha) in enumerate(grid):
-        r = evaluate_als(train, labels, rank, reg, alpha, [n], seed).first()
-        rows.append((pid, int(rank), float(reg), float(alpha), float(r["map"]), float(r["ndcg"]),
-                     float(r["f1"]) if r["f1"] is not None else None, float(r["precision"]),
-                     float(r["recall"]) if r["recall"] is not None else None, float(r["mpr"])))
-    scores = spark.createDataFrame(rows, "param_id INT, rank INT, reg DOUBLE, alpha DOUBLE, map DOUBLE, "
-                                         "ndcg DOUBLE, f1 DOUBLE, precision DOUBLE, recall DOUBLE, mpr DOUBLE")
-    return scores.orderBy("mpr", "param_id")
+    train = train.select("entity", "item_id", "score").checkpoint(eager=True)
+    lists = lists_of_sets({0: train}, grid, als_lists(n, seed, als_blocks(train)), parallel).drop("fold")
+    scores = evaluate_sets(lists, labels, ["param_id"])
+    sets = spark.createDataFrame([(i, int(r), float(lam), float(a)) for i, (r, lam, a) in enumerate(grid)],
+                                 "param_id INT, rank INT, reg DOUBLE, alpha DOUBLE")
+    return sets.join(scores, "param_id").select("param_id", "rank", "reg", "alpha", "map", "ndcg", "f1", "precision",
+                                                "recall", "mpr").orderBy("mpr", "param_id")

@@ -117,11 +117,12 @@ def _random_recs(n: int, entities: str = "entities") -> str:
     LIMIT (SELECT least({n}, CAST(round_even(0.2 * count(*), 0) AS BIGINT)) FROM item_stats))) t"""
 
 
-def _per_entity(recs: str, labels: str = "labels", keys: str = "entity", k: int = 10) -> str:
+def _per_entity(recs: str, labels: str = "labels", keys: str = "entity", k: int = 10, ent: tuple[str, ...] = ("entity",)) -> str:
     """CTEs m_flag .. m_pe: per-entity metric parts for recs(keys..., rank, item_id)."""
-    ent_join = "r.entity = l.entity"
+    ent_join = " AND ".join(f"r.{e} = l.{e}" for e in ent)
+    ent = ", ".join(ent)
     return f"""m_recs AS ({recs}),
-m_lab AS (SELECT DISTINCT entity, item_id FROM {labels}),
+m_lab AS (SELECT DISTINCT {ent}, item_id FROM {labels}),
 m_flag AS (
   SELECT r.*, CASE WHEN l.item_id IS NULL THEN 0 ELSE 1 END AS hit
   FROM m_recs r LEFT JOIN m_lab l ON {ent_join} AND r.item_id = l.item_id),
@@ -134,9 +135,9 @@ m_per AS (
          sum(CASE WHEN hit = 1 AND rank <= {k} THEN 1.0 / ln(rank + 1.0) ELSE 0 END) AS dcg,
          sum(CASE WHEN hit = 1 THEN rank - 1.0 ELSE 0 END) AS pos_s
   FROM m_cum GROUP BY {keys}),
-m_nl AS (SELECT entity, count(*) AS n_labels FROM m_lab GROUP BY entity),
+m_nl AS (SELECT {ent}, count(*) AS n_labels FROM m_lab GROUP BY {ent}),
 m_pe AS (
-  SELECT p.*, coalesce(m_nl.n_labels, 0) AS n_labels FROM m_per p LEFT JOIN m_nl USING (entity)),
+  SELECT p.*, coalesce(m_nl.n_labels, 0) AS n_labels FROM m_per p LEFT JOIN m_nl USING ({ent})),
 m_ent AS (
   SELECT {keys}, n_recs, n_labels, CAST(hits AS BIGINT) AS hits,
          CAST(hits AS DOUBLE) / n_recs AS precision,
@@ -522,9 +523,43 @@ FROM labels l JOIN sz USING (entity) LEFT JOIN r ON r.entity = l.entity AND r.it
         q[key] = f"SELECT {m} FROM ({pop})"
     q["evaluate_rankings"] = _metrics(KNN, _knn_recs(20))
     q["evaluate_knn"] = _sweep(KNN, _knn_recs(200))
+    padded = """padded AS (
+  SELECT row, rank, item_id, score FROM k_ranked WHERE rank <= 200 UNION ALL
+  SELECT f.row, h.n + f.j, f.item_id, 0.0 FROM (
+    SELECT e.row, i.item_id, row_number() OVER (PARTITION BY e.row ORDER BY i.item_id) AS j
+    FROM (SELECT DISTINCT group_id AS row FROM vtrain WHERE score <> 0) e, (SELECT DISTINCT item_id FROM plays) i
+    WHERE NOT EXISTS (SELECT 1 FROM vtrain v WHERE v.group_id = e.row AND v.item_id = i.item_id AND v.score <> 0)
+      AND NOT EXISTS (SELECT 1 FROM k_ranked k WHERE k.row = e.row AND k.item_id = i.item_id AND k.rank <= 200)) f
+  JOIN (SELECT e.row, count(k.row) AS n FROM (SELECT DISTINCT group_id AS row FROM vtrain WHERE score <> 0) e
+        LEFT JOIN k_ranked k ON k.row = e.row AND k.rank <= 200 GROUP BY e.row) h ON h.row = f.row
+  WHERE h.n + f.j <= 200)"""
+    q["recommend_knn_padded"] = "WITH " + KNN + ",\n" + padded + \
+        "\nSELECT row, CAST(rank AS INTEGER) AS rank, item_id, round(score, 6) AS score FROM padded"
+    q["evaluate_knn_padded"] = _sweep(KNN + ",\n" + padded, "SELECT row AS entity, rank, item_id FROM padded")
     q["evaluate_popular"] = _sweep(GROUPS_BASE, _popular_recs(200))
     q["evaluate_random"] = _sweep(GROUPS_BASE, _random_recs(200))
 
+    # cross-validation of the popularity recommenders
+    cv = "WITH " + ",\n".join([PLAYS, FOLDS, """sets AS (SELECT f.k AS fold, g.i AS param_id FROM range(0, 5) f(k), range(0, 3) g(i)),
+train AS (SELECT CAST(k AS INTEGER) AS test, t.* FROM range(0, 5) f(k), folded t WHERE t.fold <> f.k),
+tstats AS (SELECT test, item_id, sum(play_count) AS tot, count(*) AS occ, CAST(sum(play_count) AS DOUBLE) / count(*) AS mean
+           FROM train GROUP BY test, item_id),
+best AS (SELECT test AS fold, s.i AS param_id, item_id, row_number() OVER (PARTITION BY test, s.i ORDER BY
+           CASE s.i WHEN 0 THEN occ WHEN 1 THEN tot ELSE mean END DESC, item_id) AS rank
+         FROM tstats, range(0, 3) s(i)),
+cvlab AS (SELECT fold, user_id AS entity, item_id FROM folded)""",
+        _per_entity("""SELECT b.fold, b.param_id, e.entity, b.rank, b.item_id FROM best b
+  JOIN (SELECT DISTINCT test, user_id AS entity FROM train) e ON e.test = b.fold WHERE b.rank <= 200""",
+                    "cvlab", "fold, param_id, entity", ent=("fold", "entity")),
+        """cvs AS (SELECT CAST(fold AS INTEGER) AS fold, CAST(param_id AS INTEGER) AS param_id, avg(ap) AS map, avg(pr) AS mpr
+  FROM m_ent GROUP BY ALL)""",
+        """cvsum AS (SELECT param_id, avg(map) AS map_mean, min(map) AS map_min, max(map) AS map_max,
+  avg(mpr) AS mpr_mean, min(mpr) AS mpr_min, max(mpr) AS mpr_max FROM cvs GROUP BY param_id)"""]) + "\n"
+    six = "param_id, " + _round(["map_mean", "map_min", "map_max", "mpr_mean", "mpr_min", "mpr_max"])
+    q["cross_validate_popular"] = cv + "SELECT fold, param_id, round(map, 6) AS map, round(mpr, 6) AS mpr FROM cvs"
+    q["cv_summary_popular"] = cv + f"SELECT {six} FROM cvsum"
+    q["cv_best_params_popular"] = cv + f"SELECT {six} FROM cvsum ORDER BY mpr_mean, param_id LIMIT 1"
+
     # coverage
     q["popularity_curve"] = _curve_sql(False, tuple(range(5, 201, 5)))
     q["popularity_curve_subsets"] = _curve_sql(True, tuple(range(5, 201, 5)))

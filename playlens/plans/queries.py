@@ -122,6 +122,11 @@ def _knn_recs(spark, sf, n):
     return recs.select(F.col("row").alias("entity"), "rank", "item_id")
 
 
+def _knn_padded(spark, sf, n):
+    songs = _plays(spark, sf).select("item_id")
+    return recommend.recommend_knn(_knn_weights(spark, sf), _neighbours(spark, sf), n, pad=True, items=songs)
+
+
 def _popular_recs(spark, sf, n, by="occ"):
     return recommend.recommend_popular(_entities(spark, sf), _item_stats(spark, sf), by, n)
 
@@ -618,6 +623,12 @@ def q_recommend_knn(spark, sf):
     return recs
 
 
+@query("recommend_knn_padded")
+def q_recommend_knn_padded(spark, sf):
+    """Lists of 200 songs: zero scores fill up what the positive ones leave."""
+    return _knn_padded(spark, sf, max(metrics.N_LIST))
+
+
 # ---------------------------------------------------------------- popularity / random
 
 @query("top_songs_by_total")
@@ -699,14 +710,23 @@ def q_evaluate_knn(spark, sf):
     return metrics.evaluate_at(_knn_recs(spark, sf, max(metrics.N_LIST)), _labels(spark, sf))
 
 
+@query("evaluate_knn_padded")
+def q_evaluate_knn_padded(spark, sf):
+    """The kNN sweep over full lists, every group included."""
+    recs = _knn_padded(spark, sf, max(metrics.N_LIST)).withColumnRenamed("row", "entity")
+    return metrics.evaluate_at(recs, _labels(spark, sf))
+
+
 @query("evaluate_popular")
 def q_evaluate_popular(spark, sf):
-    return metrics.evaluate_at(_popular_recs(spark, sf, max(metrics.N_LIST)), _labels(spark, sf))
+    ranked = recommend.top_items(_item_stats(spark, sf), "occ", max(metrics.N_LIST))
+    return metrics.evaluate_same_list(ranked, _entities(spark, sf), _labels(spark, sf))
 
 
 @query("evaluate_random")
 def q_evaluate_random(spark, sf):
-    return metrics.evaluate_at(_random_recs(spark, sf, max(metrics.N_LIST)), _labels(spark, sf))
+    ranked = recommend.random_items(_item_stats(spark, sf), max(metrics.N_LIST), SEED)
+    return metrics.evaluate_same_list(ranked, _entities(spark, sf), _labels(spark, sf))
 
 
 # ---------------------------------------------------------------- ALS (rows-only checks)
@@ -747,8 +767,27 @@ def _cv_folded(spark, sf):
     return folded.select(F.col("user_id").alias("entity"), "item_id", F.col("play_count").alias("score"), "fold")
 
 
+#: Where a session has written the scores of a grid: the queries on them read one run.
+_SCORES: dict[tuple, str] = {}
+
+
 def _cv_scores(spark, sf, grid=CV_GRID):
-    return tuning.cross_validate(_cv_folded(spark, sf), grid, n=200, cv=2)
+    key = (spark.sparkContext.applicationId, sf, grid)
+    if key not in _SCORES:
+        path = scratch_path(spark, "cv-scores")
+        tuning.cross_validate(_cv_folded(spark, sf), grid, n=200, cv=2).write.parquet(path)
+        _SCORES[key] = path
+    return spark.read.parquet(_SCORES[key])
+
+
+#: Parameter sets of the popularity recommender.
+POPULAR_GRID = ("occ", "tot", "mean")
+
+
+def _cv_popular(spark, sf):
+    folded = split.cv_folds(_plays(spark, sf), 5, SEED)
+    cells = folded.select(F.col("user_id").alias("entity"), "item_id", F.col("play_count").alias("score"), "fold")
+    return tuning.cross_validate(cells, POPULAR_GRID, n=200, cv=5, fit=tuning.popular_lists(200))
 
 
 def _grid_scan(spark, sf, grid=CV_GRID):
@@ -771,6 +810,22 @@ def q_cv_best_params(spark, sf):
     return tuning.cv_best_params(tuning.cv_summary(_cv_scores(spark, sf)))
 
 
+@query("cross_validate_popular")
+def q_cross_validate_popular(spark, sf):
+    """Five folds of all plays x three popularity recommenders."""
+    return _cv_popular(spark, sf)
+
+
+@query("cv_summary_popular")
+def q_cv_summary_popular(spark, sf):
+    return tuning.cv_summary(_cv_popular(spark, sf))
+
+
+@query("cv_best_params_popular")
+def q_cv_best_params_popular(spark, sf):
+    return tuning.cv_best_params(tuning.cv_summary(_cv_popular(spark, sf)))
+
+
 @query("grid_scan")
 def q_grid_scan(spark, sf):
     return _grid_scan(spark, sf)
