@@ -26,6 +26,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
+from collections import deque
 from html import unescape
 
 import pyarrow as pa
@@ -46,7 +48,9 @@ SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dl table blockquote pre figur
 ENDS_P = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
                    "header hgroup hr main menu nav ol p pre search section summary table ul li dd dt".split())
 
-_TOKEN = re.compile(r"<!--(.*?)(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>", re.S)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_STOP = re.compile("[>\"']")
+_OPENED = re.compile(r"<[/a-zA-Z]")
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
@@ -69,6 +73,9 @@ _ENDS = {
     "caption": (frozenset(("caption",)), _TABLE),
 }
 _P = frozenset(("p",))
+#: An end tag doesn't reach out of a cell, but for these.
+_CELLS = frozenset(("td", "th", "table"))
+_ANYWHERE = frozenset(("table", "tr", "tbody", "thead", "tfoot", "td", "th", "body", "html"))
 _P_SHIELD = frozenset(("table", "td", "th", "caption", "button", "html", "body"))
 
 
@@ -79,6 +86,72 @@ class Node:
         self.tag, self.attrs, self.kids = tag, attrs or {}, []
 
 
+class _Ends:
+    """Where tags end: at the first ``>`` that is not quoted.
+
+    A tag is scanned forward from its name. If a scan meets the end of the page, the
+    ends for all later places are worked out at once, from the last quote or ``>`` of
+    the page back to the first, so that no part of a page is scanned over and over."""
+
+    def __init__(self, html: str):
+        self.html, self.stops, self.ends = html, None, None
+
+    def after(self, at: int) -> int:
+        """The place of the ``>`` that ends a tag whose attributes begin at ``at``, or -1."""
+        if self.stops is not None:
+            k = bisect_left(self.stops, at)
+            return self.ends[k] if k < len(self.ends) else -1
+        html = self.html
+        while True:
+            m = _STOP.search(html, at)
+            if m is None:
+                break
+            if m.group() == ">":
+                return m.start()
+            at = html.find(m.group(), m.end()) + 1
+            if not at:
+                break
+        self._table()
+        return -1
+
+    def _table(self) -> None:
+        self.stops = [m.start() for m in _STOP.finditer(self.html)]
+        self.ends = [-1] * (len(self.stops) + 1)
+        later = {'"': -1, "'": -1}
+        for k in range(len(self.stops) - 1, -1, -1):
+            c = self.html[self.stops[k]]
+            if c == ">":
+                self.ends[k] = self.stops[k]
+            else:
+                if later[c] >= 0:  # goes on behind the closing quote
+                    self.ends[k] = self.ends[later[c] + 1]
+                later[c] = k
+
+
+class _Stack:
+    """The open elements, with the places of each name's, so that no question about
+    them walks the stack."""
+
+    def __init__(self, root: "Node"):
+        self.nodes, self.places = [root], {}
+
+    @property
+    def top(self) -> "Node":
+        return self.nodes[-1]
+
+    def push(self, node: "Node") -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, size: int) -> None:
+        while len(self.nodes) > size:
+            self.places[self.nodes.pop().tag].pop()
+
+    def last(self, names) -> int:
+        """The place of the innermost open element of one of the names; the root is none."""
+        return max((p[-1] for p in map(self.places.get, names) if p), default=0)
+
+
 def _attrs(raw: str) -> dict[str, str]:
     out: dict[str, str] = {}
     if raw and not raw.isspace():
@@ -90,84 +163,86 @@ def _attrs(raw: str) -> dict[str, str]:
 def parse(html: str) -> Node:
     """The tree of a page."""
     root = Node("html")
-    stack = [root]
+    stack = _Stack(root)
+    ends = _Ends(html)
 
     def end(names: frozenset, shield: frozenset) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in names:
-                # the outermost of the names above the shield
-                while i > 1 and stack[i - 1].tag in names:
-                    i -= 1
-                del stack[i:]
-                return
-            if stack[i].tag in shield:
-                return
+        i = stack.last(names)
+        if i and i > stack.last(shield):
+            # the outermost of the names above the shield
+            while i > 1 and stack.nodes[i - 1].tag in names:
+                i -= 1
+            stack.cut(i)
 
-    def inside(names: tuple[str, ...], shield: str) -> bool:
-        for n in reversed(stack):
-            if n.tag in names:
-                return True
-            if n.tag == shield:
-                return False
-        return False
+    def inside(names: tuple[str, ...], shield: tuple[str, ...]) -> bool:
+        i = stack.last(names)
+        return i > 0 and i > stack.last(shield)
 
     def text(s: str) -> None:
         if not s:
             return
-        if stack[-1].tag == "head" and not s.isspace():
-            stack.pop()
-        stack[-1].kids.append(unescape(s) if "&" in s else s)
+        if stack.top.tag == "head" and not s.isspace():
+            stack.cut(len(stack.nodes) - 1)
+        stack.top.kids.append(unescape(s) if "&" in s else s)
 
     def start(tag: str, attrs: dict[str, str], closed: bool) -> None:
         if tag == "html":
             for k, v in attrs.items():
                 root.attrs.setdefault(k, v)
             return
-        if stack[-1].tag == "head" and tag not in IN_HEAD:
-            stack.pop()
+        if stack.top.tag == "head" and tag not in IN_HEAD:
+            stack.cut(len(stack.nodes) - 1)
         if tag in ENDS_P:
             end(_P, _P_SHIELD)
         if tag in _ENDS:
             end(*_ENDS[tag])
-        if tag in ("td", "th") and inside(("table",), "") and not inside(("tr",), "table"):
+        if tag in ("td", "th") and inside(("table",), ()) and not inside(("tr",), ("table",)):
             start("tr", {}, False)
         node = Node(tag, attrs)
-        stack[-1].kids.append(node)
+        stack.top.kids.append(node)
         if tag not in VOID and not (closed and tag in ("svg", "math")):
-            stack.append(node)
+            stack.push(node)
 
-    at = 0
+    at = look = 0  # the text not taken yet, and where a tag is looked for
     while True:
-        m = _TOKEN.search(html, at)
-        if m is None:
-            rest = html[at:]
-            cut = re.search(r"<[/a-zA-Z][^>]*\Z", rest)
-            text(rest[:cut.start()] if cut else rest)
+        look = html.find("<", look)
+        if look < 0:
+            cut = _OPENED.search(html, max(at, html.rfind(">") + 1))  # a tag that never ends
+            text(html[at:cut.start()] if cut else html[at:])
             break
-        text(html[at:m.start()])
-        at = m.end()
-        name = m.group(3)
-        if not name:
+        if html.startswith("<!--", look):
+            text(html[at:look])
+            close = html.find("-->", look + 4)
+            at = look = close + 3 if close >= 0 else len(html)
+            continue
+        if html.startswith(("<!", "<?"), look):
+            text(html[at:look])
+            close = html.find(">", look)
+            at = look = close + 1 if close >= 0 else len(html)
+            continue
+        m = _NAME.match(html, look)
+        close = ends.after(m.end()) if m else -1
+        if close < 0:
+            look += 1  # no tag: the character stands for itself
             continue
-        tag = name.lower()
-        if m.group(2):
-            if tag == "p" and not inside(("p",), "table"):
+        text(html[at:look])
+        rest, at, closing = html[m.end():close], close + 1, html[look + 1] == "/"
+        look, tag = at, m.group(1).lower()
+        if closing:
+            if tag == "p" and not inside(("p",), ("table",)):
                 continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "body", "html"):
-                    break
+            i = stack.last((tag,))
+            if i and (tag in _ANYWHERE or i > stack.last(_CELLS)):
+                stack.cut(i)
             continue
-        start(tag, _attrs(m.group(4)), bool(m.group(5)))
+        start(tag, _attrs(rest[:-1] if rest.endswith("/") else rest), rest.endswith("/"))
         if tag in RAW:
             close = _CLOSE[tag].search(html, at)
             body = html[at:close.start()] if close else html[at:]
             if body:
-                stack[-1].kids.append(unescape(body) if tag in ("textarea", "title") else body)
-            stack.pop()
-            at = close.end() if close else len(html)
+                stack.top.kids.append(unescape(body) if tag in ("textarea", "title") else body)
+            stack.cut(len(stack.nodes) - 1)
+            at = look = close.end() if close else len(html)
     return root
 
 
@@ -186,7 +261,7 @@ class Page:
     """Lines in the making: collapses white space, indents, keeps the gaps."""
 
     def __init__(self):
-        self.lines: list[str] = []
+        self.lines: deque[str] = deque()
         self.parts: list[str] = []
         self.gap = 0  # empty lines wanted before the next text
         self.space = False
@@ -231,14 +306,17 @@ class Page:
         self.line()
         self.gap = max(self.gap, gap)
 
-    def raw(self, lines: list[str]) -> None:
+    def raw(self, lines: deque[str]) -> None:
         self.line()
         if lines:
             self._gap()
+            if not self.prefix and self.marker is None:
+                self.lines = _joined([self.lines, lines])
+                return
             for x in lines:
                 self.lines.append((self._indent() + x).rstrip(" "))
 
-    def done(self) -> list[str]:
+    def done(self) -> deque[str]:
         self.line()
         if self.marker is not None:  # an item without text
             self._gap()
@@ -254,8 +332,23 @@ def _span(value: str | None) -> int:
     return min(1000, max(1, int(value))) if value and value.strip().isdecimal() else 1
 
 
-def table_lines(rows: list[list[tuple[list[str], int]]]) -> list[str]:
+def _joined(parts: list[deque[str]]) -> deque[str]:
+    """The parts one after the other, put around the longest one, whose lines are not
+    copied: tables within tables hand their lines on from cell to cell."""
+    k = max(range(len(parts)), key=lambda i: len(parts[i]))
+    out = parts[k]
+    for p in reversed(parts[:k]):
+        out.extendleft(reversed(p))
+    for p in parts[k + 1:]:
+        out.extend(p)
+    return out
+
+
+def table_lines(rows: list[list[tuple[deque[str], int]]]) -> deque[str]:
     """Aligned lines of rows of (cell lines, columns)."""
+    if rows and all(len(r) == 1 and r[0][1] == 1 for r in rows):
+        return _joined([r[0][0] for r in rows])  # one column: nothing to align
+    rows = [[(list(lines), span) for lines, span in r] for r in rows]
     widths: list[int] = []
     for wide in (False, True):
         for row in rows:
@@ -269,7 +362,7 @@ def table_lines(rows: list[list[tuple[list[str], int]]]) -> list[str]:
                     have = sum(widths[at:at + span]) + 2 * (span - 1)
                     widths[at + span - 1] += max(0, need - have)
                 at += span
-    out = []
+    out: deque[str] = deque()
     for row in rows:
         for i in range(max((len(lines) for lines, _ in row), default=0)):
             at, line = 0, ""
@@ -362,7 +455,7 @@ def render(html: str | None) -> str | None:
                 if page.parts or page.marker is None:
                     page.line()
                 else:
-                    page.raw([""])
+                    page.raw(deque([""]))
                 page.prefix.pop()
                 page.marker = None
             page.block(1 if tag in SPACED and not (tag in ("ul", "ol", "menu") and len(lists) > 1) else 0)
