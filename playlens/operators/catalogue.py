@@ -9,9 +9,10 @@ all songs at once.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from playlens.functions.numbering import global_index
@@ -42,6 +43,100 @@ RAGGED_FIELDS = {
 }
 
 
+@dataclass(frozen=True)
+class Field:
+    """Where a field is read: its group, and for an array the column with the offset
+    of a song's first value (tags: that of the musicbrainz group throughout)."""
+    group: str
+    offset: str | None = None
+
+
+def _array_group(name: str) -> str:
+    if name.startswith("artist_mbtags"):
+        return "musicbrainz"
+    return "metadata" if name.startswith(("artist_", "similar_")) else "analysis"
+
+
+#: Every getter's field by name.
+FIELDS = {
+    **{n: Field("metadata") for n in METADATA_FIELDS}, **{n: Field("analysis") for n in ANALYSIS_FIELDS},
+    **{n: Field("musicbrainz") for n in MUSICBRAINZ_FIELDS},
+    **{n: Field(_array_group(n), offset) for n, offset in RAGGED_FIELDS.items()},
+}
+
+
+def _known(names: Sequence[str], array: bool) -> None:
+    wrong = [n for n in names if n not in FIELDS or (FIELDS[n].offset is not None) != array]
+    if wrong:
+        raise ValueError(f"not {'arrays' if array else 'scalar fields'} of the catalogue: {wrong}")
+
+
+def scalar_fields(groups: Mapping[str, DataFrame], names: Sequence[str]) -> DataFrame:
+    """(song_idx, names...) for all songs, out of the group tables (metadata, analysis,
+    musicbrainz; one row per song_idx). Only the groups and columns that the names
+    need are read and joined."""
+    _known(names, False)
+    out = None
+    for group in dict.fromkeys(FIELDS[n].group for n in names):
+        part = groups[group].select("song_idx", *[n for n in dict.fromkeys(names) if FIELDS[n].group == group])
+        out = part if out is None else out.join(part, "song_idx")
+    return out.select("song_idx", *names)
+
+
+def array_fields(groups: Mapping[str, DataFrame], flat: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(field, song_idx, i, values...): each song's slice of each named array, i from 0.
+
+    ``groups`` hold the offset columns, ``flat`` (field, pos, values...) the arrays of
+    all fields end to end, best stored by field. Every array is cut by its own offset
+    column; all fields are cut in one pass, and only theirs are read."""
+    _known(names, True)
+    starts = None
+    for group in dict.fromkeys(FIELDS[n].group for n in names):
+        own = [F.struct(F.lit(n).alias("field"), F.col(FIELDS[n].offset).cast("long").alias("pos"))
+               for n in dict.fromkeys(names) if FIELDS[n].group == group]
+        part = groups[group].select("song_idx", F.explode(F.array(*own)).alias("x")).select("x.field", "x.pos", "song_idx")
+        starts = part if starts is None else starts.unionByName(part)
+    found = owner_of(starts, flat.filter(F.col("field").isin(*names)), ["field"])
+    return found.select("field", "song_idx", (F.col("pos") - F.col("start")).alias("i"),
+                        *[c for c in flat.columns if c not in ("field", "pos")])
+
+
+#: Positions of one block of ``owner_of``: what a window task orders at most.
+SPAN = 1 << 16
+
+
+def owner_of(starts: DataFrame, values: DataFrame, by: Sequence[str] = (), span: int = SPAN) -> DataFrame:
+    """``values`` (by..., pos, ...) with (song_idx, start): the song whose slice holds the
+    position, i.e. that with the last start at or before it, of equal starts the last
+    song (the others are empty). Values before the first start have no owner and no row.
+
+    An as-of join without a range condition, and without a row per position of a song:
+    positions are cut into blocks of ``span``, starts and values of a block are put in
+    order in one task, and what a block gets from the blocks before it is the last
+    start of these, found on one row per block (in blocks of blocks). A song that owns
+    a third of all values lies in many blocks.
+    """
+    by = list(by)
+    firsts = starts.groupBy(*by, "pos").agg(F.max("song_idx").alias("song_idx"))
+    own = F.struct("pos", "song_idx")
+    block = F.expr(f"cast(floor(pos / {span}) as bigint)")
+    held = [c for c in values.columns if c not in (*by, "pos")]
+    rows = (firsts.select(*by, "pos", own.alias("own"), *[F.lit(None).cast(values.schema[c].dataType).alias(c) for c in held])
+                  .unionByName(values.withColumn("own", F.lit(None).cast(firsts.select(own.alias("own")).schema["own"].dataType))
+                                     .select(*by, "pos", "own", *held)).withColumn("block", block))
+    blocks = rows.groupBy(*by, "block").agg(F.max("own").alias("last")).withColumn("over", F.expr(f"cast(floor(block / {span}) as bigint)"))
+    before = Window.unboundedPreceding, -1
+    inner = F.last("last", ignorenulls=True).over(Window.partitionBy(*by, "over").orderBy("block").rowsBetween(*before))
+    overs = blocks.groupBy(*by, "over").agg(F.max("last").alias("m"))
+    above = F.last("m", ignorenulls=True).over(Window.partitionBy(*by).orderBy("over").rowsBetween(*before))
+    carried = (blocks.withColumn("inner", inner).join(overs.withColumn("above", above).drop("m"), [*by, "over"])
+                     .select(*by, "block", F.coalesce("inner", "above").alias("carry")))
+    here = Window.partitionBy(*by, "block").orderBy("pos", F.col("own").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.withColumn("seen", F.last("own", ignorenulls=True).over(here)).filter(F.col("own").isNull())
+    return (placed.join(carried, [*by, "block"]).withColumn("owner", F.coalesce("seen", "carry")).filter(F.col("owner").isNotNull())
+                  .select(*by, "pos", F.col("owner.song_idx").alias("song_idx"), F.col("owner.pos").alias("start"), *held))
+
+
 def catalogue_join(metadata: DataFrame, analysis: DataFrame, musicbrainz: DataFrame | None = None) -> DataFrame:
     """One wide row per song: the groups joined on their row position ``song_idx``."""
     out = metadata.join(analysis, "song_idx")
@@ -75,13 +170,11 @@ def ragged_bounds(offsets: DataFrame, flat: DataFrame) -> DataFrame:
 def ragged_slice_long(offsets: DataFrame, flat: DataFrame) -> DataFrame:
     """(song_idx, i, value): each song's slice of the flat values, position i from 0.
 
-    The range condition start <= pos < end becomes an equi-join by expanding
-    each song's position range (as long as its own slice) and joining on pos.
+    Offsets rise with the songs' positions; the range condition start <= pos < next
+    start is the as-of join ``owner_of``.
     """
-    b = ragged_bounds(offsets, flat).filter(F.col("end") > F.col("start"))
-    spans = b.select("song_idx", "start",
-                     F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("pos"))
-    return spans.join(flat, "pos").select("song_idx", (F.col("pos") - F.col("start")).alias("i"), "value")
+    starts = offsets.select(F.col("idx").cast("long").alias("pos"), "song_idx")
+    return owner_of(starts, flat.select("pos", "value")).select("song_idx", (F.col("pos") - F.col("start")).alias("i"), "value")
 
 
 def ragged_slice(offsets: DataFrame, flat: DataFrame) -> DataFrame:

@@ -8,6 +8,9 @@ rows-only check.
 
 from __future__ import annotations
 
+from playlens.operators.catalogue import RAGGED_FIELDS
+from playlens.sources.fixtures import OFFSETS, ROW_ARRAYS, SCALARS, TEXT_ARRAYS, first_value
+
 PLAYS = """plays AS (
   SELECT o_custkey AS user_id, l_partkey AS item_id, CAST(sum(l_quantity) AS INTEGER) AS play_count
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
@@ -272,6 +275,25 @@ MBTAGS = """mb AS (
   FROM labels l JOIN documents d USING (doc_id) WHERE l.quality = 1)"""
 
 
+def _arrays_sql() -> str:
+    """Every array field: its flat values, its own starts, and the range between two starts."""
+    parts = []
+    for k, (name, offset) in enumerate(RAGGED_FIELDS.items()):
+        m = OFFSETS[offset]
+        at = f"CAST({first_value(m)} AS BIGINT)"
+        if name in TEXT_ARRAYS:
+            cell = f"unnest([0]) AS j, CAST(NULL AS DOUBLE) AS num, concat('{name[:3]}', CAST((vec_id + i) % 13 AS VARCHAR)) AS txt"
+        elif name in ROW_ARRAYS:
+            cell = "unnest([0, 1, 2, 3]) AS j, CAST(embedding[i * 4 + 1 + unnest([0, 1, 2, 3])] AS DOUBLE) AS num, CAST(NULL AS VARCHAR) AS txt"
+        else:
+            cell = f"unnest([0]) AS j, CAST(embedding[i + {k + 1}] AS DOUBLE) AS num, CAST(NULL AS VARCHAR) AS txt"
+        parts.append(f"""SELECT '{name}' AS field, b.song_idx, f.pos - b.start AS i, CAST(f.j AS INTEGER) AS j, round(f.num, 6) AS num, f.txt
+FROM (SELECT vec_id AS song_idx, {at} AS start, lead({at}) OVER (ORDER BY vec_id) AS next FROM embeddings) b
+JOIN (SELECT {at} + i AS pos, {cell} FROM (SELECT vec_id, embedding, unnest(range(0, vec_id * {m} % 7)) AS i FROM embeddings)) f
+  ON f.pos >= b.start AND (b.next IS NULL OR f.pos < b.next)""")
+    return "\nUNION ALL\n".join(parts)
+
+
 def _group_agg_sql(agg: str) -> str:
     expr = {
         "avg": "avg(CASE WHEN x > 0 THEN x END)",
@@ -578,6 +600,19 @@ FROM e LEFT JOIN (SELECT bin, count(*) AS n FROM b GROUP BY bin) c USING (bin)""
        round(duration, 6) AS duration, key, year FROM songs"""
     q["catalogue_count"] = _w(PLAYS, SONGS) + "SELECT count(*) AS num_songs FROM songs"
     q["catalogue_fields"] = _w(PLAYS, SONGS) + "SELECT song_idx, title, round(duration, 6) AS duration, year FROM songs"
+    q["catalogue_scalars"] = "SELECT CAST(p_partkey AS INTEGER) AS song_idx, " + ", ".join(
+        f"round({e}, 6) AS {n}" if "DOUBLE" in e or "retailprice" in e else f"{e} AS {n}" for n, e in SCALARS.items()) + " FROM part"
+    q["catalogue_arrays"] = _arrays_sql()
+    q["ragged_slice_arrays"] = _w(RAGGED) + """SELECT b.song_idx, CAST(count(*) AS INTEGER) AS n,
+  string_agg(CAST(CAST(round(CAST(f.value AS DOUBLE) * 1000, 0) AS BIGINT) AS VARCHAR), ',' ORDER BY f.pos) AS thousandths
+FROM bounds b JOIN flat f ON f.pos >= b.start AND f.pos < b."end" GROUP BY b.song_idx"""
+    q["virtual_user_blocks"] = "WITH " + GROUPS_BASE + """,
+vidx AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS idx FROM (SELECT DISTINCT item_id FROM plays)),
+vcell AS (SELECT v.group_id, idx // 1024 AS block, idx % 1024 AS p, round(v.score, 6) AS s FROM vtrain v JOIN vidx USING (item_id)),
+vkey AS (SELECT DISTINCT group_id, block FROM vcell)
+SELECT k.group_id, CAST(k.block AS INTEGER) AS block, list(coalesce(c.s, 0.0::DOUBLE) ORDER BY r.p) AS scores
+FROM (SELECT group_id, block, unnest(range(0, 1024)) AS p FROM vkey) r JOIN vkey k USING (group_id, block)
+LEFT JOIN vcell c ON c.group_id = r.group_id AND c.block = r.block AND c.p = r.p GROUP BY k.group_id, k.block"""
     q["ragged_slice"] = _w(RAGGED) + """SELECT b.song_idx, f.pos - b.start AS i, f.value
 FROM bounds b JOIN flat f ON f.pos >= b.start AND f.pos < b."end\""""
     q["ragged_slice_2d"] = _w(RAGGED_2D) + """, sl AS (SELECT b.song_idx, r.pos - b.start AS i, r.value

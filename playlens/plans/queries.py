@@ -885,6 +885,31 @@ def q_catalogue_fields(spark, sf):
     return catalogue.catalogue_fields(_songs(spark, sf), ["title", "duration", "year"])
 
 
+@query("catalogue_scalars")
+def q_catalogue_scalars(spark, sf):
+    """Every scalar field of every song, read by name out of its group."""
+    names = [n for n, f in catalogue.FIELDS.items() if f.offset is None]
+    return catalogue.scalar_fields(fx.catalogue_groups(spark, sf), names)
+
+
+@query("catalogue_arrays")
+def q_catalogue_arrays(spark, sf):
+    """Every array field of every song, cut by its own offset column; rows of numbers
+    one number a row (j)."""
+    names = [n for n, f in catalogue.FIELDS.items() if f.offset is not None]
+    found = catalogue.array_fields(fx.catalogue_offsets(spark, sf), fx.catalogue_arrays(spark, sf), names)
+    cells = F.when(F.col("row").isNull(), F.array("num")).otherwise(F.col("row"))
+    return found.select("field", "song_idx", "i", F.posexplode(cells).alias("j", "num"), "txt")
+
+
+@query("ragged_slice_arrays")
+def q_ragged_slice_arrays(spark, sf):
+    """Each song's slice as one array (its values as text, in order)."""
+    found = catalogue.ragged_slice(fx.ragged_songs(spark, sf), fx.ragged_flat(spark, sf))
+    return found.select("song_idx", F.size("values").alias("n"),
+                        F.concat_ws(",", F.transform("values", lambda x: F.round(x.cast("double") * 1000).cast("long").cast("string"))).alias("thousandths"))
+
+
 @query("ragged_slice")
 def q_ragged_slice(spark, sf):
     return catalogue.ragged_slice_long(fx.ragged_songs(spark, sf), fx.ragged_flat(spark, sf))

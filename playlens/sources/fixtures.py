@@ -145,3 +145,84 @@ def artist_mbtag_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
     counts = tagged.select(F.col("doc_id").alias("track_id"), F.lit(0).cast("bigint").alias("pos"),
                            F.col("toxic").alias("count"))
     return tags, counts
+
+
+#: The catalogue's scalar fields, each an expression over ``part`` (Spark and ANSI SQL
+#: alike); nulls where a song has no place or no known length.
+SCALARS = {
+    "artist_familiarity": "CAST(p_size AS DOUBLE) / 50", "artist_hotttnesss": "CAST(p_partkey % 97 AS DOUBLE) / 97",
+    "artist_id": "concat('AR', p_brand)", "artist_mbid": "md5(p_brand)", "artist_playmeid": "CAST(p_size * 10 AS INT)",
+    "artist_7digitalid": "CAST(p_partkey % 1000 AS INT)",
+    "artist_latitude": "CASE WHEN p_size % 7 <> 0 THEN CAST(p_partkey % 181 - 90 AS DOUBLE) END",
+    "artist_longitude": "CASE WHEN p_size % 7 <> 0 THEN CAST(p_partkey % 361 - 180 AS DOUBLE) END",
+    "artist_location": "CASE WHEN p_size % 7 <> 0 THEN p_type END", "artist_name": "p_brand", "release": "p_type",
+    "release_7digitalid": "CAST(p_partkey % 5000 AS INT)", "song_id": "concat('SO', lpad(CAST(p_partkey AS STRING), 10, '0'))",
+    "song_hotttnesss": "CASE WHEN p_size % 5 <> 0 THEN p_retailprice / 3000 END", "title": "p_name",
+    "track_7digitalid": "CAST(p_partkey * 3 AS INT)",
+    "analysis_sample_rate": "CAST(CASE WHEN p_size % 2 = 0 THEN 22050 ELSE 44100 END AS INT)", "audio_md5": "md5(p_name)",
+    "danceability": "CAST(p_size % 10 AS DOUBLE) / 10", "duration": "p_retailprice", "end_of_fade_in": "CAST(p_size AS DOUBLE) / 8",
+    "energy": "CAST(p_partkey % 11 AS DOUBLE) / 11", "key": "p_size", "key_confidence": "CAST(p_partkey % 101 AS DOUBLE) / 101",
+    "loudness": "CAST(p_size AS DOUBLE) - 60", "mode": "CAST(p_partkey % 2 AS INT)",
+    "mode_confidence": "CAST(p_partkey % 103 AS DOUBLE) / 103", "start_of_fade_out": "p_retailprice - p_size",
+    "tempo": "CAST(60 + p_partkey % 120 AS DOUBLE)", "time_signature": "CAST(3 + p_size % 3 AS INT)",
+    "time_signature_confidence": "CAST(p_partkey % 107 AS DOUBLE) / 107",
+    "track_id": "concat('TR', lpad(CAST(p_partkey AS STRING), 10, '0'))", "year": "CAST(1990 + p_size AS INT)",
+}
+
+#: The catalogue's offset columns: a song (``embeddings`` row) v has (v * m) % 7 values.
+OFFSETS = {
+    "idx_similar_artists": 1, "idx_artist_terms": 2, "idx_segments_start": 3, "idx_segments_confidence": 4,
+    "idx_segments_pitches": 5, "idx_segments_timbre": 6, "idx_segments_loudness_max": 1, "idx_segments_loudness_max_time": 2,
+    "idx_segments_loudness_start": 3, "idx_sections_start": 4, "idx_sections_confidence": 5, "idx_beats_start": 6,
+    "idx_beats_confidence": 1, "idx_bars_start": 2, "idx_bars_confidence": 3, "idx_tatums_start": 4, "idx_tatums_confidence": 5,
+    "idx_artist_mbtags": 6,
+}
+#: Arrays of text, and arrays of rows of four numbers; the others hold numbers.
+TEXT_ARRAYS = ("similar_artists", "artist_terms", "artist_mbtags")
+ROW_ARRAYS = ("segments_pitches", "segments_timbre")
+
+
+def first_value(m: int) -> str:
+    """Where the values of song vec_id begin if song v has (v * m) % 7 (any seven songs
+    in a row have 0 to 6 in some order, 21 together)."""
+    steps = " ".join(f"WHEN {r} THEN {sum(j * m % 7 for j in range(r))}" for r in range(7))
+    return f"(21 * ((vec_id - vec_id % 7) / 7) + CASE vec_id % 7 {steps} END)"
+
+
+def catalogue_groups(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The three groups of the catalogue with all scalar fields, a row per ``part``."""
+    from playlens.operators.catalogue import FIELDS
+    part = table(spark, sf_dir, "part")
+    return {g: part.select(F.col("p_partkey").cast("int").alias("song_idx"),
+                           *[F.expr(e).alias(n) for n, e in SCALARS.items() if FIELDS[n].group == g])
+            for g in ("metadata", "analysis", "musicbrainz")}
+
+
+def catalogue_offsets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The offset columns of each group, a row per ``embeddings`` row."""
+    from playlens.operators.catalogue import FIELDS
+    emb = table(spark, sf_dir, "embeddings").select("vec_id")
+    return {g: emb.select(F.col("vec_id").alias("song_idx"),
+                          *[F.expr(first_value(OFFSETS[o])).cast("long").alias(o)
+                            for o in dict.fromkeys(f.offset for f in FIELDS.values() if f.offset and f.group == g)])
+            for g in ("metadata", "analysis", "musicbrainz")}
+
+
+def catalogue_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(field, pos, num, txt, row): the values of every array field end to end. Value i of
+    song v is the number i + 1 + k of its embedding (k: the field's place), in arrays of
+    rows the i-th four of them, in arrays of text a word made of v and i."""
+    from playlens.operators.catalogue import RAGGED_FIELDS
+    emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    out = None
+    for k, (name, offset) in enumerate(RAGGED_FIELDS.items()):
+        m = OFFSETS[offset]
+        rows = emb.select("vec_id", "embedding", F.expr(f"explode(slice(sequence(0, 6), 1, cast(vec_id * {m} % 7 as int)))").alias("i"))
+        num = F.lit(None).cast("double") if name in (*TEXT_ARRAYS, *ROW_ARRAYS) else F.expr(f"cast(embedding[i + {k}] as double)")
+        txt = F.expr(f"concat('{name[:3]}', cast((vec_id + i) % 13 as string))") if name in TEXT_ARRAYS else F.lit(None).cast("string")
+        four = (F.expr("transform(slice(embedding, i * 4 + 1, 4), x -> cast(x as double))") if name in ROW_ARRAYS
+                else F.lit(None).cast("array<double>"))
+        part = rows.select(F.lit(name).alias("field"), (F.expr(first_value(m)).cast("long") + F.col("i")).alias("pos"),
+                           num.alias("num"), txt.alias("txt"), four.alias("row"))
+        out = part if out is None else out.unionByName(part)
+    return out
