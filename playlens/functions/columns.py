@@ -18,12 +18,6 @@ def seeded_key(seed: int | str, *cols: str | Column) -> Column:
     return F.md5(F.concat_ws(":", *parts))
 
 
-def key_salt(key: str | Column, hex_digits: int = 2) -> Column:
-    """Leading hex digits of an md5 key as an integer salt (uniform)."""
-    key = F.col(key) if isinstance(key, str) else key
-    return F.conv(F.substring(key, 1, hex_digits), 16, 10).cast("int")
-
-
 def log_weight(play_count: str | Column = "play_count") -> Column:
     """Damped count for plain users: ln(play) + 1; non-positive counts are null."""
     c = F.col(play_count) if isinstance(play_count, str) else play_count

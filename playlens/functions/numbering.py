@@ -10,11 +10,8 @@ only table that meets the driver-side broadcast is one row per partition.
 ``rank_within``: the 1-based rank of each row inside its group by a uniformly
 distributed hex key (an md5), plus the group size. A window on the group alone
 would put a hot group (say a user with a third of all rows) into one task, so
-the window runs on (group, salt) with the salt taken from the key's leading hex
-digits, and per-(group, salt) counts give the offsets. ``salt_digits`` picks
-the number of digits from the largest group, so small groups are not split. The offsets table has at
-most 16**digits rows per group and is joined back on the window's own
-partitioning, so the big side is shuffled once.
+groups above a number of rows, and only these, are ranked on (group, salt) with the
+salt taken from the key's leading hex digits, and counts per salt give the offsets.
 """
 
 from __future__ import annotations
@@ -24,7 +21,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from playlens.functions.columns import key_salt
 from playlens.session import ensure_checkpoint_dir
 
 _POS_BITS = 33
@@ -54,36 +50,48 @@ def global_index(df: DataFrame, order_cols: Sequence[str], idx_col: str = "idx",
                   .drop("__gi_mid", "__gi_pid", "__gi_pos", "__gi_off"))
 
 
-def salt_digits(df: DataFrame, group_cols: Sequence[str], max_group_rows: int = 100_000) -> int:
-    """Hex digits of salt so no (group, salt) window holds more than about
-    ``max_group_rows`` rows: 0 when the largest group is already that small.
-    One scalar from a partially aggregated count per group."""
-    biggest = (df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__n"))
-                 .agg(F.max("__n").alias("m")).first()["m"]) or 0
-    digits = 0
-    while biggest > max_group_rows * (16 ** digits) and digits < 8:
-        digits += 1
-    return digits
+#: Rows of one group that one window task ranks; larger groups are salted.
+MAX_WINDOW_ROWS = 100_000
+#: Salts of a group that one task numbers: 16**HEAD_DIGITS.
+HEAD_DIGITS = 3
 
 
 def rank_within(df: DataFrame, group_cols: Sequence[str], key_col: str,
                 tie_cols: Sequence[str] = (), rank_col: str = "rank",
-                size_col: str = "group_size", hex_digits: int = 2) -> DataFrame:
-    """Add the 1-based rank of each row within ``group_cols`` by ``key_col``
-    (then ``tie_cols``), and the group's row count.
+                size_col: str = "group_size", max_window_rows: int = MAX_WINDOW_ROWS) -> DataFrame:
+    """Add the 1-based rank of each row within ``group_cols`` by ``key_col`` (hex
+    digits, evenly spread; then ``tie_cols``), and the group's row count.
+
+    Groups of at most ``max_window_rows`` rows are ranked in one plain window. Only
+    larger ones are salted, by as many leading digits of the key as bring a salt down
+    to that size; the ranks of a salt go on from the rows of the salts before it,
+    summed in two levels (within a head of the salt, and over heads).
     """
     groups = list(group_cols)
-    salt = key_salt(key_col, hex_digits) if hex_digits > 0 else F.lit(0)
-    salted = df.withColumn("__rw_salt", salt)
-    w = Window.partitionBy(*groups, "__rw_salt").orderBy(F.col(key_col), *[F.col(c) for c in tie_cols])
-    ranked = salted.withColumn("__rw_r", F.row_number().over(w))
-    # Sub-group sizes straight from the input (partial aggregate, no sort).
-    counts = salted.groupBy(*groups, "__rw_salt").agg(F.count(F.lit(1)).alias("__rw_c"))
-    prev = Window.partitionBy(*groups).orderBy("__rw_salt").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*groups)
-    offsets = counts.select(*groups, "__rw_salt",
-                            F.coalesce(F.sum("__rw_c").over(prev), F.lit(0)).alias("__gi_off"),
-                            F.sum("__rw_c").over(whole).alias(size_col))
-    return (ranked.join(offsets, [*groups, "__rw_salt"])
-                  .withColumn(rank_col, (F.col("__gi_off") + F.col("__rw_r")).cast("bigint"))
-                  .drop("__rw_salt", "__rw_r", "__gi_off"))
+    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("__rw_n"))
+    digits = F.least(F.ceil(F.log(F.col("__rw_n") / F.lit(max_window_rows)) / F.log(F.lit(16.0))), F.lit(12)).cast("int")
+    hot = (sizes.filter((F.col("__rw_n") > max_window_rows) & F.expr(" AND ".join(f"`{g}` IS NOT NULL" for g in groups)))
+                .withColumn("__rw_d", F.greatest(digits, F.lit(1))))
+    order = [F.col(key_col), *[F.col(c) for c in tie_cols]]
+    if not hot.take(1):
+        whole = Window.partitionBy(*groups)
+        return (df.withColumn(rank_col, F.row_number().over(whole.orderBy(*order)).cast("bigint"))
+                  .withColumn(size_col, F.count(F.lit(1)).over(whole)))
+    hot = hot.checkpoint(eager=True)
+    salted = (df.join(hot, groups, "left")
+                .withColumn("__rw_salt", F.coalesce(F.expr(f"substring(`{key_col}`, 1, `__rw_d`)"), F.lit(""))))
+    part = Window.partitionBy(*groups, "__rw_salt")
+    ranked = (salted.withColumn("__rw_r", F.row_number().over(part.orderBy(*order)))
+                    .withColumn("__rw_c", F.count(F.lit(1)).over(part)))
+    counts = (salted.filter(F.col("__rw_d").isNotNull()).groupBy(*groups, "__rw_d", "__rw_salt").agg(F.count(F.lit(1)).alias("__rw_k"))
+                    .withColumn("__rw_head", F.expr(f"substring(`__rw_salt`, 1, greatest(`__rw_d` - {HEAD_DIGITS}, 0))")))
+    before = Window.unboundedPreceding, -1
+    inner = F.sum("__rw_k").over(Window.partitionBy(*groups, "__rw_head").orderBy("__rw_salt").rowsBetween(*before))
+    heads = counts.groupBy(*groups, "__rw_head").agg(F.sum("__rw_k").alias("__rw_h"))
+    above = F.sum("__rw_h").over(Window.partitionBy(*groups).orderBy("__rw_head").rowsBetween(*before))
+    offsets = (counts.withColumn("__rw_i", inner).join(heads.withColumn("__rw_a", above).drop("__rw_h"), [*groups, "__rw_head"])
+                     .select(*groups, "__rw_salt", (F.coalesce("__rw_i", F.lit(0)) + F.coalesce("__rw_a", F.lit(0))).alias("__rw_off")))
+    return (ranked.join(offsets, [*groups, "__rw_salt"], "left")
+                  .withColumn(rank_col, (F.coalesce("__rw_off", F.lit(0)) + F.col("__rw_r")).cast("bigint"))
+                  .withColumn(size_col, F.coalesce("__rw_n", "__rw_c"))
+                  .select(*df.columns, rank_col, size_col))

@@ -187,3 +187,18 @@ def prediction_labels(recs: DataFrame, labels: DataFrame) -> DataFrame:
     lab = labels_by_entity(labels).select("entity", F.col("items").alias("labels"))
     return r.join(lab, "entity", "left").select(
         "entity", "recs", F.coalesce("labels", F.array().cast(r.schema["recs"].dataType)).alias("labels"))
+
+
+def label_blocks(labels: DataFrame, item_index: DataFrame, size: int = 1024) -> DataFrame:
+    """(entity, block, n, items): each entity's label items in arrays of at most ``size``.
+
+    Items are dealt by their position in ``item_index`` (id, idx): block b holds those
+    at positions b * size to b * size + size - 1, ascending, n is how many there are. So
+    the longest array is bounded whatever the number of an entity's labels, an
+    entity with very many is spread over tasks, and blocks in order of b join to its
+    whole list."""
+    at = item_index.select(F.col("id").alias("item_id"), F.col("idx").cast("long").alias("_idx"))
+    rows = labels.select("entity", "item_id").distinct().join(at, "item_id")
+    return (rows.groupBy("entity", F.expr(f"_idx div {size}").alias("block"))
+                .agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("_idx", "item_id"))).alias("x"))
+                .select("entity", "block", "n", F.transform("x", lambda v: v["item_id"]).alias("items")))

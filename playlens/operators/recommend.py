@@ -210,9 +210,9 @@ def top_n_from_factors(user_factors: DataFrame, item_factors: DataFrame, n: int
     spark = user_factors.sparkSession
     n_users, n_items = user_factors.count(), item_factors.count()
     # Items per block: all of them when a block of at least 256 users still
-    # fits ``max_cells`` scores (then each tile's top n is final); otherwise
-    # blocks of max_cells / 256 items and a ranked window across them.
-    per_block_items = min(max(n_items, 1), max(1, max_cells // 256))
+    # fits ``max_cells`` scores (then each tile's top n is final); otherwise square
+    # tiles, which copy users and items least, and a ranked window across them.
+    per_block_items = max(n_items, 1) if n_items <= max(1, max_cells // 256) else max(1, math.isqrt(max_cells))
     nb_i = max(1, math.ceil(n_items / per_block_items))
     users_per_block = max(1, max_cells // per_block_items)
     nb_u = max(1, math.ceil(n_users / users_per_block))

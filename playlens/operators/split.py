@@ -12,17 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from playlens.functions.columns import seeded_key
-from playlens.functions.numbering import rank_within, salt_digits
-
-
-MAX_WINDOW_ROWS = 100_000   # rows of one user per window task before salting
+from playlens.functions.numbering import MAX_WINDOW_ROWS, rank_within
 
 
 def _ranked(plays: DataFrame, seed: int, max_window_rows: int = MAX_WINDOW_ROWS) -> DataFrame:
     keyed = plays.withColumn("_key", seeded_key(seed, "user_id", "item_id"))
-    digits = salt_digits(plays, ["user_id"], max_window_rows)
     return rank_within(keyed, ["user_id"], "_key", tie_cols=["item_id"], rank_col="_rank", size_col="_n",
-                       hex_digits=digits)
+                       max_window_rows=max_window_rows)
 
 
 def split_train_test(plays: DataFrame, frac: float = 0.5, seed: int = 42,

@@ -466,6 +466,10 @@ FROM pairs p JOIN norms nu ON nu.user_id = p.user_u JOIN norms nv ON nv.user_id
     q["id_index_items"] = _w(INDEX_ITEMS) + "SELECT id, idx FROM iidx"
     q["replace_ids"] = _w(PLAYS, INDEX_USERS, INDEX_ITEMS) + """SELECT u.idx AS user_id, i.idx AS item_id, p.play_count
 FROM plays p JOIN uidx u ON u.id = p.user_id JOIN iidx i ON i.id = p.item_id"""
+    q["replace_ids_keep"] = _w(PLAYS, INDEX_ITEMS) + """, u AS (SELECT c_custkey AS id,
+  CAST(row_number() OVER (ORDER BY c_custkey) - 1 AS INTEGER) AS idx
+  FROM (SELECT DISTINCT c_custkey FROM customer WHERE c_mktsegment < 'C' AND c_custkey IS NOT NULL))
+SELECT u.idx AS user_id, i.idx AS item_id, p.play_count FROM plays p LEFT JOIN u ON u.id = p.user_id LEFT JOIN iidx i ON i.id = p.item_id"""
     q["user_item_matrix"] = _w(INDEX_USERS, INDEX_ITEMS) + """, lines AS (
   SELECT o_custkey AS user_id, l_partkey AS item_id, CAST(l_quantity AS INTEGER) AS play_count,
          (l_orderkey * 8 + l_linenumber) * 1000 + CAST(l_quantity AS INTEGER) AS line_no
@@ -600,6 +604,19 @@ FROM e LEFT JOIN (SELECT bin, count(*) AS n FROM b GROUP BY bin) c USING (bin)""
        round(duration, 6) AS duration, key, year FROM songs"""
     q["catalogue_count"] = _w(PLAYS, SONGS) + "SELECT count(*) AS num_songs FROM songs"
     q["catalogue_fields"] = _w(PLAYS, SONGS) + "SELECT song_idx, title, round(duration, 6) AS duration, year FROM songs"
+    q["track_record_terms"] = _w(DOC_TERMS) + \
+        "SELECT track_id, pos, term, round(freq, 6) AS freq, round(weight, 6) AS weight FROM terms"
+    q["label_blocks"] = "WITH " + GROUPS_BASE + """,
+vidx AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS idx FROM (SELECT DISTINCT item_id FROM plays))
+SELECT entity, idx // 128 AS block, count(*) AS n, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS items
+FROM (SELECT DISTINCT entity, item_id FROM labels) JOIN vidx USING (item_id) GROUP BY entity, idx // 128"""
+    q["train_als"] = "WITH " + GROUPS_BASE + """
+SELECT DISTINCT CAST(group_id AS INTEGER) AS row, CAST(10 AS INTEGER) AS rank FROM vtrain WHERE score <> 0"""
+    q["top_n_factors"] = """WITH s AS (
+  SELECT u.vec_id AS row, v.vec_id AS item_id, list_sum(list_transform(range(1, len(u.embedding) + 1),
+    lambda i: CAST(u.embedding[i] AS DOUBLE) * CAST(v.embedding[i] AS DOUBLE))) AS score FROM embeddings u, embeddings v),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY row ORDER BY round_even(score, 9) DESC, item_id) AS INTEGER) AS rank FROM s)
+SELECT row, rank, item_id, round(score, 6) AS score FROM r WHERE rank <= 20"""
     q["catalogue_scalars"] = "SELECT CAST(p_partkey AS INTEGER) AS song_idx, " + ", ".join(
         f"round({e}, 6) AS {n}" if "DOUBLE" in e or "retailprice" in e else f"{e} AS {n}" for n, e in SCALARS.items()) + " FROM part"
     q["catalogue_arrays"] = _arrays_sql()

@@ -459,6 +459,13 @@ def q_replace_ids(spark, sf):
                                 indexing.index_ids(fx.id_list_items(spark, sf)))
 
 
+@query("replace_ids_keep")
+def q_replace_ids_keep(spark, sf):
+    """Customers of the first market segment and all songs: IDs outside keep a null index."""
+    some = fx.table(spark, sf, "customer").filter(F.col("c_mktsegment") < "C").select(F.col("c_custkey").alias("id"))
+    return indexing.replace_ids(_plays(spark, sf), indexing.index_ids(some), indexing.index_ids(fx.id_list_items(spark, sf)), unknown="keep")
+
+
 @query("user_item_matrix")
 def q_user_item_matrix(spark, sf):
     """Raw order lines as repeated (user, song) lines; the last line wins.
@@ -675,6 +682,13 @@ def q_labels_by_user(spark, sf):
     return r.select("entity", "n", F.concat_ws(",", F.transform("items", lambda x: x.cast("string"))).alias("items"))
 
 
+@query("label_blocks")
+def q_label_blocks(spark, sf):
+    """Each group's labels in bounded arrays."""
+    r = metrics.label_blocks(_labels(spark, sf), indexing.index_ids(_plays(spark, sf), "item_id"), 128)
+    return r.select("entity", "block", "n", F.concat_ws(",", F.transform("items", lambda x: x.cast("string"))).alias("items"))
+
+
 @query("prediction_labels")
 def q_prediction_labels(spark, sf):
     pl = metrics.prediction_labels(_knn_recs(spark, sf, TOP_N), _labels(spark, sf))
@@ -737,6 +751,15 @@ def q_train_als(spark, sf):
     return model.userFactors.select(F.col("id").alias("row"), F.size("features").alias("rank"))
 
 
+@query("top_n_factors")
+def q_top_n_factors(spark, sf):
+    """The 20 best vectors for every vector by inner product: the blocked top n of factor
+    models over the embeddings."""
+    rows = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("features"))
+    top = recommend.top_n_from_factors(rows, rows, TOP_N)
+    return top.select(F.col("r").alias("row"), F.col("rank").cast("int").alias("rank"), F.col("q").alias("item_id"), F.col("v").alias("score"))
+
+
 @query("recommend_als")
 def q_recommend_als(spark, sf):
     return recommend.recommend_als(_als_model(spark, sf), TOP_N)
@@ -967,6 +990,14 @@ def q_track_records(spark, sf):
                        .alias("similar_artists"))
 
 
+@query("track_record_terms")
+def q_track_record_terms(spark, sf):
+    """The terms of every nested track record with frequency and weight, in order."""
+    rec = catalogue.track_records(_terms(spark, sf), fx.similar_artist_rows(spark, sf))
+    rows = rec.select("track_id", F.posexplode("artist_terms").alias("pos", "t"))
+    return rows.select("track_id", F.col("pos").cast("bigint").alias("pos"), "t.term", "t.freq", "t.weight")
+
+
 # ---------------------------------------------------------------- streaming
 
 @query("stream_song_play_mean")
