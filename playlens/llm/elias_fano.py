@@ -15,6 +15,8 @@ for _b in range(256):
     for _r, _i in enumerate([i for i in range(8) if _b >> i & 1]):
         _SELECT[_b, _r] = _i
 _CHUNK = 1 << 17
+#: One in each byte, and each byte's top bit.
+_EACH, _TOP = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
 
 
 def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
@@ -41,6 +43,7 @@ def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
 class EliasFano:
     def __init__(self, parts: dict[str, np.ndarray]):
         self.n, self.l, self.top = (int(x) for x in parts["meta"])
+        parts = {k: np.asarray(a) for k, a in parts.items()}  # mapped files as plain arrays
         self.words = parts["words"].reshape(-1, _STEP // 64)
         self.ones = parts["ones"]
         self.zeros = np.arange(len(self.ones), dtype=np.int64) * _STEP - self.ones
@@ -50,19 +53,36 @@ class EliasFano:
     def _select(self, k: np.ndarray, directory: np.ndarray, flip: bool) -> np.ndarray:
         """Position of the k-th (from 0) one, or zero with ``flip``."""
         block = np.searchsorted(directory, k, "right") - 1
-        r = k - directory[block]
+        r = (k - directory[block]).astype(np.int16)
         w = self.words[block]
         if flip:
             w = ~w
-        row = np.arange(len(k))
-        count = np.cumsum(np.bitwise_count(w), axis=1, dtype=np.int16)
-        at = (count <= r[:, None]).sum(axis=1)
-        r = r - np.where(at > 0, count[row, np.maximum(at - 1, 0)], 0)
-        b = np.ascontiguousarray(w[row, at]).view(np.uint8).reshape(-1, 8)
-        count = np.cumsum(np.bitwise_count(b), axis=1, dtype=np.int16)
-        byte = (count <= r[:, None]).sum(axis=1)
-        r = r - np.where(byte > 0, count[row, np.maximum(byte - 1, 0)], 0)
-        return block * _STEP + at * 64 + byte * 8 + _SELECT[b[row, byte], r]
+        # the word of the block: how many of its words end before the r-th one
+        at, total, before = np.zeros(len(k), np.int64), np.zeros(len(k), np.int16), np.zeros(len(k), np.int16)
+        for c in np.ascontiguousarray(np.bitwise_count(w).T)[:-1]:
+            total = total + c
+            more = total <= r
+            at += more
+            before = np.where(more, total, before)
+        word = w[np.arange(len(k)), at]
+        # the byte of the word: sums of the bytes' counts side by side in 64 bits
+        r = (r - before).astype(np.uint64)
+        sums = np.bitwise_count(word.view(np.uint8)).view(np.uint64) * _EACH
+        byte = np.bitwise_count((((r * _EACH) | _TOP) - sums) & _TOP).astype(np.uint64)
+        shift = byte << np.uint64(3)
+        r = (r - (((sums << np.uint64(8)) >> shift) & np.uint64(255))).astype(np.int64)
+        value = ((word >> shift) & np.uint64(255)).astype(np.int64)
+        return block * _STEP + at * 64 + shift.astype(np.int64) + _SELECT[value, r]
+
+    def _run(self, at: np.ndarray) -> np.ndarray:
+        """How many ones stand from position ``at`` on without a zero; 64 means 64 or more."""
+        flat = self.words.reshape(-1)
+        word, bit = at >> 6, (at & 63).astype(np.uint64)
+        one = flat[np.minimum(word, len(flat) - 1)] >> bit
+        more = np.where(word + 1 < len(flat), flat[np.minimum(word + 1, len(flat) - 1)], np.uint64(0))
+        zeros = ~(one | ((more << (np.uint64(63) - bit)) << np.uint64(1)))
+        lowest = zeros & (~zeros + np.uint64(1))
+        return np.bitwise_count(lowest - np.uint64(1)).astype(np.int64)  # without a zero: all 64 bits
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         out = np.zeros(len(i), np.uint64)
@@ -90,10 +110,15 @@ class EliasFano:
         h = (x >> np.uint64(self.l)).astype(np.int64)
         beyond = h > self.top
         h = np.minimum(h, self.top)
-        end = self._select(h, self.zeros, True) - h
+        # the values with these high bits: a run of ones after the zero before it
         lo = np.zeros(len(x), np.int64)
         later = h > 0
         lo[later] = self._select(h[later] - 1, self.zeros, True) - (h[later] - 1)
+        run = self._run(lo + h)
+        long = np.flatnonzero(run >= 64)
+        end = lo + run
+        if len(long):
+            end[long] = self._select(h[long], self.zeros, True) - h[long]
         want = x & np.uint64((1 << self.l) - 1)
         hi = end.copy()
         go = np.flatnonzero(lo < hi)

@@ -256,15 +256,17 @@ class Trie:
         values[ok] = self.stored(level, name, u[ok], file_level)
         return values[back]
 
-    def log10(self, seq: np.ndarray, uni: np.ndarray, top: int | None = None) -> np.ndarray:
+    def log10(self, seq: np.ndarray, uni: np.ndarray, top: int | None = None, after: np.ndarray | None = None) -> np.ndarray:
         """log10 probability of every place of ``seq`` given what stands before it
-        in its text; ``uni`` the unigram log10."""
+        in its text; ``uni`` the unigram log10, ``after`` the weights of the words as
+        contexts where the caller has them."""
         score = uni.copy()
         begins = seq == self.end + 1
         known = seq >= 0
         node = np.where(known, seq, -1)  # node of the longest context ending before, by level
         last = top or self.spec.order
-        after = self.gathered(1, "back", node, 2) if last > 1 else None  # its weight
+        if after is None and last > 1:
+            after = self.gathered(1, "back", node, 2)  # its weight
         for level in range(2, last + 1):
             # the context of place i is the (level-1)-gram that ends at i - 1
             ctx = np.concatenate([[-1], node[:-1]])
@@ -416,7 +418,15 @@ def score(docs: DataFrame, trie: Trie, id_col: str = "doc_id", text_col: str = "
             seen = np.ones(len(seq), np.int64) * (t.docs > 0)
             seen[inner] = (counts > 0)[back]
             begin = np.cumsum(size) - size
-            full = t.log10(seq, uni)
+            after = None
+            if t.spec.order > 1:  # once per distinct word, not per place
+                after = np.zeros(len(seq))
+                weights = np.zeros(len(known))
+                weights[known >= 0] = t.stored(1, "back", known[known >= 0], 2)
+                after[inner] = weights[back]
+                edges = t.stored(1, "back", np.array([t.end, t.end + 1]), 2)
+                after[seq == t.end], after[seq == t.end + 1] = edges
+            full = t.log10(seq, uni, after=after)
             sums = [np.add.reduceat(x[places], begin) if len(begin) else x[:0] for x in (seen, uni, full)]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(size.astype(np.int64)), pa.array(sums[0].astype(np.int64)),
                                               pa.array(sums[1], pa.float64()), pa.array(sums[2], pa.float64())],
