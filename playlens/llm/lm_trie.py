@@ -129,7 +129,7 @@ class Trie:
 
     def shard(self, level: int, s: int) -> dict:
         if (level, s) not in self._open:
-            p = _unpack(files.load(self.folder, f"level{level}-{s}"))
+            p = _unpack(np.asarray(files.load(self.folder, f"level{level}-{s}")))  # mapped, as plain arrays
             self._open[level, s] = {**p, "ef": EliasFano(_sub(p, "ef."))}
         return self._open[level, s]
 
@@ -276,20 +276,24 @@ class Trie:
             # contexts without stored children have weight 0 (log10 of one)
             ask = np.flatnonzero((ctx >= 0) & known & (weight < 0))
             keys = ctx[ask].astype(np.uint64) * np.uint64(self.ids) + seq[ask].astype(np.uint64)
+            if level == last:  # few repeats: looked up in sorted order, each place by itself
+                order = np.argsort(keys)
+                at, ask = self.find(level, keys[order]), ask[order]
+                ok = at >= 0
+                score[ask[ok]] = self.stored(level, "prob", at[ok])
+                break
             u, back = np.unique(keys, return_inverse=True)
             at = self.find(level, u)
             ok = at >= 0
-            p = np.zeros(len(u))
+            p, weights = np.zeros(len(u)), np.zeros(len(u))
             p[ok] = self.stored(level, "prob", at[ok])
-            nodes, found = at[back], ok[back]
-            score[ask[found]] = p[back][found]
-            if level < last:
-                node = np.full(len(seq), -1, np.int64)
-                node[ask] = nodes
-                weights = np.zeros(len(u))
-                weights[ok] = self.stored(level, "back", at[ok], level + 1)
-                after = np.zeros(len(seq))
-                after[ask] = weights[back]
+            weights[ok] = self.stored(level, "back", at[ok], level + 1)
+            found = ok[back]
+            score[ask[found]] = p[back[found]]
+            node = np.full(len(seq), -1, np.int64)
+            node[ask] = at[back]
+            after = np.zeros(len(seq))
+            after[ask] = weights[back]
         return score
 
 
