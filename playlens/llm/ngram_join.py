@@ -54,7 +54,7 @@ from pyspark.sql import functions as F
 
 from playlens.llm import blocks as B
 from playlens.llm import shared_files as files
-from playlens.llm.common import aside, bitmap, components, in_bitmap, prepare, stored, tidy
+from playlens.llm.common import aside, bitmap, components, in_bitmap, join_hot, prepare, stored, tidy
 from playlens.llm.packed import ROWS_SQL, Counter, gather
 
 SKETCH_BITS = 24
@@ -449,7 +449,7 @@ def component_ids(docs: DataFrame, spec: JoinSpec | None = None, id_col: str = "
 
 def _with_component(members: DataFrame) -> DataFrame:
     """``members`` with component_id."""
-    smallest = members.where("comp is not null").groupBy("comp").agg(F.min("id").alias("component_id"))
+    smallest = members.where("comp is not null").groupBy("comp").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("n"))
     # An id can stand on several rows (with several texts): its rows are linked through it.
     several = members.where("id is not null and comp is not null").groupBy("id").agg(
         F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b")
@@ -459,8 +459,9 @@ def _with_component(members: DataFrame) -> DataFrame:
         joined = stored(components(hub.select("a", F.col("comp").alias("b"))), "id-components").withColumnsRenamed({"node": "comp", "comp": "root"})
         up = smallest.join(joined, "comp", "left").withColumn("root", F.coalesce("root", "comp"))
         low = up.groupBy("root").agg(F.min("component_id").alias("component_id"))
-        smallest = up.select("comp", "root").join(low, "root").select("comp", "component_id")
-    return (members.join(smallest, "comp", "left")
+        smallest = up.select("comp", "root", "n").join(low, "root").select("comp", "component_id", "n")
+    # a component on very many rows is not gathered in one task
+    return (join_hot(members, stored(smallest, "component-labels"), "comp")
                    .withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))))
 
 
