@@ -93,13 +93,19 @@ def liking_outer_join(plays: DataFrame, liked_above: int = 10, disliked_at_most:
                 .withColumn("liking_percent", F.col("liked") / F.col("total")))
 
 
-def user_similarity(centred: DataFrame, pairs: DataFrame, form: str = "aligned") -> DataFrame:
+#: Large users (more songs than ``block_songs``) are sent to all tasks up to so many.
+_BROADCAST_USERS = 1_000_000
+
+
+def user_similarity(centred: DataFrame, pairs: DataFrame, form: str = "aligned", block_songs: int = 100_000) -> DataFrame:
     """Pearson-style correlation of centred play vectors for the given user pairs.
 
     pairs: (user_u, user_v). ``aligned`` sums u_i * v_i over shared songs and
     divides by the full norms; ``crosssum`` is the reference's literal formula,
     (sum u)(sum v) / (|u| |v|). A user whose centred vector is all zero gives null. Only the requested pairs are formed (keyed
-    joins), never all user pairs.
+    joins), never all user pairs. A user of more than ``block_songs`` songs is cut into
+    blocks of songs and the user's pairs are dealt to the blocks; dot products are summed
+    by block, so no join key holds more than about a block of one user.
     """
     norms = centred.groupBy("user_id").agg(F.sum("score").alias("_s"),
                                            F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("_n"))
@@ -112,10 +118,23 @@ def user_similarity(centred: DataFrame, pairs: DataFrame, form: str = "aligned")
                            (F.col("_su") * F.col("_sv") / F.col("_den")).alias("similarity"))
     if form != "aligned":
         raise ValueError("form must be 'aligned' or 'crosssum'")
-    cu = centred.select(F.col("user_id").alias("user_u"), "item_id", F.col("score").alias("_x"))
-    cv = centred.select(F.col("user_id").alias("user_v"), "item_id", F.col("score").alias("_y"))
-    dots = (pairs.select("user_u", "user_v").join(cu, "user_u").join(cv, ["user_v", "item_id"])
-                 .groupBy("user_u", "user_v").agg(F.sum(F.col("_x") * F.col("_y")).alias("_dot")))
-    return base.join(dots, ["user_u", "user_v"], "left").select(
+    return base.join(_dots(centred, pairs, block_songs), ["user_u", "user_v"], "left").select(
         "user_u", "user_v",
         (F.coalesce("_dot", F.lit(0.0)) / F.col("_den")).alias("similarity"))
+
+
+def _dots(centred: DataFrame, pairs: DataFrame, block_songs: int) -> DataFrame:
+    """(user_u, user_v, _dot): sums of products over the songs both users have."""
+    size = centred.agg(F.count(F.lit(1))).first()[0]
+    blocks = (centred.groupBy("user_id").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > block_songs)
+                     .select(F.col("user_id").alias("user_u"), F.ceil(F.col("_c") / F.lit(block_songs)).cast("int").alias("_blocks")))
+    if size // max(1, block_songs) <= _BROADCAST_USERS:  # no more users can be that large
+        blocks = F.broadcast(blocks)
+    block = F.pmod(F.xxhash64("item_id"), F.coalesce("_blocks", F.lit(1))).cast("int")
+    cu = (centred.select(F.col("user_id").alias("user_u"), "item_id", F.col("score").alias("_x"))
+                 .join(blocks, "user_u", "left").withColumn("_block", block).drop("_blocks"))
+    cv = centred.select(F.col("user_id").alias("user_v"), "item_id", F.col("score").alias("_y"))
+    dealt = (pairs.select("user_u", "user_v").join(blocks, "user_u", "left")
+                  .withColumn("_block", F.explode(F.sequence(F.lit(0), F.coalesce("_blocks", F.lit(1)) - 1))).drop("_blocks"))
+    return (dealt.join(cu, ["user_u", "_block"]).join(cv, ["user_v", "item_id"])
+                 .groupBy("user_u", "user_v").agg(F.sum(F.col("_x") * F.col("_y")).alias("_dot")))

@@ -9,18 +9,23 @@ t = user; kNN scoring is X = plays (r = user, t = item), Y = neighbour lists
 
 Why not a self-join on t: it emits every pair of entries that share a key, so a
 user with a third of all rows would emit (N/3)^2 rows from one join key. Here the
-output rows r are cut into blocks I of at most ``max_cells / n_q`` rows, the
-keys t into chunks c, and a very frequent key's Y entries into slabs s. One
-``applyInPandas`` task per tile (I, c, s) multiplies its entries with numpy into
-a dense accumulator, one row sub-block at a time so it never holds more than
+output is cut into tiles of rows I x columns J, both at most a square's side long
+once there are more columns than that, and the keys t into chunks c. One
+``applyInPandas`` task per tile (I, J, c) multiplies its entries with numpy into a
+dense accumulator, one row sub-block at a time so it never holds more than
 ``max_cells`` values, and all products inside a tile are summed before anything
-leaves the task. Each Y entry is copied only to the row blocks
-that use its key (at most the number of blocks), not to every partner.
-
-If every tile holds complete sums (one chunk, no slabs: the whole input fits
-``chunk_entries``), the tile keeps only its top-k per row; otherwise it emits
-its partial cells, which are summed by (r, q) with a map-side combine, and the
-top-k is taken by a ranked window that Spark runs as a WindowGroupLimit.
+leaves the task. An X entry is copied only to the column blocks that use its key, a
+Y entry to the row blocks that do: with square tiles that is at most the number of
+rows or columns over the side, and a tile holds at most a side of entries of any
+key. Keys of more than ``heavy_key`` entries, which nearly every block uses, are
+copied to all blocks as they are read; only the other keys are joined, so no join
+key has more rows than that.
+
+If every tile holds complete sums (one chunk: the whole input fits
+``chunk_entries``), the tile keeps only its top-k per row, and where there are more
+column blocks these lists are ranked once more; otherwise it emits its partial
+cells, which are summed by (r, q) with a map-side combine, and the top-k is taken by
+a ranked window that Spark runs as a WindowGroupLimit.
 """
 
 from __future__ import annotations
@@ -37,6 +42,8 @@ from playlens.session import ensure_checkpoint_dir
 OUT_SCHEMA = "r long, q long, v double"
 TIE_DIGITS = 9          # values are ranked on this rounding so ties fall alike
 _BATCH_PRODUCTS = 4_000_000
+_SUBBLOCKS = 8          # passes of the accumulator per tile
+_BROADCAST_KEYS = 1_000_000  # frequent keys are sent to all tasks up to so many
 
 
 def _empty(ranked: bool = False) -> pd.DataFrame:
@@ -138,6 +145,54 @@ def _tile_products(pdf: pd.DataFrame, k: int | None, exclude: str | None,
     return pd.concat(parts, ignore_index=True) if parts else _empty(ranked=k is not None)
 
 
+def tile_counts(nr: int, nq: int, entries: int, max_cells: int, chunk_entries: int, cores: int) -> tuple[int, int, int]:
+    """(row blocks, column blocks, key chunks). A tile has at most _SUBBLOCKS passes of the
+    bounded accumulator. All columns are one block while they are no more than the
+    side of a square tile; beyond that tiles are square, which copies least."""
+    cells = max_cells * _SUBBLOCKS
+    side = max(1, math.isqrt(cells))
+    n_cols = math.ceil(nq / side)
+    n_rows = math.ceil(nr / max(1, cells // min(nq, side)))
+    n_chunks = max(1, math.ceil(entries / chunk_entries))
+    if n_chunks == 1 and n_rows * n_cols < cores:
+        n_rows = cores  # a single key chunk: the blocks are the only source of parallelism
+    return max(1, min(n_rows, nr)), n_cols, n_chunks
+
+
+def tile_entries(xs: DataFrame, ys: DataFrame, n_rows: int, n_cols: int, n_chunks: int, heavy_key: int, entries: int,
+                 own_block: bool = False) -> DataFrame:
+    """(I, J, c, side, a, t, v): the entries of X (side 0) and Y (side 1) of each tile.
+
+    With ``own_block`` an X entry (r, t) also goes to the column block where q = t lies.
+    """
+    row_block = F.pmod(F.xxhash64("a"), F.lit(n_rows)).cast("long")
+    col_block = F.pmod(F.xxhash64("a"), F.lit(n_cols)).cast("long")
+    chunk = F.pmod(F.xxhash64("t"), F.lit(n_chunks)).cast("long")
+    xb, yb = xs.withColumn("I", row_block), ys.withColumn("J", col_block)
+    x_users, y_users = yb.select("J", "t"), xb.select("I", "t")
+    if own_block and n_cols > 1:
+        x_users = x_users.unionByName(xs.select(F.pmod(F.xxhash64("t"), F.lit(n_cols)).cast("long").alias("J"), "t"))
+    heavy = (xs.select("t").unionByName(ys.select("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+               .where(F.col("n") > heavy_key).select("t", F.lit(True).alias("heavy")))
+    if entries // max(1, heavy_key) <= _BROADCAST_KEYS:  # no more keys can be that frequent
+        heavy = F.broadcast(heavy)
+
+    def spread(rows: DataFrame, users: DataFrame, block: str, blocks: int) -> DataFrame:
+        if blocks == 1:
+            return rows.withColumn(block, F.lit(0).cast("long"))
+        if entries <= heavy_key:  # no key is heavy
+            return rows.join(users.distinct(), "t")
+        marked = rows.join(heavy, "t", "left")
+        every = marked.where("heavy").withColumn(block, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        some = marked.where("heavy is null").join(users.join(heavy, "t", "left_anti").distinct(), "t")
+        return every.drop("heavy").unionByName(some.drop("heavy"))
+
+    xt, yt = spread(xb, x_users, "J", n_cols), spread(yb, y_users, "I", n_rows)
+    cols = ["I", "J", chunk.alias("c")]
+    return (xt.select(*cols, F.lit(0).alias("side"), "a", "t", "v")
+              .unionByName(yt.select(*cols, F.lit(1).alias("side"), "a", "t", "v")))
+
+
 def sparse_product(x: DataFrame, y: DataFrame, k: int | None = None, exclude: str | None = None,
                    max_cells: int = 1 << 24, chunk_entries: int = 4_000_000,
                    heavy_key: int = 1_000_000) -> DataFrame:
@@ -166,43 +221,9 @@ def sparse_product(x: DataFrame, y: DataFrame, k: int | None = None, exclude: st
                       F.approx_count_distinct(F.when(F.col("side") == 1, F.col("a"))).alias("nq")).first()
     nx, ny = int(counts["nx"]), int(counts["ny"])
     nr, nq = max(1, int(counts["nr"])), max(1, int(counts["nq"]))
-    # Row blocks: at least one per core; more only when a block would need more
-    # than ``subblocks`` passes of the bounded accumulator. Each block receives
-    # the Y entries of every key it uses, so fewer blocks means less copying.
-    subblocks = 8
-    block_rows = max(1, (max_cells // nq) * subblocks)
-    n_chunks = max(1, math.ceil((nx + ny) / chunk_entries))
+    n_rows, n_cols, n_chunks = tile_counts(nr, nq, nx + ny, max_cells, chunk_entries, x.sparkSession.sparkContext.defaultParallelism)
     fast = n_chunks == 1
-    n_blocks = math.ceil(nr / block_rows)
-    if fast:
-        # A single key chunk: the row blocks are the only source of parallelism.
-        n_blocks = max(n_blocks, x.sparkSession.sparkContext.defaultParallelism)
-    n_blocks = max(1, min(n_blocks, nr))
-
-    # Row block of each X entry (hashed, about block_rows rows each); the
-    # distinct (block, key) pairs say to which blocks a Y entry is copied.
-    xb = xs.withColumn("I", F.pmod(F.xxhash64("a"), F.lit(n_blocks)).cast("long"))
-    xb = xb.withColumn("c", F.pmod(F.xxhash64("t"), F.lit(n_chunks)).cast("long"))
-    used = xb.select("I", "t").distinct()
-    yb = (ys.join(used, "t")
-            .withColumn("c", F.pmod(F.xxhash64("t"), F.lit(n_chunks)).cast("long")))
-
-    if fast:
-        xb = xb.withColumn("s", F.lit(0).cast("long"))
-        yb = yb.withColumn("s", F.lit(0).cast("long"))
-    else:
-        # Split a very frequent key's Y entries into slabs; copy its X entries to each.
-        deg = ys.groupBy("t").agg(F.count(F.lit(1)).alias("_d")).filter(F.col("_d") > heavy_key) \
-                .select("t", F.ceil(F.col("_d") / F.lit(heavy_key)).cast("long").alias("_S"))
-        yb = yb.join(deg, "t", "left").withColumn(
-            "s", F.when(F.col("_S").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("a"), F.col("_S"))).cast("long")
-        ).drop("_S")
-        xb = xb.join(deg, "t", "left").withColumn(
-            "s", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_S"), F.lit(1)).cast("long") - 1))
-        ).drop("_S")
-
-    tiles = (xb.select("I", "c", "s", F.lit(0).alias("side"), "a", "t", "v")
-               .unionByName(yb.select("I", "c", "s", F.lit(1).alias("side"), "a", "t", "v")))
+    tiles = tile_entries(xs, ys, n_rows, n_cols, n_chunks, heavy_key, nx + ny, own_block=exclude == "x_support")
     keep_k = k if fast else None
     excl = exclude if fast else None
 
@@ -210,10 +231,11 @@ def sparse_product(x: DataFrame, y: DataFrame, k: int | None = None, exclude: st
         return _tile_products(pdf, keep_k, excl, max_cells, fast)
 
     if fast and k is not None:
-        # Each row lives in one tile and the tile holds its complete sums, so the
-        # tile's top-k (ranked in the task) is final: no further shuffle.
-        return tiles.groupBy("I", "c", "s").applyInPandas(run, OUT_SCHEMA + ", rank int")
-    cells = tiles.groupBy("I", "c", "s").applyInPandas(run, OUT_SCHEMA)
+        # A tile holds its rows' complete sums: its top-k (ranked in the task) is final
+        # with one column block, and all that is needed of it with several.
+        top = tiles.groupBy("I", "J", "c").applyInPandas(run, OUT_SCHEMA + ", rank int")
+        return top if n_cols == 1 else top_k_per_row(top.drop("rank"), k)
+    cells = tiles.groupBy("I", "J", "c").applyInPandas(run, OUT_SCHEMA)
     if k is None:
         return cells if fast else cells.groupBy("r", "q").agg(F.sum("v").alias("v")).filter(rank_key(F.col("v")) != 0)
     cells = cells.groupBy("r", "q").agg(F.sum("v").alias("v"))
