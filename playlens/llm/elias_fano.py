@@ -15,6 +15,10 @@ for _b in range(256):
     for _r, _i in enumerate([i for i in range(8) if _b >> i & 1]):
         _SELECT[_b, _r] = _i
 _CHUNK = 1 << 17
+#: Ranges of so few places are searched place by place.
+_SHORT = 4
+#: Every second byte, and one in each pair of bytes.
+_PAIRS, _EACH_PAIR = np.uint64(0x00FF00FF00FF00FF), np.uint64(0x0001000100010001)
 #: One in each byte, and each byte's top bit.
 _EACH, _TOP = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
 
@@ -74,12 +78,15 @@ class EliasFano:
         value = ((word >> shift) & np.uint64(255)).astype(np.int64)
         return block * _STEP + at * 64 + shift.astype(np.int64) + _SELECT[value, r]
 
-    def _run(self, at: np.ndarray) -> np.ndarray:
-        """How many ones stand from position ``at`` on without a zero; 64 means 64 or more."""
+    def _run(self, at: np.ndarray, flip: bool = False) -> np.ndarray:
+        """How many ones (zeros with ``flip``) stand from position ``at`` on; 64 means 64 or more."""
         flat = self.words.reshape(-1)
         word, bit = at >> 6, (at & 63).astype(np.uint64)
-        one = flat[np.minimum(word, len(flat) - 1)] >> bit
+        one = flat[np.minimum(word, len(flat) - 1)]
         more = np.where(word + 1 < len(flat), flat[np.minimum(word + 1, len(flat) - 1)], np.uint64(0))
+        if flip:
+            one, more = ~one, ~more
+        one = one >> bit
         zeros = ~(one | ((more << (np.uint64(63) - bit)) << np.uint64(1)))
         lowest = zeros & (~zeros + np.uint64(1))
         return np.bitwise_count(lowest - np.uint64(1)).astype(np.int64)  # without a zero: all 64 bits
@@ -98,6 +105,64 @@ class EliasFano:
         high = (self._select(i, self.ones, False) - i).astype(np.uint64)
         return (high << np.uint64(self.l)) | self._low(i)
 
+    def spans(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at places ``i`` and ``i + 1``: one select, the next one's bit is
+        found from there."""
+        at = self._select(i, self.ones, False)
+        gap = self._run(at + 1, True)
+        after = at + 1 + gap
+        far = np.flatnonzero(gap >= 64)
+        if len(far):
+            after[far] = self._select(i[far] + 1, self.ones, False)
+        high = [(at - i).astype(np.uint64), (after - i - 1).astype(np.uint64)]
+        first, last = ((h << np.uint64(self.l)) | self._low(j) for h, j in zip(high, (i, i + 1), strict=True))
+        return first.astype(np.int64), last.astype(np.int64)
+
+    def within(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Place of ``x`` among the places [lo, hi), -1 where it isn't there: the successor
+        search, confined to a range that is known to hold ``x`` if any does."""
+        x = np.asarray(x, np.uint64)
+        out = np.full(len(x), -1, np.int64)
+        for a in range(0, len(x), _CHUNK):
+            part = slice(a, a + _CHUNK)
+            long = hi[part] - lo[part] > _SHORT
+            at = np.flatnonzero(long) + a
+            if len(at):
+                place, equal = self._successor(x[at], lo[at], hi[at])
+                out[at] = np.where(equal, place, -1)
+            at = np.flatnonzero(~long) + a
+            if len(at):
+                out[at] = self._short(x[at], lo[at], hi[at])
+        return out
+
+    def _short(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """``within`` for ranges of at most _SHORT places: where low bits agree, the high
+        bits do if the value's bit stands at its position and is that place's one."""
+        out = np.full(len(x), -1, np.int64)
+        want, high = x & np.uint64((1 << self.l) - 1), (x >> np.uint64(self.l)).astype(np.int64)
+        go = np.flatnonzero(lo < hi)
+        for j in range(_SHORT):
+            place = lo[go] + j
+            same = self._low(place) == want[go]
+            at, i = go[same], place[same]
+            ok = self._is_one(high[at] + i, i)
+            out[at[ok]] = i[ok]
+            go = go[(place + 1 < hi[go]) & (out[go] < 0)]
+        return out
+
+    def _is_one(self, at: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Whether position ``at`` holds the k-th (from 0) one."""
+        inside = at < self.words.size * 64
+        at = np.where(inside, at, 0)
+        block, bit = at // _STEP, (at & 63).astype(np.uint64)
+        w, word = self.words[block], (at % _STEP) >> 6
+        own = w[np.arange(len(at)), word]
+        # ones in the words before: eight counts side by side, added in pairs, then all at once
+        counts = np.bitwise_count(w).reshape(-1).view(np.uint64) & ((np.uint64(1) << (word << 3).astype(np.uint64)) - np.uint64(1))
+        whole = (((counts & _PAIRS) + ((counts >> np.uint64(8)) & _PAIRS)) * _EACH_PAIR) >> np.uint64(48)
+        rank = self.ones[block] + whole.astype(np.int64) + np.bitwise_count(own & ((np.uint64(1) << bit) - np.uint64(1)))
+        return inside & ((own >> bit) & np.uint64(1) == 1) & (rank == k)
+
     def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place of the first value >= x, whether it equals x); n where none is."""
         x = np.asarray(x, np.uint64)
@@ -106,7 +171,7 @@ class EliasFano:
             place[a:a + _CHUNK], equal[a:a + _CHUNK] = self._successor(x[a:a + _CHUNK])
         return place, equal
 
-    def _successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _successor(self, x: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         h = (x >> np.uint64(self.l)).astype(np.int64)
         beyond = h > self.top
         h = np.minimum(h, self.top)
@@ -119,6 +184,8 @@ class EliasFano:
         end = lo + run
         if len(long):
             end[long] = self._select(h[long], self.zeros, True) - h[long]
+        if first is not None:
+            lo, end = np.maximum(lo, first), np.minimum(end, last)
         want = x & np.uint64((1 << self.l) - 1)
         hi = end.copy()
         go = np.flatnonzero(lo < hi)

@@ -10,8 +10,10 @@ has one file per level in the shared folder:
               context; quantised smoothed probabilities and back-off weights
 
 A word of a text is looked up in level 1, an n-gram in level k by a successor
-search relative to its context's place in level k - 1. Tasks map the files; a
-batch's distinct queries are sorted, so a level is read in one sweep forward.
+search relative to its context's place in level k - 1: the pointers of that place
+give the range of its children, and only that range is searched. Tasks map the
+files; a batch's queries are sorted, so a level is read in one sweep forward and the
+pointers are read once per context.
 
 Probabilities: interpolated absolute discounting over the add-one unigram model.
 All counts are of the whole training part; n-grams of two words and more seen
@@ -130,7 +132,7 @@ class Trie:
     def shard(self, level: int, s: int) -> dict:
         if (level, s) not in self._open:
             p = _unpack(np.asarray(files.load(self.folder, f"level{level}-{s}")))  # mapped, as plain arrays
-            self._open[level, s] = {**p, "ef": EliasFano(_sub(p, "ef."))}
+            self._open[level, s] = {**p, "ef": EliasFano(_sub(p, "ef.")), **({"ptr": EliasFano(_sub(p, "ptr."))} if level > 1 else {})}
         return self._open[level, s]
 
     def word_ids(self, hashes: np.ndarray) -> np.ndarray:
@@ -175,16 +177,22 @@ class Trie:
         return seq, np.flatnonzero(tokens), n + 1, known, back
 
     def find(self, level: int, keys: np.ndarray) -> np.ndarray:
-        """Nodes of ``level`` for sorted distinct keys (node of the context * ids +
-        word id), -1 where there is none."""
+        """Nodes of ``level`` for sorted keys (node of the context * ids + word id), -1
+        where there is none. The pointers give each distinct context the range of its
+        children, and the word is searched in that range."""
         out = np.full(len(keys), -1, np.int64)
         base, here = self._node_offsets(level - 1), self.level_offsets[level]
         cut = np.searchsorted(keys, base.astype(np.uint64) * np.uint64(self.ids))
         cut[-1] = len(keys)
         for s in range(len(base) - 1):
             if cut[s + 1] > cut[s] and here[s + 1] > here[s]:
-                at, ok = self.shard(level, s)["ef"].successor(keys[cut[s]:cut[s + 1]] - np.uint64(int(base[s]) * self.ids))
-                out[cut[s]:cut[s + 1]] = np.where(ok, at + here[s], -1)
+                p, x = self.shard(level, s), keys[cut[s]:cut[s + 1]] - np.uint64(int(base[s]) * self.ids)
+                place = (x // np.uint64(self.ids)).astype(np.int64)
+                new = np.concatenate([[True], place[1:] != place[:-1]])
+                runs = np.diff(np.concatenate([np.flatnonzero(new), [len(x)]]))
+                lo, hi = p["ptr"].spans(place[new])
+                at = p["ef"].within(x, np.repeat(lo, runs), np.repeat(hi, runs))
+                out[cut[s]:cut[s + 1]] = np.where(at >= 0, at + here[s], -1)
         return out
 
     def _node_offsets(self, level: int) -> np.ndarray:
@@ -212,8 +220,8 @@ class Trie:
         s = int(np.searchsorted(off, node, "right")) - 1
         p = self.shard(level + 1, s)
         place = node - int(off[s])
-        lo, hi = EliasFano(_sub(p, "ptr.")).access(np.array([place, place + 1])).astype(np.int64)
-        return (p["ef"].access(np.arange(lo, hi)) - np.uint64(place * self.ids)).astype(np.int64)
+        lo, hi = p["ptr"].spans(np.array([place]))
+        return (p["ef"].access(np.arange(lo[0], hi[0])) - np.uint64(place * self.ids)).astype(np.int64)
 
     def node_word(self, nodes: np.ndarray) -> np.ndarray:
         """The last word of sorted level 2 nodes."""

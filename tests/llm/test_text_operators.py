@@ -162,6 +162,36 @@ def test_elias_fano_access_and_successor():
         assert np.array_equal(equal, [i < n and v[i] == y for i, y in zip(want, x, strict=True)])
 
 
+def test_elias_fano_spans_and_ranges():
+    rng = np.random.default_rng(2)
+    for contexts, ids, fill in ((300, 50, 3), (40, 10_000, 200), (5000, 1 << 30, 1), (2000, 7, 0.02)):
+        size = rng.poisson(fill, contexts)
+        size[contexts // 2:contexts // 2 + 150] = 0  # many equal pointers in a row
+        words_of = [np.sort(rng.choice(min(ids, 20_000), min(k, ids), replace=False)) for k in size]
+        keys = np.concatenate([np.uint64(c) * np.uint64(ids) + w.astype(np.uint64) for c, w in enumerate(words_of)])
+        starts = np.concatenate([[0], np.cumsum([len(w) for w in words_of])]).astype(np.uint64)
+        ef, ptr = EliasFano(encode(keys, contexts * ids)), EliasFano(encode(starts, len(keys) + 1))
+        lo, hi = ptr.spans(np.arange(contexts))
+        assert np.array_equal(lo, starts[:-1]) and np.array_equal(hi, starts[1:])
+        c = rng.integers(0, contexts, 4000)
+        x = np.concatenate([keys, c.astype(np.uint64) * np.uint64(ids) + rng.integers(0, min(ids, 20_000), 4000).astype(np.uint64)])
+        at = (x // np.uint64(ids)).astype(np.int64)
+        want = np.searchsorted(keys, x)
+        there = np.array([i < len(keys) and keys[i] == y for i, y in zip(want, x, strict=True)])
+        assert np.array_equal(ef.within(x, lo[at], hi[at]), np.where(there, want, -1))
+
+
+def test_trie_children_by_pointers(spark):
+    docs = spark.createDataFrame([(1, "a b a c"), (2, "a b d"), (3, None)], "doc_id long, text string")
+    trie = lm_trie.train(docs, lm_trie.TrieSpec(order=2, min_count=1))
+    col = pa.array(["a b c d"])
+    ids = dict(zip("abcd", trie.sequence(col)[0][1:-1].tolist(), strict=True))
+    assert sorted(trie.children(1, ids["a"]).tolist()) == sorted([ids["b"], ids["c"]])
+    assert sorted(trie.children(1, ids["b"]).tolist()) == sorted([ids["a"], ids["d"]])
+    assert sorted(trie.children(1, trie.end + 1).tolist()) == sorted([ids["a"], trie.end])
+    assert len(trie.children(1, trie.end)) == 0
+
+
 @pytest.mark.parametrize("order", [2, 3])
 def test_trie_scores_match_dictionaries(spark, order):
     from collections import Counter, defaultdict
