@@ -12,8 +12,10 @@ The projected space is cut into cells by a kd-tree over a bounded sample; every
 row is indexed in its cell. A cell is worked on in parts of about ``part_rows``
 rows (by hash of the id, so that a vector that a third of all rows share is
 spread). Round one searches a query's own cell; round two the other cells whose
-box passes the same test with the distance found. A query is sent to cells, rows
-never to queries: no pair is made but those verified inside a part.
+box passes the same test with the distance found. A cell's queries are dealt to
+blocks of about ``query_rows``, and a part is searched once per block of its cell, so
+that both sides of a task are bounded whatever the table's size. No pair is made but
+those verified inside a part.
 
 Nulls: vectors that are null, zero or hold null or non-finite components, and rows
 with a null id, take no part; vectors are compared with those of their own length.
@@ -39,6 +41,7 @@ class AnnSpec:
     dims: int = 8  # even
     confidence: float = 0.96
     part_rows: int = 8192
+    query_rows: int = 4096
     leaf_rows: int = 48
     sample_rows: int = 20_000
     seed: int = 5
@@ -179,16 +182,20 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, spec: AnnSpec | Non
     sizes = placed.groupBy("len", "cell").agg(F.count(F.lit(1)).alias("c"))
     parts = sizes.select("len", "cell", F.ceil(F.col("c") / spec.part_rows).cast("int").alias("parts"))
     parts = stored(parts, "parts")
-    key = ["len", "cell", "part"]
+    key = ["len", "cell", "part", "block"]
     base = stored(placed.join(parts, ["len", "cell"])
                         .select("len", "cell", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), "id", "v"), "indexed")
     queries = placed.where("query").select("id", "v", "len", "cell")
 
-    def every_part(asked: DataFrame) -> DataFrame:
-        return asked.join(parts, ["len", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    def probe(asked: DataFrame) -> DataFrame:
+        # at most as many rows as there are cells, sample_rows / 8 per vector length
+        blocks = F.broadcast(asked.groupBy("len", "cell").agg(F.ceil(F.count(F.lit(1)) / spec.query_rows).cast("int").alias("blocks")))
+        dealt = (asked.join(blocks, ["len", "cell"]).withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), "blocks").cast("int"))
+                      .join(parts, ["len", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
+        rows = base.join(blocks, ["len", "cell"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return _probe(rows.select(*key, "id", "v"), dealt, key, k, spec)
 
-    home = every_part(queries.withColumn("bound", F.lit(-2.0)))
-    near = stored(_probe(base, home, key, k, spec), "round1")
+    near = stored(probe(queries.withColumn("bound", F.lit(-2.0))), "round1")
     kth = near.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s"))  # k scores per part of one cell
     bounds = kth.select(F.col("query_id").alias("id"), F.when(F.size("s") >= k, F.element_at("s", k)).otherwise(-2.0).alias("bound"))
 
@@ -210,7 +217,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, spec: AnnSpec | Non
 
     asked = (queries.join(bounds, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(-2.0)))
                     .mapInArrow(others, "id long, v array<double>, len int, bound double, cell int"))
-    far = _probe(base, every_part(asked), key, k, spec)
+    far = probe(stored(asked, "asked"))  # read twice
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id"))
     return (near.unionByName(far).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
                 .select("query_id", "rank", F.col("id").alias(id_col), "score"))
@@ -278,7 +285,7 @@ def _cells(rows: DataFrame, length: int, count: int, spec: AnnSpec) -> Cells:
 
 
 def _probe(base: DataFrame, asked: DataFrame, key: list[str], k: int, spec: AnnSpec) -> DataFrame:
-    """Each part's rows and the queries sent to it meet in one task."""
+    """Each part's rows and a block of the queries sent to it meet in one task."""
     stop = _quantile(spec.confidence, spec.dims)
 
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:

@@ -35,6 +35,16 @@ def test_recall_and_exact_scores(spark):
     assert ann.search(table.limit(0), F.lit(True)).count() == 0
 
 
+def test_blocks_of_queries_change_nothing(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((600, 8)).round(2)
+    x[100:300] = x[100]  # a cell with many queries
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = [sorted(map(tuple, ann.search(table, F.col("vec_id") % 2 == 0, spec=ann.AnnSpec(part_rows=150, query_rows=n)).collect()))
+           for n in (4096, 9)]
+    assert got[0] == got[1] and len(got[0]) == 300 * 5
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
