@@ -177,8 +177,8 @@ class Trie:
         return seq, np.flatnonzero(tokens), n + 1, known, back
 
     def find(self, level: int, keys: np.ndarray) -> np.ndarray:
-        """Nodes of ``level`` for sorted keys (node of the context * ids + word id), -1
-        where there is none. The pointers give each distinct context the range of its
+        """Nodes of ``level`` for keys (node of the context * ids + word id) in the order of
+        their contexts, -1 where there is none. The pointers give each distinct context the range of its
         children, and the word is searched in that range."""
         out = np.full(len(keys), -1, np.int64)
         base, here = self._node_offsets(level - 1), self.level_offsets[level]
@@ -203,7 +203,7 @@ class Trie:
         return off
 
     def stored(self, level: int, name: str, nodes: np.ndarray, file_level: int | None = None) -> np.ndarray:
-        """log10 values of ``nodes`` (sorted) from a quantised array."""
+        """log10 values of ``nodes`` (shards in order) from a quantised array."""
         out = np.zeros(len(nodes))
         off = self._node_offsets(level)
         cut = np.searchsorted(nodes, off)
@@ -270,38 +270,40 @@ class Trie:
         contexts where the caller has them."""
         score = uni.copy()
         begins = seq == self.end + 1
-        known = seq >= 0
-        node = np.where(known, seq, -1)  # node of the longest context ending before, by level
         last = top or self.spec.order
-        if after is None and last > 1:
-            after = self.gathered(1, "back", node, 2)  # its weight
+        if last < 2 or len(seq) < 2:
+            return score
+        if after is None:
+            after = self.gathered(1, "back", np.where(seq >= 0, seq, -1), 2)
+        # places that follow a known word, that word and its weight as a context
+        place = np.flatnonzero((seq[:-1] >= 0) & ~begins[1:]) + 1
+        ctx, weight = seq[place - 1], after[place - 1]
         for level in range(2, last + 1):
-            # the context of place i is the (level-1)-gram that ends at i - 1
-            ctx = np.concatenate([[-1], node[:-1]])
-            ctx[begins] = -1
-            weight = np.where(ctx >= 0, np.concatenate([[0.0], after[:-1]]), 0.0)
-            score = np.where(ctx >= 0, score + weight, score)
+            score[place] += weight
             # contexts without stored children have weight 0 (log10 of one)
-            ask = np.flatnonzero((ctx >= 0) & known & (weight < 0))
-            keys = ctx[ask].astype(np.uint64) * np.uint64(self.ids) + seq[ask].astype(np.uint64)
-            if level == last:  # few repeats: looked up in sorted order, each place by itself
+            ask = np.flatnonzero((weight < 0) & (seq[place] >= 0))
+            place, ctx = place[ask], ctx[ask]
+            keys = ctx.astype(np.uint64) * np.uint64(self.ids) + seq[place].astype(np.uint64)
+            if level == 2 or level < last:
                 order = np.argsort(keys)
-                at, ask = self.find(level, keys[order]), ask[order]
+                place, keys = place[order], keys[order]
+            if level == last:  # few repeats: each place by itself, in the order of the contexts
+                at = self.find(level, keys)
                 ok = at >= 0
-                score[ask[ok]] = self.stored(level, "prob", at[ok])
+                score[place[ok]] = self.stored(level, "prob", at[ok])
                 break
-            u, back = np.unique(keys, return_inverse=True)
-            at = self.find(level, u)
+            new = np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]])
+            at = self.find(level, keys[new])
             ok = at >= 0
-            p, weights = np.zeros(len(u)), np.zeros(len(u))
-            p[ok] = self.stored(level, "prob", at[ok])
-            weights[ok] = self.stored(level, "back", at[ok], level + 1)
-            found = ok[back]
-            score[ask[found]] = p[back[found]]
-            node = np.full(len(seq), -1, np.int64)
-            node[ask] = at[back]
-            after = np.zeros(len(seq))
-            after[ask] = weights[back]
+            p, weights = self.stored(level, "prob", at[ok]), self.stored(level, "back", at[ok], level + 1)
+            runs = np.diff(np.concatenate([np.flatnonzero(new), [len(keys)]]))
+            place, runs = place[np.repeat(ok, runs)], runs[ok]
+            score[place] = np.repeat(p, runs)
+            # the places after these, still in the order of their contexts
+            place, ctx, weight = place + 1, np.repeat(at[ok], runs), np.repeat(weights, runs)
+            inner = place < len(seq)
+            inner[inner] = ~begins[place[inner]]
+            place, ctx, weight = place[inner], ctx[inner], weight[inner]
         return score
 
 
