@@ -9,7 +9,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from playlens.functions.columns import seeded_key
@@ -196,22 +196,51 @@ def _tile_top_n(pdf: pd.DataFrame, n: int) -> pd.DataFrame:
     return pd.DataFrame({"r": uid[rows[keep]], "q": iid[cols[keep]], "v": vals[keep]})
 
 
+def _norm(col: str) -> Column:
+    return F.sqrt(F.aggregate(F.col(col), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+
+
+#: Steps of item norms that a user's bound is compared with (a literal of at most so many numbers).
+BOUND_STEPS = 1024
+
+
+def blocks_needed(users: DataFrame, first: DataFrame, block_norms: list[float], n: int) -> DataFrame:
+    """``users`` (a, norm, features) with ``need``: how many of the blocks 1, 2, ... can
+    still hold one of a user's n best items.
+
+    ``first`` (r, v, rank) are the lists from block 0, ``block_norms`` the largest norm of
+    each block, descending. By Cauchy-Schwarz no item of a block scores above the user's
+    norm times the block's largest norm; where that is under the user's n-th score, the
+    block and all after it are left out. The bound allows for the rounding of scores and ranks.
+    """
+    rest = block_norms[1:]
+    step = math.ceil(len(rest) / BOUND_STEPS)
+    bounds = F.array(*[F.lit(float(b)) for b in rest[::step]])
+    last = first.filter(F.col("rank") == n).select(F.col("r").alias("a"), F.col("v").alias("nth"))
+    reach = F.size(F.filter(bounds, lambda b: b * F.col("norm") * F.lit(1 + 1e-9) + F.lit(2 * 10.0 ** -TIE_DIGITS) >= F.col("nth")))
+    need = F.when(F.col("nth").isNull(), F.lit(len(rest))).otherwise(F.least(reach * F.lit(step), F.lit(len(rest))))
+    return users.join(last, "a", "left").select("a", "norm", "features", need.cast("long").alias("need"))
+
+
 def top_n_from_factors(user_factors: DataFrame, item_factors: DataFrame, n: int = 20,
                        max_cells: int = 1 << 24) -> DataFrame:
     """(r, q, v, rank): the n best items per user by factor dot product.
 
-    Users and items are hashed into blocks sized so one tile's score block has
-    at most ``max_cells`` entries; each user row is copied to every item block
-    and each item row to every user block (no keyless join), and one task per
-    tile multiplies the two factor blocks and keeps its top n per user. With a
-    single item block that list is final; otherwise a ranked window
-    (WindowGroupLimit) takes the final n across item blocks.
+    Users and items are cut into blocks so that a tile (user block, item block) has at
+    most ``max_cells`` scores; one task per tile multiplies its two factor blocks and
+    keeps the n best per user. No keyless join.
+
+    With one item block its lists are final. Otherwise items are put into square blocks
+    by falling norm. Every user meets the block of the largest norms first, and then
+    only the blocks that can still hold one of its n best (``blocks_needed``). Users are
+    put into blocks by that number, so that an item block is copied only to user blocks
+    that ask for it. A ranked window (WindowGroupLimit) takes the final n. The driver
+    holds one norm per item block (items / 4,096 numbers by default).
     """
     spark = user_factors.sparkSession
     n_users, n_items = user_factors.count(), item_factors.count()
-    # Items per block: all of them when a block of at least 256 users still
-    # fits ``max_cells`` scores (then each tile's top n is final); otherwise square
-    # tiles, which copy users and items least, and a ranked window across them.
+    # All items are one block when a block of at least 256 users still fits
+    # ``max_cells`` scores; otherwise tiles are square, which copies least.
     per_block_items = max(n_items, 1) if n_items <= max(1, max_cells // 256) else max(1, math.isqrt(max_cells))
     nb_i = max(1, math.ceil(n_items / per_block_items))
     users_per_block = max(1, max_cells // per_block_items)
@@ -219,24 +248,35 @@ def top_n_from_factors(user_factors: DataFrame, item_factors: DataFrame, n: int
     if nb_i == 1:
         nb_u = max(nb_u, spark.sparkContext.defaultParallelism)
     nb_u = max(1, min(nb_u, n_users))
-    u = user_factors.select(F.lit(0).alias("side"), F.col("id").cast("long").alias("a"), "features",
-                            F.pmod(F.xxhash64("id"), F.lit(nb_u)).alias("ub"),
-                            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nb_i - 1).cast("long"))).alias("ib"))
-    v = item_factors.select(F.lit(1).alias("side"), F.col("id").cast("long").alias("a"), "features",
-                            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nb_u - 1).cast("long"))).alias("ub"),
-                            F.pmod(F.xxhash64("id"), F.lit(nb_i)).alias("ib"))
-    final = nb_i == 1
+    users = user_factors.select(F.col("id").cast("long").alias("a"), "features")
+    items = item_factors.select(F.col("id").cast("long").alias("a"), "features")
+    user_block = F.pmod(F.xxhash64("a"), F.lit(nb_u)).alias("ub")
+    every_user_block = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nb_u - 1).cast("long"))).alias("ub")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = _tile_top_n(pdf, n)
-        if final:
-            out["rank"] = (out.groupby("r").cumcount() + 1).astype("int32")
+        out["rank"] = (out.groupby("r").cumcount() + 1).astype("int32")
         return out
 
-    tiles = u.unionByName(v).groupBy("ub", "ib")
-    if final:
-        return tiles.applyInPandas(run, "r long, q long, v double, rank int")
-    return top_k_per_row(tiles.applyInPandas(run, "r long, q long, v double"), n)
+    def tiles(u: DataFrame, v: DataFrame) -> DataFrame:
+        both = (u.select("ub", "ib", F.lit(0).alias("side"), "a", "features")
+                 .unionByName(v.select("ub", "ib", F.lit(1).alias("side"), "a", "features")))
+        return both.groupBy("ub", "ib").applyInPandas(run, "r long, q long, v double, rank int")
+
+    only = F.lit(0).cast("long").alias("ib")
+    if nb_i == 1:
+        return tiles(users.select("a", "features", user_block, only), items.select("a", "features", every_user_block, only))
+    ordered = global_index(items.select("a", "features", (-_norm("features")).alias("fall")), ["fall", "a"], "idx")
+    placed = ordered.select("a", "features", (-F.col("fall")).alias("norm"), F.expr(f"idx div {per_block_items}").alias("ib"))
+    norms = [r["m"] for r in placed.groupBy("ib").agg(F.max("norm").alias("m")).orderBy("ib").collect()]
+    first = tiles(users.select("a", "features", user_block, only),
+                  placed.filter(F.col("ib") == 0).select("a", "features", every_user_block, "ib")).checkpoint(eager=True)
+    asking = blocks_needed(users.withColumn("norm", _norm("features")), first, norms, n).filter(F.col("need") > 0)
+    dealt = (global_index(asking.withColumn("fall", -F.col("need")), ["fall", "a"], "idx")
+             .select("a", "features", F.expr(f"idx div {users_per_block}").alias("ub"),
+                     F.explode(F.sequence(F.lit(1).cast("long"), F.col("need"))).alias("ib")))
+    more = tiles(dealt, placed.join(dealt.select("ub", "ib").distinct(), "ib"))
+    return top_k_per_row(first.drop("rank").unionByName(more.drop("rank")), n)
 
 
 def recommend_als(model, n: int = 20) -> DataFrame:

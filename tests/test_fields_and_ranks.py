@@ -80,6 +80,41 @@ def test_factor_lists_at_every_tile_size(spark, cells):
     assert got == want
 
 
+@pytest.mark.parametrize("n,top", [(3, 3), (7, 7)])
+def test_factor_lists_with_ties_negatives_and_zero_rows(spark, n, top):
+    """Equal norms, equal scores, users whose best scores are below zero, zero factors."""
+    vectors = [(i, [float(i % 3), -1.0 if i % 2 else 1.0]) for i in range(40)] + [(40, [0.0, 0.0])]
+    users = spark.createDataFrame([(1, [1.0, 0.0]), (2, [-1.0, 0.0]), (3, [0.0, 0.0]), (4, [0.3, -2.0])], "id long, features array<float>")
+    items = spark.createDataFrame(vectors, "id long, features array<float>")
+    want = {}
+    for u in users.collect():
+        scored = sorted((-round(sum(x * y for x, y in zip(u["features"], v, strict=True)), 9), i) for i, v in vectors)
+        want[u["id"]] = [i for _, i in scored[:top]]
+    for cells in (1 << 24, 300, 64, 9):
+        rows = recommend.top_n_from_factors(users, items, n, max_cells=cells).orderBy("r", "rank").collect()
+        got = {}
+        for r in rows:
+            got.setdefault(r["r"], []).append(r["q"])
+        assert got == want, cells
+
+
+def test_blocks_under_the_bound_are_left_out(spark):
+    users = spark.createDataFrame([(1, 1.0, [1.0]), (2, 1.0, [1.0]), (3, 10.0, [10.0]), (4, 1.0, [1.0])], "a long, norm double, features array<double>")
+    first = spark.createDataFrame([(1, 9.0, 1), (1, 8.0, 2), (2, 9.0, 1), (2, 4.0, 2), (3, 90.0, 1), (3, 1.0, 2), (4, 9.0, 1)], "r long, v double, rank int")
+    norms = [9.0, 7.0, 5.0, 4.0, 2.0, 1.0]
+    need = {r["a"]: r["need"] for r in recommend.blocks_needed(users, first, norms, 2).collect()}
+    assert need == {1: 0, 2: 3, 3: 5, 4: 5}  # 4 equals the bound of the third, a short list needs all
+
+
+def test_bounds_in_steps_leave_out_no_block_that_is_needed(spark, monkeypatch):
+    monkeypatch.setattr(recommend, "BOUND_STEPS", 2)
+    users = spark.createDataFrame([(i, 1.0, [1.0]) for i in range(8)], "a long, norm double, features array<double>")
+    first = spark.createDataFrame([(i, float(i), 1) for i in range(8)], "r long, v double, rank int")
+    norms = [9.0, 6.5, 5.5, 4.5, 3.5, 2.5]
+    need = {r["a"]: r["need"] for r in recommend.blocks_needed(users, first, norms, 1).collect()}
+    assert all(need[i] >= sum(b >= i for b in norms[1:]) for i in range(8)) and need[7] == 0 and need[4] == 3
+
+
 def test_label_blocks_hold_every_label(spark):
     labels = spark.createDataFrame([(1, i) for i in range(0, 50, 2)] + [(2, 7), (2, 7)], "entity long, item_id long")
     index = spark.createDataFrame([(i, i) for i in range(60)], "id long, idx int")
