@@ -90,6 +90,24 @@ def test_stream_equals_batch(spark, T):
     assert got == [("1", 14, 2, 7.0), ("2", 6, 2, 3.0), ("3", 14, 2, 7.0), ("4", 4, 1, 4.0)]
 
 
+def test_stream_in_batches_and_a_repeated_batch(spark, tmp_path):
+    """A song that later files change has its latest row; a batch written twice counts once."""
+    from playlens.streaming.play_stats import read_song_play_mean, start_song_play_mean
+    src, out, ckpt = (str(tmp_path / d) for d in ("in", "out", "ckpt"))
+    (tmp_path / "in").mkdir()
+    for i, text in enumerate(("1\t7\t2\n1\t8\t4\n", "2\t7\t4\n", "3\t9\t1\n")):
+        (tmp_path / "in" / f"{i}.txt").write_text(text)
+    start_song_play_mean(spark, src, out, ckpt, files_per_batch=1).awaitTermination()
+    want = [("7", 6, 2, 3.0), ("8", 4, 1, 4.0), ("9", 1, 1, 1.0)]
+    assert rows_of(read_song_play_mean(spark, out), "id", "total_play", "occurrence", "mean") == want
+    assert {p.name for p in (tmp_path / "out").glob("epoch=*")} == {"epoch=0", "epoch=1", "epoch=2"}
+    sizes = [spark.read.parquet(f"{out}/epoch={i}").count() for i in range(3)]
+    assert sum(sizes) == 4  # only the songs that a batch changed
+    (tmp_path / "in" / "3.txt").write_text("4\t9\t5\n")  # after a restart the counts go on
+    start_song_play_mean(spark, src, out, ckpt, files_per_batch=1).awaitTermination()
+    assert ("9", 6, 2, 3.0) in rows_of(read_song_play_mean(spark, out), "id", "total_play", "occurrence", "mean")
+
+
 def test_ragged_bounds_with_gaps(spark):
     from playlens.operators.catalogue import ragged_bounds, ragged_slice
     offsets = spark.createDataFrame([(0, 0), (2, 2), (5, 4)], "song_idx long, idx long")
