@@ -100,8 +100,14 @@ def _virtual(spark, sf, which, agg="normalized_avg"):
     return groups.virtual_users(_group_plays(spark, sf), agg, None, which)
 
 
+def _kept_group_plays(spark, sf):
+    """The group plays of a kNN query, written once for its weights and its labels."""
+    return _memo(("group plays", sf), lambda: _group_plays(spark, sf).checkpoint(eager=True))
+
+
 def _labels(spark, sf):
-    test = _virtual(spark, sf, "test")
+    kept = ("group plays", sf) in (getattr(_LOCAL, "memo", None) or {})
+    test = groups.virtual_users(_kept_group_plays(spark, sf), "normalized_avg", None, "test") if kept else _virtual(spark, sf, "test")
     return test.filter(F.col("score") != 0).select(F.col("group_id").alias("entity"), "item_id")
 
 
@@ -110,7 +116,11 @@ def _entities(spark, sf):
 
 
 def _knn_weights(spark, sf):
-    return similarity.log1p_weights(_virtual(spark, sf, "train"))
+    """Weights of the virtual train users, written once: norms, products and played items read them."""
+    def build():
+        train = groups.virtual_users(_kept_group_plays(spark, sf), "normalized_avg", None, "train")
+        return similarity.log1p_weights(train).checkpoint(eager=True)
+    return _memo(("knn weights", sf), build)
 
 
 def _neighbours(spark, sf):
