@@ -2,11 +2,12 @@
 copies that follow the tile's side, no join on a frequent key."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from playlens.operators import preference
-from playlens.operators.sparse_product import sparse_product, tile_counts, tile_entries
+from playlens.operators.sparse_product import _row_block, row_block_entries, sparse_product, tile_counts, tile_entries
 
 
 def _entries(seed=3, rows=60, keys=40):
@@ -96,3 +97,53 @@ def test_user_similarity_in_blocks_of_a_large_user(spark, block_songs):
     n = np.sqrt((v * v).sum(axis=1))
     assert set(got) == set(ids)
     assert all(abs(got[a, b] - v[a] @ v[b] / (n[a] * n[b])) < 1e-12 for a, b in ids)
+
+
+@pytest.mark.parametrize("exclude", [None, "self", "x_support"])
+@pytest.mark.parametrize("top", [None, 5])
+def test_row_blocks_give_the_cells_of_tiles(spark, exclude, top):
+    if top is None and exclude:
+        pytest.skip("all cells are asked for without exclusion")
+    m = _entries(seed=9)
+    x, y = _tables(spark, m)
+
+    def rows(**kw):
+        out = sparse_product(x, y, k=top, exclude=exclude, max_cells=40, **kw)
+        return sorted(tuple(r[c] for c in ("r", "q", "v", *(("rank",) if top else ()))) for r in out.collect())
+
+    assert rows(row_entries=150) == rows(row_entries=0) != []  # 0: no number of blocks fits, tiles are left
+
+
+def test_row_blocks_take_a_key_once_for_each_block(spark):
+    m = _entries()
+    x, y = _tables(spark, m)
+    xs = x.select(F.col("r").alias("a"), "t", F.col("x").alias("v"))
+    ys = y.select(F.col("q").alias("a"), "t", F.col("y").alias("v"))
+    for size in (4096, 7, 2):  # one list a key, some, and more than are joined
+        rows = row_block_entries(xs, ys, 6, size).collect()
+        assert sorted((r["a"], r["t"], r["v"]) for r in rows if r["qs"] is None) == sorted(tuple(r) for r in xs.collect())
+        used = {(r["I"], r["t"]) for r in rows if r["qs"] is None}
+        got = {}
+        for r in rows:
+            if r["qs"] is not None:
+                got.setdefault((r["I"], r["t"]), []).extend(zip(r["qs"], r["ys"], strict=True))
+        assert used <= set(got) and (size < 4096 or used == set(got))
+        for (_, t), have in got.items():
+            assert sorted(have) == [(q, m[q, t]) for q in range(len(m)) if m[q, t]]
+
+
+def test_a_row_of_very_many_products_is_summed_in_steps():
+    rng = np.random.default_rng(4)
+    m = rng.integers(0, 3, (5, 30)).astype(float)
+    for far in (1, 1 << 45):  # ids close together, and far apart
+        at = [(int(r), int(t)) for r, t in zip(*np.nonzero(m), strict=True)]
+        lists = [[int(q) for q in range(5) if m[q, t]] for t in range(30)]
+        own = pa.RecordBatch.from_pydict({"t": [t for _, t in at], "a": [r * far for r, _ in at], "v": [m[r, t] for r, t in at],
+                                          "qs": pa.nulls(len(at), pa.list_(pa.int64())), "ys": pa.nulls(len(at), pa.list_(pa.float64()))})
+        packed = pa.RecordBatch.from_pydict({"t": list(range(30)), "a": pa.nulls(30, pa.int64()), "v": pa.nulls(30, pa.float64()),
+                                             "qs": pa.array([[q * far for q in ids] for ids in lists], pa.list_(pa.int64())),
+                                             "ys": pa.array([[m[q, t] for q in ids] for t, ids in enumerate(lists)], pa.list_(pa.float64()))})
+        full = m @ m.T
+        for step in (1, 7, 40, 10 ** 6):
+            got = {(r, q): v for b in _row_block(iter([own, packed]), None, None, step) for r, q, v in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+            assert got == {(r * far, q * far): full[r, q] for r in range(5) for q in range(5) if full[r, q]}
