@@ -84,3 +84,30 @@ def test_cancelling_sums_and_ties_however_tiled(spark, tiling):
     top = sorted((r["r"], r["rank"], r["q"]) for r in sparse_product(x, y, k=2, **tiling).collect())
     assert top == [(1, 1, 3), (1, 2, 5), (2, 1, 3), (2, 2, 5)]
     assert sorted((r["r"], r["q"]) for r in sparse_product(x, y, **tiling).collect()) == [(1, 3), (1, 5), (2, 3), (2, 5)]
+
+
+def test_one_list_a_set_writes_no_list_for_an_entity(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = sorted({(u, rng.randrange(30)) for u in range(12) for _ in range(14)} | {(50, 3)})  # 50 has rows in one fold alone
+    folded = spark.createDataFrame([(u, i, rng.randrange(1, 9), (u + i) % 3) for u, i in rows], "entity long, item_id long, score int, fold int")
+
+    def fit(train, by):  # the same lists, as a fit that makes them for every entity
+        return tuning.popular_lists(7)(train, by)
+
+    long = {(r["fold"], r["param_id"]): (r["map"], r["mpr"]) for r in tuning.cross_validate(folded, ("occ", "tot"), n=7, fit=fit).collect()}
+    monkeypatch.setattr(tuning, "lists_of_sets", None)
+    got = {(r["fold"], r["param_id"]): (r["map"], r["mpr"]) for r in tuning.cross_validate(folded, ("occ", "tot"), n=7, fit=tuning.popular_lists(7)).collect()}
+    assert set(got) == set(long) and len(got) == 6
+    assert all(got[k] == pytest.approx(long[k], abs=1e-12) for k in got)
+
+
+def test_written_lists_of_sets_are_scored_by_their_hits(spark):
+    rng = random.Random(3)
+    recs = spark.createDataFrame([(p, e, k + 1, i) for p in (0, 1) for e in range(8) for k, i in enumerate(rng.sample(range(40), 12))],
+                                 "param_id int, entity long, rank int, item_id long")
+    labels = spark.createDataFrame([(e, rng.randrange(40)) for e in (0, 1, 2, 3, 4, 5, 99) for _ in range(9)], "entity long, item_id long")
+    got = {r["param_id"]: r for r in metrics.evaluate_sets(recs, labels, ["param_id"]).collect()}
+    for p in (0, 1):
+        want = metrics.ranking_metrics(recs.filter(F.col("param_id") == p), labels).first()
+        for c in want.asDict():
+            assert got[p][c] == pytest.approx(want[c], abs=1e-12)
