@@ -147,14 +147,20 @@ def pad_lists(lists: DataFrame, played: DataFrame, items: DataFrame, n: int) ->
     return lists.select("row", "rank", "item_id", "score").unionByName(added)
 
 
-#: Ratings of one ALS block: what a task of an iteration holds.
+#: Ratings of one ALS block by which a fit is cut into as many blocks as there are cores,
+#: and what a task of an iteration holds at most (24 bytes each).
 BLOCK_RATINGS = 200_000
+MOST_BLOCK_RATINGS = 4_000_000
 
 
 def als_blocks(ratings: DataFrame) -> int:
     """User and item blocks for ALS, by the number of ratings (one scalar): a small fit
-    isn't cut into tasks that wait for each other, a large one has bounded blocks."""
-    return max(1, math.ceil(ratings.count() / BLOCK_RATINGS))
+    isn't cut into tasks that wait for each other, a large one has bounded blocks. Every
+    iteration sends a factor to each block that uses it, so there are no more blocks than
+    cores until the blocks would be too large."""
+    n = ratings.count()
+    cores = ratings.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(math.ceil(n / BLOCK_RATINGS), cores), math.ceil(n / MOST_BLOCK_RATINGS))
 
 
 def train_als(ratings: DataFrame, rank: int = 10, reg: float = 0.1, alpha: float = 0.01,
@@ -170,30 +176,44 @@ def train_als(ratings: DataFrame, rank: int = 10, reg: float = 0.1, alpha: float
                                   F.col("rating").cast("float").alias("rating")))
 
 
+#: Scores a task holds at a time: a tile is worked off by some users after the others.
+PASS_CELLS = 1 << 21
+
+
 def _tile_top_n(pdf: pd.DataFrame, n: int) -> pd.DataFrame:
-    """Scores of one (user block, item block) tile and each user's n best items in it."""
+    """Scores of one (user block, item block) tile and each user's n best items in it,
+    without those ranked under ``nth``, the score of n better ones where it is known."""
     users = pdf[pdf["side"] == 0]
     items = pdf[pdf["side"] == 1]
+    none = pd.DataFrame({"r": pd.Series([], dtype="int64"), "q": pd.Series([], dtype="int64"),
+                         "v": pd.Series([], dtype="float64")})
     if users.empty or items.empty:
-        return pd.DataFrame({"r": pd.Series([], dtype="int64"), "q": pd.Series([], dtype="int64"),
-                             "v": pd.Series([], dtype="float64")})
+        return none
     u = np.stack(users["features"].to_numpy()).astype(np.float64)
     v = np.stack(items["features"].to_numpy()).astype(np.float64)
     uid = users["a"].to_numpy(np.int64)
     iid = items["a"].to_numpy(np.int64)
-    scores = u @ v.T
-    k = min(n, scores.shape[1])
-    # Everything at or above each row's k-th best rank key (ties kept, cut later).
-    keys = np.rint(scores * 10.0 ** TIE_DIGITS)
-    kth = np.partition(keys, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-    rows, cols = np.nonzero(keys >= kth[:, None])
-    vals = scores[rows, cols]
-    order = np.lexsort((iid[cols], -keys[rows, cols], rows))
-    rows, cols, vals = rows[order], cols[order], vals[order]
-    first = np.r_[0, np.flatnonzero(np.diff(rows)) + 1]
-    pos = np.arange(rows.size) - np.repeat(first, np.diff(np.r_[first, rows.size]))
-    keep = pos < k
-    return pd.DataFrame({"r": uid[rows[keep]], "q": iid[cols[keep]], "v": vals[keep]})
+    known = users["nth"].to_numpy(np.float64) if "nth" in users else np.full(len(uid), np.nan)
+    least = np.where(np.isnan(known), -np.inf, np.rint(known * 10.0 ** TIE_DIGITS))
+    k = min(n, len(iid))
+    step = max(1, PASS_CELLS // len(iid))
+    parts = []
+    for lo in range(0, len(uid), step):
+        scores = u[lo:lo + step] @ v.T
+        # Everything at or above each row's k-th best rank key (ties kept, cut later).
+        keys = np.rint(scores * 10.0 ** TIE_DIGITS)
+        kth = np.partition(keys, len(iid) - k, axis=1)[:, len(iid) - k]
+        rows, cols = np.nonzero(keys >= np.maximum(kth, least[lo:lo + step])[:, None])
+        if not rows.size:
+            continue
+        vals = scores[rows, cols]
+        order = np.lexsort((iid[cols], -keys[rows, cols], rows))
+        rows, cols, vals = rows[order], cols[order], vals[order]
+        first = np.r_[0, np.flatnonzero(np.diff(rows)) + 1]
+        pos = np.arange(rows.size) - np.repeat(first, np.diff(np.r_[first, rows.size]))
+        keep = pos < k
+        parts.append(pd.DataFrame({"r": uid[lo + rows[keep]], "q": iid[cols[keep]], "v": vals[keep]}))
+    return pd.concat(parts, ignore_index=True) if parts else none
 
 
 def _norm(col: str) -> Column:
@@ -206,7 +226,7 @@ BOUND_STEPS = 1024
 
 def blocks_needed(users: DataFrame, first: DataFrame, block_norms: list[float], n: int) -> DataFrame:
     """``users`` (a, norm, features) with ``need``: how many of the blocks 1, 2, ... can
-    still hold one of a user's n best items.
+    still hold one of a user's n best items, and ``nth``: the user's n-th score so far.
 
     ``first`` (r, v, rank) are the lists from block 0, ``block_norms`` the largest norm of
     each block, descending. By Cauchy-Schwarz no item of a block scores above the user's
@@ -219,31 +239,38 @@ def blocks_needed(users: DataFrame, first: DataFrame, block_norms: list[float],
     last = first.filter(F.col("rank") == n).select(F.col("r").alias("a"), F.col("v").alias("nth"))
     reach = F.size(F.filter(bounds, lambda b: b * F.col("norm") * F.lit(1 + 1e-9) + F.lit(2 * 10.0 ** -TIE_DIGITS) >= F.col("nth")))
     need = F.when(F.col("nth").isNull(), F.lit(len(rest))).otherwise(F.least(reach * F.lit(step), F.lit(len(rest))))
-    return users.join(last, "a", "left").select("a", "norm", "features", need.cast("long").alias("need"))
+    return users.join(last, "a", "left").select("a", "norm", "features", need.cast("long").alias("need"), "nth")
+
+
+#: Sides of square tiles of factors in units of the root of ``max_cells``.
+WIDE = 4
 
 
 def top_n_from_factors(user_factors: DataFrame, item_factors: DataFrame, n: int = 20,
                        max_cells: int = 1 << 24) -> DataFrame:
     """(r, q, v, rank): the n best items per user by factor dot product.
 
-    Users and items are cut into blocks so that a tile (user block, item block) has at
-    most ``max_cells`` scores; one task per tile multiplies its two factor blocks and
-    keeps the n best per user. No keyless join.
+    Users and items are cut into blocks; one task per tile (user block, item block)
+    multiplies its two factor blocks, PASS_CELLS scores at a time, and keeps the n best
+    per user. A tile has at most ``max_cells`` scores, or its square blocks sides of up to
+    WIDE times the root of that. No keyless join.
 
     With one item block its lists are final. Otherwise items are put into square blocks
     by falling norm. Every user meets the block of the largest norms first, and then
-    only the blocks that can still hold one of its n best (``blocks_needed``). Users are
+    only the blocks that can still hold one of its n best (``blocks_needed``), which hand
+    on nothing under the user's n-th score of the first. Users are
     put into blocks by that number, so that an item block is copied only to user blocks
     that ask for it. A ranked window (WindowGroupLimit) takes the final n. The driver
-    holds one norm per item block (items / 4,096 numbers by default).
+    holds one norm per item block (items / 16,384 numbers by default).
     """
     spark = user_factors.sparkSession
     n_users, n_items = user_factors.count(), item_factors.count()
     # All items are one block when a block of at least 256 users still fits
     # ``max_cells`` scores; otherwise tiles are square, which copies least.
-    per_block_items = max(n_items, 1) if n_items <= max(1, max_cells // 256) else max(1, math.isqrt(max_cells))
+    square = n_items > max(1, max_cells // 256)
+    per_block_items = max(1, math.isqrt(max_cells)) * WIDE if square else max(n_items, 1)
     nb_i = max(1, math.ceil(n_items / per_block_items))
-    users_per_block = max(1, max_cells // per_block_items)
+    users_per_block = per_block_items if square else max(1, max_cells // per_block_items)
     nb_u = max(1, math.ceil(n_users / users_per_block))
     if nb_i == 1:
         nb_u = max(nb_u, spark.sparkContext.defaultParallelism)
@@ -259,8 +286,9 @@ def top_n_from_factors(user_factors: DataFrame, item_factors: DataFrame, n: int
         return out
 
     def tiles(u: DataFrame, v: DataFrame) -> DataFrame:
-        both = (u.select("ub", "ib", F.lit(0).alias("side"), "a", "features")
-                 .unionByName(v.select("ub", "ib", F.lit(1).alias("side"), "a", "features")))
+        known = (F.col("nth") if "nth" in u.columns else F.lit(None)).cast("double").alias("nth")
+        both = (u.select("ub", "ib", F.lit(0).alias("side"), "a", "features", known)
+                 .unionByName(v.select("ub", "ib", F.lit(1).alias("side"), "a", "features", F.lit(None).cast("double").alias("nth"))))
         return both.groupBy("ub", "ib").applyInPandas(run, "r long, q long, v double, rank int")
 
     only = F.lit(0).cast("long").alias("ib")
@@ -273,7 +301,7 @@ def top_n_from_factors(user_factors: DataFrame, item_factors: DataFrame, n: int
                   placed.filter(F.col("ib") == 0).select("a", "features", every_user_block, "ib")).checkpoint(eager=True)
     asking = blocks_needed(users.withColumn("norm", _norm("features")), first, norms, n).filter(F.col("need") > 0)
     dealt = (global_index(asking.withColumn("fall", -F.col("need")), ["fall", "a"], "idx")
-             .select("a", "features", F.expr(f"idx div {users_per_block}").alias("ub"),
+             .select("a", "features", "nth", F.expr(f"idx div {users_per_block}").alias("ub"),
                      F.explode(F.sequence(F.lit(1).cast("long"), F.col("need"))).alias("ib")))
     more = tiles(dealt, placed.join(dealt.select("ub", "ib").distinct(), "ib"))
     return top_k_per_row(first.drop("rank").unionByName(more.drop("rank")), n)

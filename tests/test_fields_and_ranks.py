@@ -4,6 +4,7 @@ import hashlib
 import random
 from bisect import bisect_right
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,3 +123,18 @@ def test_label_blocks_hold_every_label(spark):
     assert max(len(r["items"]) for r in rows) <= 8 and all(r["n"] == len(r["items"]) for r in rows)
     lists = {e: [i for r in sorted((r for r in rows if r["entity"] == e), key=lambda r: r["block"]) for i in r["items"]] for e in (1, 2)}
     assert lists == {1: list(range(0, 50, 2)), 2: [7]}
+
+
+def test_tiles_hand_on_nothing_under_the_known_scores(monkeypatch):
+    monkeypatch.setattr(recommend, "PASS_CELLS", 10)
+    vectors = [(0, 1, [1.0], 3.0), (0, 2, [2.0], float("nan")), (0, 3, [1.0], 9.5)] + [(1, i, [float(i)], float("nan")) for i in range(6)]
+    tile = pd.DataFrame(vectors, columns=["side", "a", "features", "nth"])
+    out = recommend._tile_top_n(tile, 4)
+    assert out.values.tolist() == [[1, 5, 5], [1, 4, 4], [1, 3, 3], [2, 5, 10], [2, 4, 8], [2, 3, 6], [2, 2, 4]]
+
+
+def test_als_has_no_more_blocks_than_cores_until_they_are_large(spark, monkeypatch):
+    monkeypatch.setattr(recommend, "BLOCK_RATINGS", 10)
+    monkeypatch.setattr(recommend, "MOST_BLOCK_RATINGS", 1000)
+    cores = spark.sparkContext.defaultParallelism
+    assert [recommend.als_blocks(spark.range(n)) for n in (5, 25, 9000, 900 * cores, 2000 * cores)] == [1, 3, max(9, cores), cores, 2 * cores]
