@@ -72,7 +72,20 @@ def query(name: str):
 # ---------------------------------------------------------------- shared inputs
 
 def _plays(spark, sf):
-    return fx.plays(spark, sf)
+    kept = (getattr(_LOCAL, "memo", None) or {}).get(("plays", sf))
+    return fx.plays(spark, sf) if kept is None else kept
+
+
+def _written(spark, name, df):
+    """``df`` written once to the scratch folder, compressed and by columns, and read back."""
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _keep_plays(spark, sf):
+    """The plays of a query that reads them several times, joined and summed once."""
+    return _memo(("plays", sf), lambda: _written(spark, "plays", fx.plays(spark, sf)))
 
 
 def _item_stats(spark, sf):
@@ -101,8 +114,11 @@ def _virtual(spark, sf, which, agg="normalized_avg"):
 
 
 def _kept_group_plays(spark, sf):
-    """The group plays of a kNN query, written once for its weights and its labels."""
-    return _memo(("group plays", sf), lambda: _group_plays(spark, sf).checkpoint(eager=True))
+    """The group plays of a query, written once for its train side and its labels."""
+    def build():
+        _keep_plays(spark, sf)
+        return _written(spark, "group-plays", _group_plays(spark, sf))
+    return _memo(("group plays", sf), build)
 
 
 def _labels(spark, sf):
@@ -146,6 +162,7 @@ def _random_recs(spark, sf, n):
 
 
 def _als_model(spark, sf):
+    _keep_plays(spark, sf)
     train = _virtual(spark, sf, "train").select(F.col("group_id").alias("row"), F.col("item_id").alias("item"),
                                                 F.col("score").alias("rating")).filter(F.col("rating") != 0)
     return recommend.train_als(train, *ALS_PARAMS)
@@ -193,7 +210,7 @@ def _write_dataset(spark, sf, plays, folder):
 def q_load_dataset(spark, sf):
     """Triplets with the user and song means, all three read from text."""
     folder = scratch_path(spark, "dataset")
-    _write_dataset(spark, sf, _plays(spark, sf), folder)
+    _write_dataset(spark, sf, _keep_plays(spark, sf), folder)
     trip, users, songs = text.load_dataset(spark, folder)
     um = users.select(F.col("id").alias("user_id"), F.col("mean").alias("user_mean"))
     sm = songs.select(F.col("id").alias("item_id"), F.col("mean").alias("song_mean"))
@@ -205,7 +222,7 @@ def q_dataset_views(spark, sf):
     """The three text tables as temporary views, asked in SQL: for each user the
     rows whose count is above the song's mean."""
     folder = scratch_path(spark, "dataset")
-    _write_dataset(spark, sf, _plays(spark, sf), folder)
+    _write_dataset(spark, sf, _keep_plays(spark, sf), folder)
     plays, users, songs = text.register_dataset(spark, folder, "playlens_")
     return spark.sql(f"""SELECT p.user_id, max(u.mean) AS user_mean, count(*) AS n_above, sum(p.play_count) AS plays_above
                          FROM {plays} p JOIN {users} u ON p.user_id = u.id JOIN {songs} s ON p.item_id = s.id
@@ -575,9 +592,9 @@ def q_virtual_users_wide(spark, sf):
 @query("virtual_user_blocks")
 def q_virtual_user_blocks(spark, sf):
     """Virtual users as a group x song table over all songs, in non-empty blocks."""
-    songs = indexing.index_ids(_plays(spark, sf), "item_id")
-    blocks = groups.virtual_user_blocks(_virtual(spark, sf, "train"), songs)
-    return blocks.withColumn("scores", F.transform("scores", lambda x: F.round(x, 6)))
+    songs = indexing.index_ids(_keep_plays(spark, sf), "item_id")
+    # rounded before the zeros are filled in, a thousand for each score
+    return groups.virtual_user_blocks(_virtual(spark, sf, "train").withColumn("score", F.round("score", 6)), songs)
 
 
 @query("virtual_train_test")
@@ -743,12 +760,14 @@ def q_evaluate_knn_padded(spark, sf):
 
 @query("evaluate_popular")
 def q_evaluate_popular(spark, sf):
+    _keep_plays(spark, sf)
     ranked = recommend.top_items(_item_stats(spark, sf), "occ", max(metrics.N_LIST))
     return metrics.evaluate_same_list(ranked, _entities(spark, sf), _labels(spark, sf))
 
 
 @query("evaluate_random")
 def q_evaluate_random(spark, sf):
+    _keep_plays(spark, sf)
     ranked = recommend.random_items(_item_stats(spark, sf), max(metrics.N_LIST), SEED)
     return metrics.evaluate_same_list(ranked, _entities(spark, sf), _labels(spark, sf))
 
@@ -775,15 +794,20 @@ def q_recommend_als(spark, sf):
     return recommend.recommend_als(_als_model(spark, sf), TOP_N)
 
 
+def _als_train(spark, sf):
+    """Virtual train users out of the written group plays, which the labels read too."""
+    return groups.virtual_users(_kept_group_plays(spark, sf), "normalized_avg", None, "train")
+
+
 @query("evaluate_als")
 def q_evaluate_als(spark, sf):
-    train = _virtual(spark, sf, "train").withColumnRenamed("group_id", "entity")
+    train = _als_train(spark, sf).withColumnRenamed("group_id", "entity")
     return tuning.evaluate_als(train, _labels(spark, sf), *ALS_PARAMS, ns=[TOP_N])
 
 
 @query("evaluate_als_sweep")
 def q_evaluate_als_sweep(spark, sf):
-    train = _virtual(spark, sf, "train").withColumnRenamed("group_id", "entity")
+    train = _als_train(spark, sf).withColumnRenamed("group_id", "entity")
     return tuning.evaluate_als(train, _labels(spark, sf), *ALS_PARAMS)
 
 
@@ -818,13 +842,13 @@ POPULAR_GRID = ("occ", "tot", "mean")
 
 
 def _cv_popular(spark, sf):
-    folded = split.cv_folds(_plays(spark, sf), 5, SEED)
+    folded = split.cv_folds(_keep_plays(spark, sf), 5, SEED)
     cells = folded.select(F.col("user_id").alias("entity"), "item_id", F.col("play_count").alias("score"), "fold")
     return tuning.cross_validate(cells, POPULAR_GRID, n=200, cv=5, fit=tuning.popular_lists(200))
 
 
 def _grid_scan(spark, sf, grid=CV_GRID):
-    train = _virtual(spark, sf, "train").withColumnRenamed("group_id", "entity")
+    train = _als_train(spark, sf).withColumnRenamed("group_id", "entity")
     return tuning.grid_scan(train, _labels(spark, sf), grid, 200)
 
 
@@ -976,7 +1000,7 @@ def _terms(spark, sf):
 
 @query("artist_terms")
 def q_artist_terms(spark, sf):
-    t = _terms(spark, sf)
+    t = _written(spark, "terms", _terms(spark, sf))
     return catalogue.artist_terms(t.select("track_id", "pos", "term"), t.select("track_id", "pos", "freq"),
                                   t.select("track_id", "pos", "weight"))
 

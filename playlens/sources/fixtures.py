@@ -110,7 +110,8 @@ def document_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     in the document, weight = count / largest count in the document,
     pos = 0-based rank by (count desc, term).
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # texts are dealt by document once; counts and ranks then need no other exchange
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
     words = docs.select("doc_id", F.explode(F.split(F.lower("text"), r"\W+")).alias("term")) \
                 .filter(F.col("term") != "")
     counts = words.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("cnt"))
