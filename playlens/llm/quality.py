@@ -8,9 +8,11 @@ by a sorted merge and gives every whole text its perplexity per character. Per
 language, a text above a quantile of the perplexity of trusted texts that the
 model was not trained on is rejected.
 
-Training takes at most ``max_docs`` trusted rows per language, whole texts of any
-length (a bounded sample, by hash of the id); thresholds use all other trusted
-rows, and scores cover every text in full. A language with
+Four in five trusted rows (by hash of the id) train the model, whole texts of any
+length; ``max_docs`` can bound their number per language, which by default nothing
+does. Thresholds use all other trusted rows: a model knows the texts it was trained
+on, so these can't say how new good text scores. Scores cover every text in full. A
+language with
 fewer than ``min_support`` such rows uses the threshold of all languages
 together.
 
@@ -39,7 +41,7 @@ from playlens.llm.sampling import bounded_sample
 @dataclass(frozen=True)
 class QualitySpec:
     order: int = 4  # at most 4: a character takes 16 of a key's 64 bits
-    max_docs: int = 2000
+    max_docs: int | None = None
     quantile: float = 0.998
     min_support: int = 50
     shards: int = 8
@@ -263,11 +265,10 @@ def classify(docs: DataFrame, labels: DataFrame, spec: QualitySpec | None = None
     trusted = stored(trusted_ids(docs, labels, id_col, lang_col), "trusted")
     # a fifth of the trusted rows, at least, never trains the model
     may_train = trusted.where(F.pmod(F.xxhash64(F.lit("fit"), "id"), F.lit(5)) != 0)
-    fit = stored(bounded_sample(may_train, "lang", "id", spec.max_docs), "trusted-sample")
-    sample = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-                  .join(F.broadcast(fit.select("id").distinct()), "id", "left_semi")  # at most max_docs ids per language
-                  .select("text"))
-    folder = train(sample, spec)
+    fit = stored(may_train if spec.max_docs is None else bounded_sample(may_train, "lang", "id", spec.max_docs), "trusted-fit")
+    texts = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+                 .join(fit.select("id").distinct(), "id", "left_semi").select("text"))
+    folder = train(texts, spec)
     passed = list(dict.fromkeys([id_col, lang_col, *([text_col] if text_col in cols else []), "rest"]))
     said = F.length(text_col) > 0
     every = with_perplexity(docs, folder, spec, text_col, "__ppl").select(*passed, "__ppl", said.alias("__said"))
@@ -284,7 +285,7 @@ def classify(docs: DataFrame, labels: DataFrame, spec: QualitySpec | None = None
     seen = held.select("lang", "__ppl")
     q = F.percentile_approx("__ppl", spec.quantile, 10_000)
     per_lang = seen.groupBy("lang").agg(q.alias("t"), F.count(F.lit(1)).alias("n"))
-    # All languages together; where every trusted row went into the sample, the sample's own.
+    # All languages together; where every trusted row trains, those rows' own.
     pooled = seen.agg(q.alias("t")).first()["t"]
     if pooled is None:
         inside = scored.where("__ppl is not null").join(fit.select(F.col("id").alias(id_col)).distinct(), id_col, "left_semi")

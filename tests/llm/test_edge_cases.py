@@ -136,3 +136,14 @@ def test_pipeline_stages_on_odd_rows(spark):
     last = p.STAGES[-1][1]
     assert last(spark, docs, SMALL).columns == ["doc_id", "source", "lang", "topic", "n_tokens", "probability"]
     assert last(spark, docs.limit(0), SMALL).count() == 0
+
+
+def test_every_trusted_row_that_may_train_does(spark, monkeypatch):
+    from playlens.llm import quality
+    rows = [(i, f"word{i} and some more text {i}", "en") for i in range(2600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic")
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda texts, spec: seen.append(texts.count()))
+    quality.classify(docs, labels)
+    assert seen == [docs.where("pmod(xxhash64('fit', doc_id), 5) != 0").count()] and seen[0] > 2000
