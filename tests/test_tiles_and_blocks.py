@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from playlens.operators import preference
-from playlens.operators.sparse_product import _row_block, row_block_entries, sparse_product, tile_counts, tile_entries
+from playlens.operators.sparse_product import (_row_block, read_lists, row_block_entries, sparse_product, tile_counts,
+                                               tile_entries, write_lists)
 
 
 def _entries(seed=3, rows=60, keys=40):
@@ -147,3 +148,39 @@ def test_a_row_of_very_many_products_is_summed_in_steps():
         for step in (1, 7, 40, 10 ** 6):
             got = {(r, q): v for b in _row_block(iter([own, packed]), None, None, step) for r, q, v in zip(*(c.to_pylist() for c in b.columns), strict=True)}
             assert got == {(r * far, q * far): full[r, q] for r in range(5) for q in range(5) if full[r, q]}
+
+
+@pytest.mark.parametrize("exclude", [None, "self", "x_support"])
+@pytest.mark.parametrize("top", [None, 5])
+def test_stored_lists_give_the_cells_of_copied_ones(spark, exclude, top):
+    m = _entries(seed=9)
+    x, y = _tables(spark, m)
+    full = m @ m.T
+    if exclude == "self":
+        np.fill_diagonal(full, 0)
+    elif exclude == "x_support":
+        full[:, :40][m > 0] = 0
+
+    def rows(y, **kw):
+        out = sparse_product(x, y, k=top, exclude=exclude, max_cells=40, **kw)
+        return sorted(tuple(r[c] for c in ("r", "q", "v", *(("rank",) if top else ()))) for r in out.collect())
+
+    stored = rows(y, row_entries=150, copies=0)
+    assert stored == rows(None, row_entries=150, copies=0) == rows(y, row_entries=150, copies=10 ** 9) == rows(y, row_entries=0) != []
+    if top is None:
+        assert stored == [(int(i), int(j), full[i, j]) for i, j in zip(*np.nonzero(full), strict=True)]
+
+
+@pytest.mark.parametrize("size, entries", [(4096, 1 << 20), (7, 50), (2, 20), (4096, 5)])
+def test_lists_are_written_once_and_read_by_key(spark, size, entries):
+    m = _entries()
+    _, y = _tables(spark, m)
+    ys = y.select(F.col("q").alias("a"), "t", F.col("y").alias("v"))
+    folder, shards = write_lists(ys, ys.count(), size, entries)
+    for keys in (np.arange(40), np.array([0, 7, 39]), np.array([-5, 100])):
+        got = {}
+        for b in read_lists(folder, shards, keys):
+            for t, qs, vs in zip(*(b.column(c).to_pylist() for c in ("t", "qs", "ys")), strict=True):
+                got.setdefault(t, []).extend(zip(qs, vs, strict=True))
+        want = {int(t): [(q, m[q, t]) for q in range(len(m)) if m[q, t]] for t in keys if 0 <= t < 40}
+        assert {t: sorted(v) for t, v in got.items()} == {t: v for t, v in want.items() if v}
