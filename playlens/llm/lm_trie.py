@@ -102,6 +102,38 @@ def _words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(h), np.concatenate(n)
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``np.unique`` with the inverse, by a hash table: only distinct values are sorted."""
+    codes = pa.array(x).dictionary_encode()
+    values = codes.dictionary.to_numpy()
+    order = np.argsort(values)
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    return values[order], place[codes.indices.to_numpy()]
+
+
+def _order(x: np.ndarray) -> np.ndarray:
+    """The places of ``x`` in ascending order, equal values by place: one plain sort of the
+    values with their places where both fit in 64 bits, several times faster than argsort."""
+    bits = max(len(x) - 1, 1).bit_length()
+    if not len(x) or (int(x.max()) - int(x.min())).bit_length() + bits > 64:
+        return np.argsort(x, kind="stable")
+    both = (x - x.min()).astype(np.uint64) << np.uint64(bits)
+    both |= np.arange(len(x), dtype=np.uint64)
+    both.sort()
+    return (both & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def _unique(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``np.unique`` with the inverse, by ``_order``."""
+    order = _order(x)
+    x = x[order]
+    new = np.concatenate([np.ones(min(1, len(x)), bool), x[1:] != x[:-1]])
+    back = np.empty(len(x), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return x[new], back
+
+
 @dataclass
 class Trie:
     """What a task needs to open the shards: a folder and one entry per shard."""
@@ -163,7 +195,7 @@ class Trie:
         """(ids with one beginning and end per text, -1 unknown; places of the
         tokens; tokens per text; sorted distinct hashes' ids; their place per word)."""
         h, n = _words(col)
-        distinct, back = np.unique(h, return_inverse=True)
+        distinct, back = _distinct(h)
         known = self.word_ids(distinct)
         first = np.cumsum(n + 2) - (n + 2)
         seq = np.empty(len(h) + 2 * len(n), np.int64)
@@ -239,14 +271,14 @@ class Trie:
         nodes of ``level`` - 1: without context for level 2, after the node's last
         word for level 3."""
         def unigram(w):
-            u, back = np.unique(w, return_inverse=True)
+            u, back = _unique(w)
             return self.unigram_log10(self.counts(u))[back]
 
         if level == 2:
             return unigram(word)
-        nodes, at = np.unique(ctx, return_inverse=True)
+        nodes, at = _unique(ctx)
         last = self.node_word(nodes)[at]
-        keys, at = np.unique(last.astype(np.uint64) * np.uint64(self.ids) + word.astype(np.uint64), return_inverse=True)
+        keys, at = _unique(last.astype(np.uint64) * np.uint64(self.ids) + word.astype(np.uint64))
         node = self.find(2, keys)
         p = np.full(len(keys), np.nan)
         p[node >= 0] = self.stored(2, "prob", node[node >= 0])
@@ -258,7 +290,7 @@ class Trie:
 
     def gathered(self, level: int, name: str, nodes: np.ndarray, file_level: int | None = None) -> np.ndarray:
         """``stored`` for nodes in any order, -1 giving 0."""
-        u, back = np.unique(nodes, return_inverse=True)
+        u, back = _unique(nodes)
         ok = u >= 0
         values = np.zeros(len(u))
         values[ok] = self.stored(level, name, u[ok], file_level)
@@ -285,7 +317,7 @@ class Trie:
             place, ctx = place[ask], ctx[ask]
             keys = ctx.astype(np.uint64) * np.uint64(self.ids) + seq[place].astype(np.uint64)
             if level == 2 or level < last:
-                order = np.argsort(keys)
+                order = _order(keys)
                 place, keys = place[order], keys[order]
             if level == last:  # few repeats: each place by itself, in the order of the contexts
                 at = self.find(level, keys)
@@ -366,9 +398,11 @@ def _count_level(level: int, base: np.ndarray, shared):
                 ask = np.flatnonzero((ctx >= 0) & (seq >= 0))
                 keys = ctx[ask].astype(np.uint64) * np.uint64(t.ids) + seq[ask].astype(np.uint64)
                 if k < level:
-                    u, back = np.unique(keys, return_inverse=True)
+                    order = _order(keys)
+                    keys, ask = keys[order], ask[order]
+                    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
                     node = np.full(len(seq), -1, np.int64)
-                    node[ask] = t.find(k, u)[back]
+                    node[ask] = np.repeat(t.find(k, keys[first]), np.diff(np.append(first, len(keys))))
             yield from held.add(keys)
         yield from held.send()
 

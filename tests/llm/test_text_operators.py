@@ -466,3 +466,14 @@ def test_keep_one_decides_each_row_of_a_repeated_id(spark):
     key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
     want = [rows[k] for k in (1, 2, 3, 5, 6, 7, 9)]
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+
+
+def test_order_and_unique_of_the_trie_are_numpys():
+    from playlens.llm.lm_trie import _distinct, _order, _unique
+    rng = np.random.default_rng(6)
+    for x in (rng.integers(0, 50, 300).astype(np.uint64), rng.integers(-1, 9, 40), rng.integers(0, 2 ** 63, 300).astype(np.uint64) * np.uint64(2),
+              np.array([2 ** 64 - 1, 0, 2 ** 64 - 1], np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.array([5])):
+        assert _order(x).tolist() == np.argsort(x, kind="stable").tolist()
+        for f in (_unique, _distinct):
+            for mine, numpys in zip(f(x), np.unique(x, return_inverse=True), strict=True):
+                assert mine.tolist() == numpys.tolist()
