@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from playlens.session import ensure_checkpoint_dir
@@ -58,14 +58,16 @@ HEAD_DIGITS = 3
 
 def rank_within(df: DataFrame, group_cols: Sequence[str], key_col: str,
                 tie_cols: Sequence[str] = (), rank_col: str = "rank",
-                size_col: str = "group_size", max_window_rows: int = MAX_WINDOW_ROWS) -> DataFrame:
+                size_col: str = "group_size", max_window_rows: int = MAX_WINDOW_ROWS, key: Column | None = None) -> DataFrame:
     """Add the 1-based rank of each row within ``group_cols`` by ``key_col`` (hex
     digits, evenly spread; then ``tie_cols``), and the group's row count.
 
     Groups of at most ``max_window_rows`` rows are ranked in one plain window. Only
     larger ones are salted, by as many leading digits of the key as bring a salt down
     to that size; the ranks of a salt go on from the rows of the salts before it,
-    summed in two levels (within a head of the salt, and over heads).
+    summed in two levels (within a head of the salt, and over heads). ``key`` is what
+    ``key_col`` is made of where ``df`` has no such column: it is made after the rows are
+    dealt to their groups, so that no key is shuffled.
     """
     groups = list(group_cols)
     sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("__rw_n"))
@@ -75,8 +77,12 @@ def rank_within(df: DataFrame, group_cols: Sequence[str], key_col: str,
     order = [F.col(key_col), *[F.col(c) for c in tie_cols]]
     if not hot.take(1):
         whole = Window.partitionBy(*groups)
+        if key is not None:
+            df = df.repartition(*groups).withColumn(key_col, key)
         return (df.withColumn(rank_col, F.row_number().over(whole.orderBy(*order)).cast("bigint"))
                   .withColumn(size_col, F.count(F.lit(1)).over(whole)))
+    if key is not None:
+        df = df.withColumn(key_col, key)
     hot = hot.checkpoint(eager=True)
     salted = (df.join(hot, groups, "left")
                 .withColumn("__rw_salt", F.coalesce(F.expr(f"substring(`{key_col}`, 1, `__rw_d`)"), F.lit(""))))

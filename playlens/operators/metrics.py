@@ -89,12 +89,31 @@ def ranking_metrics(recs: DataFrame, labels: DataFrame, k: int = 10) -> DataFram
 def evaluate_at(recs: DataFrame, labels: DataFrame, ns: Sequence[int] = N_LIST, k: int = 10) -> DataFrame:
     """(n, map, ndcg, f1, precision, recall, mpr) for the first n of each list.
 
-    The longest list is made once; each row of it serves every n >= its rank.
+    The longest list is made and joined once. Of each list the ranks of its hits are kept
+    (at most as many as it has rows), and every n takes those up to n.
     """
-    ns_arr = F.array(*[F.lit(int(n)) for n in sorted(ns)])
-    cut = recs.select("entity", "rank", "item_id",
-                      F.explode(F.filter(ns_arr, lambda n: n >= F.col("rank"))).alias("n"))
-    return _summarise(per_entity(cut, labels, k, keys=("n", "entity")), ["n"])
+    lab = labels.select("entity", "item_id").distinct()
+    n_lab = lab.groupBy("entity").agg(F.count(F.lit(1)).alias("n_labels"))
+    flagged = recs.join(lab.withColumn("_hit", F.lit(1)), ["entity", "item_id"], "left")
+    lists = flagged.groupBy("entity").agg(
+        F.array_sort(F.collect_list(F.when(F.col("_hit") == 1, F.col("rank").cast("double")))).alias("_r"),
+        *[F.count_if(F.col("rank") <= int(n)).alias(f"_{int(n)}") for n in ns])
+
+    def cut(n: int) -> Column:
+        return F.struct(F.lit(n).alias("n"), F.col(f"_{n}").alias("n_recs"), F.filter("_r", lambda r: r <= n).alias("_r"))
+
+    cuts = F.array(*[cut(int(n)) for n in sorted(ns)])
+    rows = lists.join(n_lab, "entity", "left").select("entity", "n_labels", F.explode(cuts).alias("_x"))
+    rows = rows.select("entity", "n_labels", "_x.*").filter(F.col("n_recs") > 0)
+
+    def total(x: Column) -> Column:
+        return F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v)
+
+    return _set_scores(rows.select(
+        "n", "entity", "n_labels", "n_recs", F.size("_r").alias("hits"),
+        total(F.transform("_r", lambda r, i: (i + F.lit(1)) / r)).alias("_ap"),
+        total(F.transform(F.filter("_r", lambda r: r <= k), lambda r: F.lit(1.0) / F.log(r + F.lit(1.0)))).alias("_dcg"),
+        total(F.transform("_r", lambda r: r - F.lit(1.0))).alias("_pos")), ["n"], k)
 
 
 def evaluate_sets(recs: DataFrame, labels: DataFrame, group: Sequence[str], k: int = 10) -> DataFrame:
@@ -110,13 +129,18 @@ def evaluate_sets(recs: DataFrame, labels: DataFrame, group: Sequence[str], k: i
     n_lab = lab.groupBy(*ent).agg(F.count(F.lit(1)).alias("n_labels"))
     per = _hit_sums(recs.join(lab, [*ent, "item_id"]), keys, k)
     lengths = recs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_recs"))
-    every = lengths.join(per, keys, "left").join(n_lab, ent, "left")
+    return _set_scores(lengths.join(per, keys, "left").join(n_lab, ent, "left"), group, k)
+
+
+def _set_scores(every: DataFrame, group: Sequence[str], k: int) -> DataFrame:
+    """The metrics of each ``group`` out of its lists (group..., entity, n_recs) with their
+    sums over hits (``_hit_sums``) and n_labels, null where there are none."""
     m, h = F.col("n_labels"), F.col("hits")
     none = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     has = F.coalesce(m, F.lit(0)) > 0
     hits = F.coalesce(h, F.lit(0))
     return _summarise(every.select(
-        *keys, (hits / F.col("n_recs")).alias("precision"), F.when(has, hits / m).alias("recall"),
+        *group, "entity", (hits / F.col("n_recs")).alias("precision"), F.when(has, hits / m).alias("recall"),
         F.when(has, none("_ap") / m).otherwise(0.0).alias("ap"),
         F.when(has, none("_dcg") / _ideal_dcg(F.least(m, F.lit(k)))).otherwise(0.0).alias("ndcg"),
         F.when(has, (none("_pos") / F.col("n_recs") * 100.0 + (m - hits) * 100.0) / m).otherwise(0.0).alias("pr")), list(group))
@@ -145,9 +169,12 @@ def evaluate_same_lists(ranked: DataFrame, entities: DataFrame, labels: DataFram
     shared = [c for c in group if c in labels.columns]
     ent = [*shared, "entity"]
     known = entities.select(*ent).distinct()
-    lab = labels.select(*ent, "item_id").distinct().join(known, ent, "left_semi")
-    n_lab = lab.groupBy(*ent).agg(F.count(F.lit(1)).alias("n_labels"))
-    hits = lab.join(F.broadcast(ranked), [*shared, "item_id"])  # a list's length x sets rows
+    lab = labels.select(*ent, "item_id")
+    # the labels are dealt once, to be counted; those on a list are few
+    n_lab = lab.distinct().groupBy(*ent).agg(F.count(F.lit(1)).alias("n_labels")).join(known, ent, "left_semi")
+    listed = F.broadcast(ranked.select(*shared, "item_id").distinct())  # a list's length x sets rows
+    hits = (lab.join(listed, [*shared, "item_id"], "left_semi").distinct().join(known, ent, "left_semi")
+               .join(F.broadcast(ranked), [*shared, "item_id"]))
     sizes = ranked.groupBy(*group).agg(F.count(F.lit(1)).alias("n_recs"))
     m, h = F.col("n_labels"), F.col("hits")
     # a hit takes its place's percentile off the 100 that a label without one has
@@ -177,10 +204,13 @@ def evaluate_same_list(ranked: DataFrame, entities: DataFrame, labels: DataFrame
     so the table entity x list is never made.
     """
     known = entities.select("entity").distinct()
-    lab = labels.select("entity", "item_id").distinct().join(known, "entity", "left_semi")
-    n_lab = lab.groupBy("entity").agg(F.count(F.lit(1)).alias("n_labels"))
+    lab = labels.select("entity", "item_id")
+    # the labels are dealt once, to be counted; those on the list are few
+    n_lab = lab.distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_labels")).join(known, "entity", "left_semi")
     cuts = F.array(*[F.lit(int(n)) for n in sorted(ns)])
-    hits = (lab.join(F.broadcast(ranked.select("item_id", "rank")), "item_id")  # at most max(ns) rows
+    listed = ranked.select("item_id", "rank")  # at most max(ns) rows
+    hits = (lab.join(F.broadcast(listed.select("item_id").distinct()), "item_id", "left_semi").distinct()
+               .join(known, "entity", "left_semi").join(F.broadcast(listed), "item_id")
                .select("entity", "rank", F.explode(F.filter(cuts, lambda n: n >= F.col("rank"))).alias("n")))
     rank = F.col("rank").cast("double")
     nth = F.row_number().over(Window.partitionBy("n", "entity").orderBy("rank"))

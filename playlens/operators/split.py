@@ -16,9 +16,8 @@ from playlens.functions.numbering import MAX_WINDOW_ROWS, rank_within
 
 
 def _ranked(plays: DataFrame, seed: int, max_window_rows: int = MAX_WINDOW_ROWS) -> DataFrame:
-    keyed = plays.withColumn("_key", seeded_key(seed, "user_id", "item_id"))
-    return rank_within(keyed, ["user_id"], "_key", tie_cols=["item_id"], rank_col="_rank", size_col="_n",
-                       max_window_rows=max_window_rows)
+    return rank_within(plays, ["user_id"], "_key", tie_cols=["item_id"], rank_col="_rank", size_col="_n",
+                       max_window_rows=max_window_rows, key=seeded_key(seed, "user_id", "item_id"))
 
 
 def split_train_test(plays: DataFrame, frac: float = 0.5, seed: int = 42,

@@ -97,6 +97,20 @@ def test_evaluate_at_cuts_lists(spark):
     assert rows[1]["precision"] == pytest.approx(1 / 3)
 
 
+def test_evaluate_at_gives_the_metrics_of_cut_lists_in_one_pass(spark):
+    rng = np.random.default_rng(8)
+    lists = [(e, k + 1, int(i)) for e in range(12) for k, i in enumerate(rng.permutation(30)[:rng.integers(1, 20)])]
+    recs = spark.createDataFrame(lists, "entity long, rank int, item_id long")
+    given = [(int(e), int(i)) for e in range(3, 15) for i in rng.integers(0, 30, 6)] + [(None, 3)]
+    labels = spark.createDataFrame(given, "entity long, item_id long")
+    out = metrics.evaluate_at(recs, labels, ns=[2, 11, 25])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+    for r in out.collect():
+        want = metrics.ranking_metrics(recs.filter(F.col("rank") <= r["n"]), labels).first()
+        assert all(r[c] == pytest.approx(want[c], abs=1e-12) for c in metrics.METRIC_COLUMNS), r["n"]
+
+
 def test_popular_and_random_lists(spark, T):
     from playlens.operators import stats
     ents = spark.createDataFrame([(10,), (11,)], "entity long")

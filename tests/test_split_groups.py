@@ -94,3 +94,8 @@ def test_group_aggregates_hand_case(spark, T):
         assert got[1] == pytest.approx(expected[agg], abs=1e-6), agg
     with pytest.raises(ValueError):
         groups.group_aggregate_scores(gp, "mode")
+
+
+def test_split_keys_are_made_after_the_rows_are_dealt(spark, T):
+    plan = split.split_train_test(T, 0.5, 42)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("md5") < plan.index("RepartitionByExpression")  # the key lies above the exchange
