@@ -83,9 +83,11 @@ def _written(spark, name, df):
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _keep_plays(spark, sf):
-    """The plays of a query that reads them several times, joined and summed once."""
-    return _memo(("plays", sf), lambda: _written(spark, "plays", fx.plays(spark, sf)))
+def _keep_plays(spark, sf, ordered=False):
+    """The plays of a query that reads them several times, joined and summed once; ``ordered``
+    by user, so that what is made per user has one row a task, and equal ids lie together
+    in what is stored and shuffled."""
+    return _memo(("plays", sf), lambda: _written(spark, "plays", fx.plays(spark, sf, ordered)))
 
 
 def _item_stats(spark, sf):
@@ -222,7 +224,7 @@ def q_dataset_views(spark, sf):
     """The three text tables as temporary views, asked in SQL: for each user the
     rows whose count is above the song's mean."""
     folder = scratch_path(spark, "dataset")
-    _write_dataset(spark, sf, _keep_plays(spark, sf), folder)
+    _write_dataset(spark, sf, _keep_plays(spark, sf, ordered=True), folder)
     plays, users, songs = text.register_dataset(spark, folder, "playlens_")
     return spark.sql(f"""SELECT p.user_id, max(u.mean) AS user_mean, count(*) AS n_above, sum(p.play_count) AS plays_above
                          FROM {plays} p JOIN {users} u ON p.user_id = u.id JOIN {songs} s ON p.item_id = s.id

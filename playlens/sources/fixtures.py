@@ -29,13 +29,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(user_id BIGINT, item_id BIGINT, play_count INT), one row per pair."""
+def plays(spark: SparkSession, sf_dir: str, ordered: bool = False) -> DataFrame:
+    """(user_id BIGINT, item_id BIGINT, play_count INT), one row per pair. ``ordered``: dealt
+    to tasks by ranges of (user, item) and in that order in each; a hot user has several."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return (lines.join(orders, lines.l_orderkey == orders.o_orderkey)
-                 .groupBy(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("item_id"))
-                 .agg(F.sum("l_quantity").cast("int").alias("play_count")))
+    rows = lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
+        F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("item_id"), "l_quantity")
+    if ordered:  # a range of pairs holds all rows of a pair: the sums need no other exchange
+        rows = rows.repartitionByRange("user_id", "item_id")
+    sums = rows.groupBy("user_id", "item_id").agg(F.sum("l_quantity").cast("int").alias("play_count"))
+    return sums.sortWithinPartitions("user_id", "item_id") if ordered else sums
 
 
 def plays_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
