@@ -1,8 +1,9 @@
 """Elias-Fano coding of a monotone sequence, read in place (memory-mapped).
 
-A value's ``l`` low bits lie in an array of whole bytes; its high part is written
-in unary into a bit vector with counts of ones and zeros every 512 bits. All
-operations are over arrays of queries.
+A value's ``l`` low bits lie in an array of whole bytes, with some bytes after the last
+so that every value can be read as one number; its high part is written in unary into a
+bit vector with counts of ones and zeros every 512 bits. All operations are over arrays
+of queries.
 """
 
 from __future__ import annotations
@@ -15,10 +16,14 @@ for _b in range(256):
     for _r, _i in enumerate([i for i in range(8) if _b >> i & 1]):
         _SELECT[_b, _r] = _i
 _CHUNK = 1 << 17
+#: Bytes after the last low part.
+_AFTER = 8
 #: Ranges of so few places are searched place by place.
 _SHORT = 4
 #: Every second byte, and one in each pair of bytes.
 _PAIRS, _EACH_PAIR = np.uint64(0x00FF00FF00FF00FF), np.uint64(0x0001000100010001)
+#: Top bit of each pair of bytes, and 64 in each byte.
+_TOP_PAIRS, _FULL = np.uint64(0x8000800080008000), np.uint64(0x4040404040404040)
 #: One in each byte, and each byte's top bit.
 _EACH, _TOP = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
 
@@ -36,12 +41,12 @@ def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
     ones = bits.reshape(-1, _STEP).sum(axis=1, dtype=np.int64)
     ones = np.concatenate([[0], np.cumsum(ones)])
     width = -(-low_bits // 8)
-    low = np.zeros((n, width), np.uint8)
+    low = np.zeros(n * width + _AFTER, np.uint8)
     for j in range(width):
         part = (values >> np.uint64(8 * j)).astype(np.uint8)
         spare = low_bits - 8 * j
-        low[:, j] = part & np.uint8((1 << min(8, spare)) - 1)
-    return {"words": words, "ones": ones, "low": low.reshape(-1), "meta": np.array([n, low_bits, top], np.int64)}
+        low[j:n * width:width] = part & np.uint8((1 << min(8, spare)) - 1)
+    return {"words": words, "ones": ones, "low": low, "meta": np.array([n, low_bits, top], np.int64)}
 
 
 class EliasFano:
@@ -52,25 +57,30 @@ class EliasFano:
         self.ones = parts["ones"]
         self.zeros = np.arange(len(self.ones), dtype=np.int64) * _STEP - self.ones
         self.width = -(-self.l // 8)
-        self.low = parts["low"].reshape(-1, self.width) if self.width else None
+        # the low parts where they lie, each read as a number with what stands after it, which ``mask`` takes off
+        kind = np.uint32 if self.l <= 32 else np.uint64
+        self.mask = kind((1 << self.l) - 1)
+        self.low = np.ndarray(self.n, kind, parts["low"], 0, (self.width,)) if self.width else None
 
     def _select(self, k: np.ndarray, directory: np.ndarray, flip: bool) -> np.ndarray:
         """Position of the k-th (from 0) one, or zero with ``flip``."""
         block = np.searchsorted(directory, k, "right") - 1
-        r = (k - directory[block]).astype(np.int16)
-        w = self.words[block]
+        r = (k - directory[block]).astype(np.uint64)
+        counts = np.bitwise_count(self.words[block]).view(np.uint64).reshape(-1)  # eight side by side
         if flip:
-            w = ~w
-        # the word of the block: how many of its words end before the r-th one
-        at, total, before = np.zeros(len(k), np.int64), np.zeros(len(k), np.int16), np.zeros(len(k), np.int16)
-        for c in np.ascontiguousarray(np.bitwise_count(w).T)[:-1]:
-            total = total + c
-            more = total <= r
-            at += more
-            before = np.where(more, total, before)
-        word = w[np.arange(len(k)), at]
+            counts = _FULL - counts
+        # the pair of words: sums up to each pair side by side; then the word of the pair
+        sums = ((counts & _PAIRS) + ((counts >> np.uint64(8)) & _PAIRS)) * _EACH_PAIR
+        shift = np.bitwise_count((((r * _EACH_PAIR) | _TOP_PAIRS) - sums) & _TOP_PAIRS).astype(np.uint64) << np.uint64(4)
+        r -= ((sums << np.uint64(16)) >> shift) & np.uint64(0xFFFF)
+        first = (counts >> shift) & np.uint64(255)
+        second = r >= first
+        r -= np.where(second, first, np.uint64(0))
+        at = (shift >> np.uint64(3)).astype(np.int64) + second
+        word = self.words.reshape(-1)[block * (_STEP // 64) + at]
+        if flip:
+            word = ~word
         # the byte of the word: sums of the bytes' counts side by side in 64 bits
-        r = (r - before).astype(np.uint64)
         sums = np.bitwise_count(word.view(np.uint8)).view(np.uint64) * _EACH
         byte = np.bitwise_count((((r * _EACH) | _TOP) - sums) & _TOP).astype(np.uint64)
         shift = byte << np.uint64(3)
@@ -91,13 +101,16 @@ class EliasFano:
         lowest = zeros & (~zeros + np.uint64(1))
         return np.bitwise_count(lowest - np.uint64(1)).astype(np.int64)  # without a zero: all 64 bits
 
+    def _part(self, i: np.ndarray) -> np.ndarray:
+        """The low parts at places ``i``, in the type of ``mask``."""
+        return self.low[i] & self.mask if self.width else np.zeros(len(i), self.mask.dtype)
+
     def _low(self, i: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(i), np.uint64)
-        if self.width:
-            part = self.low[i]
-            for j in range(self.width):
-                out |= part[:, j].astype(np.uint64) << np.uint64(8 * j)
-        return out
+        return self._part(i).astype(np.uint64)
+
+    def _wanted(self, x: np.ndarray) -> np.ndarray:
+        """The low parts of the values ``x``."""
+        return x.astype(self.mask.dtype) & self.mask
 
     def access(self, i: np.ndarray) -> np.ndarray:
         """The values at places ``i``."""
@@ -139,11 +152,11 @@ class EliasFano:
         """``within`` for ranges of at most _SHORT places: where low bits agree, the high
         bits do if the value's bit stands at its position and is that place's one."""
         out = np.full(len(x), -1, np.int64)
-        want, high = x & np.uint64((1 << self.l) - 1), (x >> np.uint64(self.l)).astype(np.int64)
+        want, high = self._wanted(x), (x >> np.uint64(self.l)).astype(np.int64)
         go = np.flatnonzero(lo < hi)
         for j in range(_SHORT):
             place = lo[go] + j
-            same = self._low(place) == want[go]
+            same = self._part(place) == want[go]
             at, i = go[same], place[same]
             ok = self._is_one(high[at] + i, i)
             out[at[ok]] = i[ok]
@@ -186,17 +199,20 @@ class EliasFano:
             end[long] = self._select(h[long], self.zeros, True) - h[long]
         if first is not None:
             lo, end = np.maximum(lo, first), np.minimum(end, last)
-        want = x & np.uint64((1 << self.l) - 1)
-        hi = end.copy()
-        go = np.flatnonzero(lo < hi)
+        want = self._wanted(x)
+        go = np.flatnonzero(lo < end)
+        a, b, w = lo[go], end[go], want[go]
         while len(go):
-            mid = (lo[go] + hi[go]) >> 1
-            less = self._low(mid) < want[go]
-            lo[go] = np.where(less, mid + 1, lo[go])
-            hi[go] = np.where(less, hi[go], mid)
-            go = go[lo[go] < hi[go]]
+            mid = (a + b) >> 1
+            less = self._part(np.minimum(mid, self.n - 1)) < w
+            less &= a < b  # those found wait for the others
+            a, b = np.where(less, mid + 1, a), np.where(less, b, mid)
+            left = np.flatnonzero(a < b)
+            if 2 * len(left) <= len(go):
+                lo[go] = a
+                go, a, b, w = go[left], a[left], b[left], w[left]
         equal = np.zeros(len(x), bool)
         inside = np.flatnonzero(lo < end)
-        equal[inside] = self._low(lo[inside]) == want[inside]
+        equal[inside] = self._part(lo[inside]) == want[inside]
         lo[beyond], equal[beyond] = self.n, False
         return lo, equal
