@@ -26,6 +26,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from playlens.session import written
+
 METRIC_COLUMNS = ("map", "ndcg", "f1", "precision", "recall", "mpr")
 N_LIST = (20, 50, 200)   # list lengths of the reference's sweeps
 
@@ -89,15 +91,17 @@ def ranking_metrics(recs: DataFrame, labels: DataFrame, k: int = 10) -> DataFram
 def evaluate_at(recs: DataFrame, labels: DataFrame, ns: Sequence[int] = N_LIST, k: int = 10) -> DataFrame:
     """(n, map, ndcg, f1, precision, recall, mpr) for the first n of each list.
 
-    The longest list is made and joined once. Of each list the ranks of its hits are kept
-    (at most as many as it has rows), and every n takes those up to n.
+    The longest list is made, written and joined once. Of each list the ranks of its hits are
+    kept (at most as many as it has rows), and every n takes those up to n. Lengths are
+    counted where the lists lie, and only hits are gathered after the join.
     """
     lab = labels.select("entity", "item_id").distinct()
     n_lab = lab.groupBy("entity").agg(F.count(F.lit(1)).alias("n_labels"))
-    flagged = recs.join(lab.withColumn("_hit", F.lit(1)), ["entity", "item_id"], "left")
-    lists = flagged.groupBy("entity").agg(
-        F.array_sort(F.collect_list(F.when(F.col("_hit") == 1, F.col("rank").cast("double")))).alias("_r"),
-        *[F.count_if(F.col("rank") <= int(n)).alias(f"_{int(n)}") for n in ns])
+    recs = written(recs.select("entity", "rank", "item_id"), "recs")
+    hits = (recs.join(lab, ["entity", "item_id"]).groupBy("entity")
+                .agg(F.array_sort(F.collect_list(F.col("rank").cast("double"))).alias("_h")))
+    lengths = recs.groupBy("entity").agg(*[F.count_if(F.col("rank") <= int(n)).alias(f"_{int(n)}") for n in ns])
+    lists = lengths.join(hits, "entity", "left").withColumn("_r", F.coalesce("_h", F.array().cast("array<double>")))
 
     def cut(n: int) -> Column:
         return F.struct(F.lit(n).alias("n"), F.col(f"_{n}").alias("n_recs"), F.filter("_r", lambda r: r <= n).alias("_r"))

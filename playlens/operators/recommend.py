@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from playlens.functions.columns import seeded_key
 from playlens.functions.numbering import global_index
 from playlens.operators.sparse_product import TIE_DIGITS, sparse_product, top_k_per_row
+from playlens.session import written
 
 POPULARITY_COLUMNS = {"tot": "total_play", "occ": "occurrence", "mean": "mean"}
 
@@ -115,6 +116,8 @@ def recommend_knn(weights: DataFrame, neighbours: DataFrame, n: int = 20, pad: b
 
 #: Item positions of one block of ``pad_lists``: what a window task numbers at most.
 PAD_BLOCK = 1 << 16
+#: Item positions that are sent to all tasks; where rows need more, they are joined by a shuffle.
+PAD_SENT = 1 << 20
 
 
 def pad_lists(lists: DataFrame, played: DataFrame, items: DataFrame, n: int) -> DataFrame:
@@ -129,10 +132,18 @@ def pad_lists(lists: DataFrame, played: DataFrame, items: DataFrame, n: int) ->
     by j < n are kept for a row. A row's taken items are numbered in blocks of
     positions, each after the number in the blocks before it, so that a row with very
     many plays is not numbered in one task.
+
+    The first n free positions of a row lie among the first n + (its taken items), so only
+    items and taken items up to n + (the most that a row has) are placed at all; as long as
+    these are few they are sent to the tasks, and neither plays nor lists are shuffled.
     """
-    position = global_index(items, ["item_id"], "s")
-    taken = played.select("row", "item_id").unionByName(lists.select("row", "item_id")).distinct()
-    placed = (taken.join(position, "item_id").select("row", "s", F.expr(f"s div {PAD_BLOCK}").alias("b")))
+    lists = written(lists.select("row", "rank", "item_id", "score"), "lists")  # a whole product, read four times
+    taken = played.select("row", "item_id").unionByName(lists.select("row", "item_id"))
+    most = taken.groupBy("row").count().agg(F.max("count")).first()[0] or 0
+    position = global_index(items, ["item_id"], "s").filter(F.col("s") < n + most)
+    if n + most <= PAD_SENT:
+        position = F.broadcast(position)
+    placed = taken.join(position, "item_id").select("row", "s", F.expr(f"s div {PAD_BLOCK}").alias("b")).distinct()
     before = Window.partitionBy("row").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     blocks = (placed.groupBy("row", "b").agg(F.count(F.lit(1)).alias("c"))
                     .select("row", "b", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("o")))
