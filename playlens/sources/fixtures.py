@@ -18,6 +18,8 @@ Every derivation reads whole tables; nothing is sampled or capped.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -107,6 +109,18 @@ def ragged_songs_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emb.select(F.col("vec_id").alias("song_idx"), (F.col("vec_id") * rows_per).alias("idx"))
 
 
+#: Stored bytes of documents whose words one task counts, ranks and gathers at a time.
+TERM_BYTES = 4 << 20
+
+
+def _tasks_for(rows: DataFrame, each: int) -> int:
+    """Tasks of ``each`` stored bytes for a whole table, by the size of its files (no scan); no
+    fewer than the session's shuffle partitions, so that a join after it deals nothing anew."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, math.ceil(size / each)) if size < 1 << 60 else least  # no size known
+
+
 def document_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(track_id, pos, term, freq, weight) from whole documents.
 
@@ -114,8 +128,10 @@ def document_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     in the document, weight = count / largest count in the document,
     pos = 0-based rank by (count desc, term).
     """
-    # texts are dealt by document once; counts and ranks then need no other exchange
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+    # texts are dealt by document once; counts and ranks then need no other exchange. A task
+    # holds a row for each of its words, so tasks follow the size of the table, unmerged
+    whole = table(spark, sf_dir, "documents")
+    docs = whole.select("doc_id", "text").repartition(_tasks_for(whole, TERM_BYTES), "doc_id")
     words = docs.select("doc_id", F.explode(F.split(F.lower("text"), r"\W+")).alias("term")) \
                 .filter(F.col("term") != "")
     counts = words.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("cnt"))
